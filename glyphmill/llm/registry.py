@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from glyphmill.llm.mixing import OP4_SQL, op4_mix
+from glyphmill.llm.packing import op10_pack
 from glyphmill.llm.simhash import op9_simhash_dedup
 
-QUERIES = {"op9_simhash_dedup": op9_simhash_dedup}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op4_mix": op4_mix,
+    "op9_simhash_dedup": op9_simhash_dedup,
+    "op10_pack": op10_pack,
+}
+ORACLE_SQL: dict[str, str] = {"op4_mix": OP4_SQL}
