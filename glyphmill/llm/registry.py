@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from glyphmill.llm.digest import op8_quartile_digest
 from glyphmill.llm.mixing import OP4_SQL, op4_mix
 from glyphmill.llm.packing import op10_pack
 from glyphmill.llm.simhash import op9_simhash_dedup
 
 QUERIES = {
     "op4_mix": op4_mix,
+    "op8_quartile_digest": op8_quartile_digest,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_pack": op10_pack,
 }
