@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from glyphmill.llm.digest import op8_quartile_digest
+from glyphmill.llm.media import op2_webp_lossless
 from glyphmill.llm.mixing import OP4_SQL, op4_mix
 from glyphmill.llm.packing import op10_pack
 from glyphmill.llm.simhash import op9_simhash_dedup
+from glyphmill.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
+    "op2_webp_lossless": op2_webp_lossless,
     "op4_mix": op4_mix,
+    "op7_warc": op7_warc,
     "op8_quartile_digest": op8_quartile_digest,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_pack": op10_pack,
 }
-ORACLE_SQL: dict[str, str] = {"op4_mix": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_mix": OP4_SQL, "op7_warc": OP7_SQL}
