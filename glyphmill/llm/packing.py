@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import cache
@@ -28,12 +29,13 @@ MERGE_PARTITIONS = 64
 END_ID = b"\0\0\0\0"
 #: Characters tokenized at once, and chunks whose ids a worker remembers.
 SEGMENT_CHARS = 1 << 20
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
-#: White space other than space and line feed (Unicode White_Space), before which chunks are cut by pattern.
-_OTHER_SPACE = re.compile("[\t\x0b\x0c\r\x85\xa0  -     　]|[ \n] ")
-_ANY_SPACE = "\t-\r \x85\xa0  -     　"
+#: Unicode white space besides space and line feed; texts that hold any are cut by pattern.
+_OTHER_SPACES = "\t\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_ANY_SPACE = f" \n{_OTHER_SPACES}"
 _CHUNK = re.compile(f"[{_ANY_SPACE}]*[^{_ANY_SPACE}]+|[{_ANY_SPACE}]+")
+_SEAM = re.compile(f"(?<=[^{_ANY_SPACE}])(?=[{_ANY_SPACE}])")
 
 PIECES = T.StructType(
     [
@@ -50,6 +52,35 @@ PIECES = T.StructType(
 _ARROW = pa.schema([(f.name, pa.int64()) for f in PIECES])
 
 
+def _byte_letters() -> str:
+    """The letter that byte-level BPE writes for each byte: itself if it prints in Latin-1, else the next from U+0100."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    late = iter(range(256, 512))
+    return "".join(chr(b if b in plain else next(late)) for b in range(256))
+
+
+_LETTERS = _byte_letters()
+
+
+class _Known(dict):
+    """Ids of chunks as bytes; a chunk that is not there yet is tokenized."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer = tokenizer
+        self.model = tokenizer.model
+
+    def __missing__(self, chunk: str) -> bytes:
+        if chunk[-1] in ".," and chunk[-2:-1].isalpha():  # letters and what follows them are apart in any text
+            found = self[chunk[:-1]] + self[chunk[-1]]
+        elif chunk[chunk[0] == " " :].isalpha() and max(chunk) < "\u0250":  # one word of Latin letters
+            found = array("I", [t.id for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
+        else:
+            found = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        self[chunk] = found
+        return found
+
+
 class ChunkTokenizer:
     """Byte-level BPE ids of texts, remembered by chunk.
 
@@ -60,37 +91,32 @@ class ChunkTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.special = [x.content for x in self.model.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [pa.array(e.ids, type=pa.uint32()).buffers()[1].to_pybytes()[: 4 * len(e.ids)] if e.ids else b"" for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known = _Known(self.tokenizer)
 
     def _segment(self, text: str) -> bytes:
         if any(s in text for s in self.special):
-            return self._ids([text])[0]
-        if _OTHER_SPACE.search(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if not text:
+            return b""
+        if len(self.known) > REMEMBERED:  # frequent chunks are short
+            for chunk in [c for c in self.known if len(c) > 5]:
+                del self.known[chunk]
+        if "  " in text or "\n " in text or any(c in text for c in _OTHER_SPACES):
             chunks = _CHUNK.findall(text)
-        else:
-            first, *rest = text.split(" ")
-            chunks = [first, *[" " + x for x in rest]]
-        known = self.known
-        if missing := [c for c in dict.fromkeys(chunks) if c not in known]:
-            if len(known) + len(missing) > REMEMBERED:
-                known.clear()
-                missing = list(dict.fromkeys(chunks))
-            known.update(zip(missing, self._ids(missing)))
-        return b"".join(map(known.__getitem__, chunks))
+            return b"".join(map(self.known.__getitem__, chunks))
+        first, *rest = text.split(" ")
+        spaced = map(" ".__add__, rest)
+        return (self.known[first] if first else b"") + b"".join(map(self.known.__getitem__, spaced))
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of text."""
         if len(text) <= SEGMENT_CHARS:
             return self._segment(text)
         parts, at = [], 0
-        seam = re.compile(f"(?<=[^{_ANY_SPACE}])(?=[{_ANY_SPACE}])")
         while at < len(text):
-            found = seam.search(text, at + SEGMENT_CHARS)
+            found = _SEAM.search(text, at + SEGMENT_CHARS)
             end = found.start() if found else len(text)
             parts.append(self._segment(text[at:end]))
             at = end
