@@ -62,8 +62,11 @@ def _byte_letters() -> str:
 _LETTERS = _byte_letters()
 
 
-class _Known(dict):
-    """Ids of chunks as bytes; a chunk that is not there yet is tokenized."""
+_MARKS = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
+
+
+class _Exact(dict):
+    """Ids of chunks as bytes; a chunk that is not there yet is tokenized as it stands."""
 
     def __init__(self, tokenizer):
         super().__init__()
@@ -71,12 +74,27 @@ class _Known(dict):
         self.model = tokenizer.model
 
     def __missing__(self, chunk: str) -> bytes:
-        if chunk[-1] in ".," and chunk[-2:-1].isalpha():  # letters and what follows them are apart in any text
-            found = self[chunk[:-1]] + self[chunk[-1]]
-        elif chunk[chunk[0] == " " :].isalpha() and max(chunk) < "\u0250":  # one word of Latin letters
+        found = self[chunk] = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        return found
+
+
+class _Known(_Exact):
+    """The same for chunks whose white space is a space in front or single line feeds.
+
+    Such a chunk is cut further where the pre-tokenizer always cuts: at line feeds, and between a letter and
+    the marks that end the chunk; a word of Latin letters goes to the model itself.
+    """
+
+    def __missing__(self, chunk: str) -> bytes:
+        word = chunk.rstrip(_MARKS)
+        if "\n" in chunk and len(chunk) > 1 and "\n\n" not in chunk:
+            found = self["\n"].join([self[part] if part else b"" for part in chunk.split("\n")])
+        elif len(word) < len(chunk) and word[-1:].isalpha() and word[-1] < "\u0250":
+            found = self[word] + self[chunk[len(word) :]]
+        elif chunk[chunk[0] == " " :].isalpha() and max(chunk) < "\u0250":
             found = array("I", [t.id for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
         else:
-            found = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+            return super().__missing__(chunk)
         self[chunk] = found
         return found
 
@@ -93,19 +111,20 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known = _Known(self.tokenizer)
+        self.known, self.exact = _Known(self.tokenizer), _Exact(self.tokenizer)
 
     def _segment(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if not text:
             return b""
-        if len(self.known) > REMEMBERED:  # frequent chunks are short
-            for chunk in [c for c in self.known if len(c) > 5]:
-                del self.known[chunk]
+        for kept in (self.known, self.exact):
+            if len(kept) > REMEMBERED:  # frequent chunks are short
+                for chunk in [c for c in kept if len(c) > 5]:
+                    del kept[chunk]
         if "  " in text or "\n " in text or any(c in text for c in _OTHER_SPACES):
             chunks = _CHUNK.findall(text)
-            return b"".join(map(self.known.__getitem__, chunks))
+            return b"".join(map(self.exact.__getitem__, chunks))
         first, *rest = text.split(" ")
         spaced = map(" ".__add__, rest)
         return (self.known[first] if first else b"") + b"".join(map(self.known.__getitem__, spaced))
