@@ -7,12 +7,14 @@ from glyphmill.llm.media import op2_webp_lossless
 from glyphmill.llm.mixing import OP4_SQL, op4_mix
 from glyphmill.llm.packing import op10_pack
 from glyphmill.llm.pii import op1_pii_weak_supervision
+from glyphmill.llm.quality import op3_quality_qda
 from glyphmill.llm.simhash import op9_simhash_dedup
 from glyphmill.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
     "op1_pii_weak_supervision": op1_pii_weak_supervision,
     "op2_webp_lossless": op2_webp_lossless,
+    "op3_quality_qda": op3_quality_qda,
     "op4_mix": op4_mix,
     "op7_warc": op7_warc,
     "op8_quartile_digest": op8_quartile_digest,
