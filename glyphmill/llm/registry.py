@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from glyphmill.llm.digest import op8_quartile_digest
+from glyphmill.llm.langid import op6_language_crf
 from glyphmill.llm.media import op2_webp_lossless
 from glyphmill.llm.mixing import OP4_SQL, op4_mix
 from glyphmill.llm.packing import op10_pack
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_webp_lossless": op2_webp_lossless,
     "op3_quality_qda": op3_quality_qda,
     "op4_mix": op4_mix,
+    "op6_language_crf": op6_language_crf,
     "op7_warc": op7_warc,
     "op8_quartile_digest": op8_quartile_digest,
     "op9_simhash_dedup": op9_simhash_dedup,
