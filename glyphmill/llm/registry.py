@@ -10,6 +10,7 @@ from glyphmill.llm.packing import op10_pack
 from glyphmill.llm.pii import op1_pii_weak_supervision
 from glyphmill.llm.quality import op3_quality_qda
 from glyphmill.llm.simhash import op9_simhash_dedup
+from glyphmill.llm.toxicity import op5_toxicity_viterbi
 from glyphmill.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_webp_lossless": op2_webp_lossless,
     "op3_quality_qda": op3_quality_qda,
     "op4_mix": op4_mix,
+    "op5_toxicity_viterbi": op5_toxicity_viterbi,
     "op6_language_crf": op6_language_crf,
     "op7_warc": op7_warc,
     "op8_quartile_digest": op8_quartile_digest,
