@@ -15,7 +15,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -215,12 +215,18 @@ def near_duplicate_components(docs: DataFrame) -> DataFrame:
 def keep_one_per_component(docs: DataFrame) -> DataFrame:
     """The rows of docs, one document of each near-duplicate component: the one with the smallest doc_id.
 
-    Of repeated rows of that doc_id, one stays (the least by text, source and language). Rows without a doc_id
-    stay only as the sole member of a component that has no doc_id at all.
+    Of rows repeated under that doc_id one stays, the least by text and then by the other columns. Rows without
+    a doc_id cannot be named and stay. Only ids are joined to the texts, and only those that go.
     """
-    keep = near_duplicate_components(docs).select("component_id").distinct()
-    chosen = docs.join(keep, docs["doc_id"].eqNullSafe(keep["component_id"]), "left_semi")
-    return chosen.dropDuplicates(["doc_id"])
+    found = staged(near_duplicate_components(docs).filter("doc_id IS NOT NULL"), "dedup-decisions")
+    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    repeated = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    order = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    again = kept.join(repeated, "doc_id", "left_semi").withColumn("_place", F.row_number().over(order)).filter("_place = 1").select(*docs.columns)
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(again)
 
 
 def op9_simhash_dedup(spark, sf_dir):

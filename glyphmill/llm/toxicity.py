@@ -290,5 +290,25 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select("doc_id", (id_bucket(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
 
 
+def _keep_clean(lm: list, model: tuple[float, dict[str, float]], column: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[str, ...]] = {}
+        for batch in batches:
+            keep = []
+            for text in batch.column(column).to_pylist():
+                keep.append(score(text or "", lm, model, known) < ACCEPT)
+                if len(known) > REMEMBERED:
+                    known.clear()
+            yield batch.filter(pa.array(keep, type=pa.bool_()))
+
+    return run
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs whose score is under ACCEPT, unchanged, with whatever columns they have."""
+    lm, model = fit(docs, labels)
+    return docs.mapInArrow(_keep_clean(lm, model, docs.columns.index("text")), docs.schema)
+
+
 def op5_toxicity_viterbi(spark, sf_dir):
     return toxicity_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
