@@ -1,0 +1 @@
+"""The stateless operators over streams."""
