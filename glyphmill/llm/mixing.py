@@ -80,7 +80,7 @@ def mix(docs: DataFrame) -> DataFrame:
     taken is the number of words that the mix takes from the row: whole epochs times its size, and in the last
     epoch all, none, or, for the one row of a source where its budget ends, as many words as are left. So each
     source's taken words are its target without the fraction. Null text has size 0 and takes nothing; null
-    sources are one source, the last; of rows with one doc_id all have one key and stand in order of text; an
+    sources are one source, the last; rows of one doc_id with equal keys stand in order of text; an
     empty table gives no rows; other columns stay (names with these meanings are replaced).
     """
     clash = {"size", "source_size", "target", "taken", "_epochs", "_part", "_size", "_key", "_bucket", "_cut", "_before", "_source"}
@@ -111,19 +111,18 @@ def mix(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The rows that the mix takes, with the columns of docs: a row for each epoch, the last one cut to its words.
 
-    Documents without words have nothing to take and stay once, as they are.
+    Documents without words have nothing to take and stay once, as they are; so do columns of any other name.
     """
-    names = docs.columns
-    taken = mix(docs)
+    given = docs.select("doc_id", "text", "source", F.struct("*").alias("_row"))
     epoch = F.explode(F.sequence(F.lit(1), F.greatest(F.when(F.col("size") == 0, F.lit(1)).otherwise(F.col("_epochs") + F.when(F.col("_part") > 0, 1).otherwise(0)), F.lit(0)))).alias("_epoch")
-    kept = taken.filter((F.col("size") == 0) | (F.col("taken") > 0)).select("*", epoch)
+    kept = mix(given).filter((F.col("size") == 0) | (F.col("taken") > 0)).select("*", epoch)
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     cut = (F.col("_epoch") > F.col("_epochs")) & (F.col("_part") < F.col("size"))
     text = F.when(cut, F.array_join(F.slice(words, F.lit(1), F.col("_part").cast("int")), "")).otherwise(F.col("text"))
-    changed = kept.withColumn("text", text)
-    if "n_chars" in names:
-        changed = changed.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return changed.select(*names)
+    changed = kept.select("_row", cut.alias("_is_cut"), text.alias("_new"))
+    length = F.when(F.col("_is_cut"), F.length("_new").cast("long")).otherwise(F.col("_row")["n_chars"]) if "n_chars" in docs.columns else None
+    own = {"text": F.col("_new"), "n_chars": length}
+    return changed.select(*[own.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def op4_mix(spark, sf_dir):

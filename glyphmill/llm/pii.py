@@ -226,9 +226,10 @@ def _joined(spans: str) -> Column:
 def redact(docs: DataFrame, model: tuple[float, dict[str, float]] | None = None) -> DataFrame:
     """docs with every span's text replaced by its kind in brackets; overlapping spans become one, of the first.
 
-    n_chars, where it is there, becomes the new length of changed texts; null texts stay null.
+    n_chars, where it is there, becomes the new length of changed texts; null texts stay null; other columns
+    stay as they are, whatever their names.
     """
-    found = with_spans(docs, model)
+    found = with_spans(docs.select("text", F.struct("*").alias("_row")), model)
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     text = F.col("_text")
 
@@ -241,14 +242,18 @@ def redact(docs: DataFrame, model: tuple[float, dict[str, float]] | None = None)
     first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
     whole = F.aggregate("_spans", first, step, lambda d: F.concat(F.array_join(d["parts"], ""), F.substring(text, d["at"] + 1, F.length(text))))
     changed = F.size("_spans") > 0
-    out = found.withColumn("_new", F.when(changed, whole).otherwise(F.col("text"))).withColumn("text", F.col("_new"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("_new").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    out = found.select("_row", changed.alias("_changed"), F.when(changed, whole).otherwise(F.col("text")).alias("_new"))
+    length = F.when(F.col("_changed"), F.length("_new").cast("long")).otherwise(F.col("_row")["n_chars"]) if "n_chars" in docs.columns else None
+    own = {"text": F.col("_new"), "n_chars": length}
+    return out.select(*[own.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def op1_pii_weak_supervision(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = with_spans(docs)
-    counts = [F.size(F.filter("_base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k}") for i, k in enumerate(BASE_KINDS)]
+
+    def number(kind: int) -> Column:
+        return F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("long")
+
+    counts = [number(i).alias(f"n_{k}") for i, k in enumerate(BASE_KINDS)]
     return found.select("doc_id", *counts, F.sha2(_joined("_base"), 256).alias("base_sha256"), _joined("_spans").alias("spans"))

@@ -215,7 +215,7 @@ def near_duplicate_components(docs: DataFrame) -> DataFrame:
 def keep_one_per_component(docs: DataFrame) -> DataFrame:
     """The rows of docs, one document of each near-duplicate component: the one with the smallest doc_id.
 
-    Of rows repeated under that doc_id one stays, the least by text and then by the other columns. Rows without
+    Of rows repeated under that doc_id one stays, the least by text and then by the other columns as JSON. Rows without
     a doc_id cannot be named and stay. Only ids are joined to the texts, and only those that go.
     """
     found = staged(near_duplicate_components(docs).filter("doc_id IS NOT NULL"), "dedup-decisions")
@@ -224,8 +224,10 @@ def keep_one_per_component(docs: DataFrame) -> DataFrame:
     repeated = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if repeated.isEmpty():
         return kept
-    order = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    again = kept.join(repeated, "doc_id", "left_semi").withColumn("_place", F.row_number().over(order)).filter("_place = 1").select(*docs.columns)
+    rest = F.to_json(F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")], F.lit(0)))
+    packed = kept.join(repeated, "doc_id", "left_semi").select("doc_id", "text", rest.alias("_rest"), F.struct("*").alias("_row"))
+    order = Window.partitionBy("doc_id").orderBy("text", "_rest")
+    again = packed.withColumn("_place", F.row_number().over(order)).filter("_place = 1").select("_row.*")
     return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(again)
 
 
