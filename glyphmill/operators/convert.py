@@ -37,6 +37,17 @@ def replacement_counts(events: DataFrame, by: list[str] | None = None) -> DataFr
     return events.filter("source <> target").groupBy(*(by or []), "source", "target").agg(F.count("*").alias("hits"))
 
 
+def character_counts(df: DataFrame, by: list[str], column: str, table: dict[str, str]) -> DataFrame:
+    """(by..., source, target, hits) of single characters: sums of each group, without a row for every character.
+
+    Only characters that occur have a row. by must not name source, target or hits.
+    """
+    pairs = [(a, b) for a, b in table.items() if a != b]
+    hits = [F.sum(F.length(column) - F.length(F.translate(column, a, ""))).alias(f"_{i}") for i, (a, _) in enumerate(pairs)]
+    rows = F.array(*[F.struct(F.lit(a).alias("source"), F.lit(b).alias("target"), F.col(f"_{i}").alias("hits")) for i, (a, b) in enumerate(pairs)])
+    return df.groupBy(*by).agg(*hits).select(*by, F.explode(rows).alias("_r")).select(*by, "_r.*").filter("hits > 0")
+
+
 def top_replacements(counts: DataFrame, n: int = 20) -> DataFrame:
     return counts.orderBy(F.col("hits").desc(), "source", "target").limit(n)
 

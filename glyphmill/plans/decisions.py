@@ -32,7 +32,7 @@ def mode(kind: Column, source: Column, target: Column, phrases: Column) -> Colum
 
 def language_tag(kind: Column, source: Column, target: Column) -> Column:
     """Tag of the converted book; null where it stays as it is."""
-    tags = F.element_at(F.array(*[F.lit(t) for t in TAGS]), F.least(target, F.lit(2)) + 1)
+    tags = F.element_at(F.array(*[F.lit(t) for t in TAGS]), F.least(target, F.lit(2)).cast("int") + 1)
     between = (kind == 3) & source.isin(0, 1, 2) & target.isin(0, 1, 2) & (source != target)
     return F.when((kind == 1) & (target == 0), "zh-Hans-CN").when(kind == 2, tags).when(between, tags)
 

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from glyphmill.queries import books, conversion
+
+QUERIES = conversion.QUERIES | books.QUERIES
+ORACLE_SQL: dict[str, str] = conversion.ORACLE_SQL | books.ORACLE_SQL
