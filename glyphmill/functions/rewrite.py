@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from glyphmill.plans.program import SEPARATORS, Dictionary, Entry, Program
 
@@ -43,6 +45,8 @@ OPEN, CLOSE, FIRST = "\ufdd0", "\ufdd1", 0x100000
 RESERVED = "[\ufdd0\ufdd1\U00100000-\U0010fffd]"
 #: Largest number of phrase keys that go into expressions; each costs one of them.
 NATIVE_KEYS = 200
+#: Units whose conversions a worker remembers.
+REMEMBERED = 500_000
 
 
 # ---- in expressions --------------------------------------------------------------------------------------
@@ -105,7 +109,7 @@ def convert(text: Column, p: Program) -> Column:
     if not (p.stages or p.normalize or p.chained or p.pivot or p.post):
         return text
     if not fits_natively(p):
-        return details(text, p)["text"]
+        return in_arrow(text, p)
     steps = native_steps(p)
     marked = any(kind != "translate" for kind, *_ in steps)
     return _run_steps(F.regexp_replace(text, RESERVED, "") if marked else text, steps)
@@ -114,27 +118,33 @@ def convert(text: Column, p: Program) -> Column:
 # ---- in an Arrow UDF -------------------------------------------------------------------------------------
 
 
-def claims(text: str, tables: list[list[tuple[int, dict[str, Entry]]]]) -> list[tuple[int, int, Entry]]:
-    """(start, end, entry) of what the tables claim of text, in order of place."""
+Tier = tuple[int, dict[str, Entry], re.Pattern[str]]
+
+
+def tiers(dictionary: Dictionary) -> list[Tier]:
+    """(length, keys, pattern of their first characters), the longest keys first."""
+    return [(n, keys, re.compile(f"[{re.escape(''.join({k[0] for k in keys}))}]")) for n, keys in dictionary.by_length()]
+
+
+def claims(text: str, tables: list[list[Tier]]) -> tuple[list[tuple[int, int, Entry]], list[tuple[int, int]]]:
+    """(start, end, entry) of what the tables claim of text, in order of place, and the gaps between."""
     gaps, found = [(0, len(text))], []
     for lengths in tables:
-        for n, keys in lengths:
+        for n, keys, starts in lengths:
             left = []
             for start, end in gaps:
-                at = start
-                while at + n <= end:
-                    entry = keys.get(text[at : at + n])
-                    if entry is None:
-                        at += 1
+                for hit in starts.finditer(text, start, max(start, end - n + 1)):
+                    at = hit.start()
+                    if at < start or (entry := keys.get(text[at : at + n])) is None:
                         continue
                     found.append((at, at + n, entry))
                     if start < at:
                         left.append((start, at))
-                    start = at = at + n
+                    start = at + n
                 if start < end:
                     left.append((start, end))
             gaps = left
-    return sorted(found, key=lambda c: c[0])
+    return sorted(found, key=lambda c: c[0]), gaps
 
 
 def forward_pieces(text: str, keys: frozenset[str], longest: int) -> Iterator[str]:
@@ -171,15 +181,17 @@ class Runner:
 
     def __init__(self, p: Program, segmenter: Callable[[str], list[str]] | None = None):
         self.p = p
-        self.stages = [[d.by_length() for d in stage] for stage in p.stages]
-        self.normalize = [[d.by_length()] for d in p.normalize]
+        self.stages = [[tiers(d) for d in stage] for stage in p.stages]
+        self.normalize = [[tiers(d)] for d in p.normalize]
+        self.quick = [self._quick(tables) for tables in [*self.normalize, *self.stages]]
+        self.known: dict[str, str] = {}
         self.chained = [Runner(q) for q in p.chained]
         self.pivot = Runner(p.pivot) if p.pivot else None
         self.longest = max(map(len, p.segment_keys or ()), default=0)
         self.segmenter = segmenter
 
     def _stage(self, text: str, tables: list, events: list | None) -> tuple[str, list]:
-        found, parts, at = claims(text, tables), [], 0
+        (found, _), parts, at = claims(text, tables), [], 0
         for start, end, entry in found:
             parts += [text[at:start], entry.target]
             at = end
@@ -188,6 +200,55 @@ class Runner:
                 events.append((text[start:end], entry.target, entry.dictionary, kind, entry.ambiguous, list(entry.candidates)))
         return "".join((*parts, text[at:])), found
 
+    @staticmethod
+    def _quick(tables: list[list[Tier]]) -> tuple[list[list[Tier]], dict[int, str]]:
+        """A stage's tables without a last tier of single characters, and that tier to translate with."""
+        last = tables[-1][-1:] if tables else []
+        if not last or last[0][0] != 1:
+            return tables, {}
+        return [*tables[:-1], tables[-1][:-1]], {ord(k): e.target for k, e in last[0][1].items()}
+
+    @staticmethod
+    def _apply(text: str, quick: tuple[list[list[Tier]], dict[int, str]]) -> str:
+        tables, table = quick
+        if not any(tables):
+            return text.translate(table)
+        found, parts, at = claims(text, tables)[0], [], 0
+        for start, end, entry in found:
+            parts += [text[at:start].translate(table), entry.target]
+            at = end
+        return "".join((*parts, text[at:].translate(table)))
+
+    def _unit(self, unit: str) -> str:
+        parts = []
+        for segment in self._segments(unit):
+            for quick in self.quick[len(self.normalize) :]:
+                segment = self._apply(segment, quick)
+            parts.append(segment)
+        return "".join(parts)
+
+    def text(self, text: str) -> str:
+        """The converted text alone; units that come again are remembered."""
+        if self.pivot:
+            text = self.pivot.text(text)
+        if self.chained:
+            for r in self.chained:
+                text = r.text(text)
+        else:
+            for quick in self.quick[: len(self.normalize)]:
+                text = self._apply(text, quick)
+            units, known = _SPLIT.split(text), self.known
+            for i in range(0, len(units), 2):
+                unit = units[i]
+                if unit:
+                    if (found := known.get(unit)) is None:
+                        if len(known) > REMEMBERED:
+                            known.clear()
+                        found = known[unit] = self._unit(unit)
+                    units[i] = found
+            text = "".join(units)
+        return self.p.post(text) if self.p.post else text
+
     def _segments(self, unit: str) -> list[str]:
         if self.segmenter:
             return self.segmenter(unit)
@@ -263,38 +324,51 @@ class Runner:
         return out, spans
 
 
-def details(text: Column, p: Program, segmenter: Callable[[str], list[str]] | None = None) -> Column:
-    """struct<text, spans, events> of a conversion; null for null."""
+def _arrow_udf(kind: T.DataType | str, p: Program, each: Callable, segmenter: Callable[[str], list[str]] | None = None) -> Callable[[Column], Column]:
+    """An Arrow UDF of one text column: each(runner, value) for every value that is not null."""
+    out = T.DataType.fromDDL(kind) if isinstance(kind, str) else kind
+    arrow = to_arrow_type(out)
     ready: list[Runner] = []
 
-    @F.pandas_udf(DETAILS)
-    def run(s: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(out)
+    def run(values: pa.Array) -> pa.Array:
         if not ready:
             ready.append(Runner(p, segmenter))
-        rows = []
-        for value in s:
-            if value is None:
-                rows.append((None, None, None))
-                continue
-            events: list = []
-            out, spans = ready[0].run(value, events)
-            rows.append((out, [dict(zip(SPAN.names, x)) for x in spans], [dict(zip(EVENT.names, x)) for x in events]))
-        return pd.DataFrame(rows, columns=DETAILS.names)
+        return pa.array([None if v is None else each(ready[0], v) for v in values.to_pylist()], type=arrow)
 
-    return run(text)
+    return run
 
 
-def convert_array(values: Column, p: Program) -> Column:
-    """An array of texts converted by the Arrow UDF; null elements stay null."""
-    ready: list[Runner] = []
+def in_arrow(text: Column, p: Program) -> Column:
+    """text converted by the Arrow UDF; null stays null."""
+    return _arrow_udf(T.StringType(), p, lambda runner, v: runner.text(v))(text)
 
-    @F.pandas_udf("array<string>")
-    def run(s: pd.Series) -> pd.Series:
-        if not ready:
-            ready.append(Runner(p))
-        return s.map(lambda xs: None if xs is None else [None if x is None else ready[0].run(x)[0] for x in xs])
 
-    return run(values)
+def details(text: Column, p: Program, segmenter: Callable[[str], list[str]] | None = None) -> Column:
+    """struct<text, spans, events> of a conversion; null for null."""
+
+    def each(runner: Runner, value: str) -> tuple:
+        events: list = []
+        out, spans = runner.run(value, events)
+        return out, spans, events
+
+    return _arrow_udf(DETAILS, p, each, segmenter)(text)
+
+
+def counted_events(text: Column, p: Program) -> Column:
+    """array<struct<source, target, kind, ambiguous, hits>>: a text's events, equal ones counted; null for null."""
+
+    def each(runner: Runner, value: str) -> list[tuple]:
+        events: list = []
+        runner.run(value, events)
+        return [(*k, n) for k, n in Counter((e[0], e[1], e[3], e[4]) for e in events).items()]
+
+    return _arrow_udf("array<struct<source:string,target:string,kind:string,ambiguous:boolean,hits:bigint>>", p, each)(text)
+
+
+def convert_array(values: Column, p: Program) -> Column:
+    """An array of texts converted by the Arrow UDF; null elements stay null."""
+    return _arrow_udf("array<string>", p, lambda runner, xs: [None if x is None else runner.text(x) for x in xs])(values)
 
 
 def aligned(original: str, converted: str) -> list[tuple[str, str]]:

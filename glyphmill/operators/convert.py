@@ -33,8 +33,9 @@ def changed_only(df: DataFrame, before: str, after: str) -> DataFrame:
 
 
 def replacement_counts(events: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(by..., source, target, hits) of exploded events (source, target) that change something."""
-    return events.filter("source <> target").groupBy(*(by or []), "source", "target").agg(F.count("*").alias("hits"))
+    """(by..., source, target, hits) of exploded events (source, target, and hits if counted) that change something."""
+    hits = F.sum("hits") if "hits" in events.columns else F.count("*")
+    return events.filter("source <> target").groupBy(*(by or []), "source", "target").agg(hits.alias("hits"))
 
 
 def character_counts(df: DataFrame, by: list[str], column: str, table: dict[str, str]) -> DataFrame:

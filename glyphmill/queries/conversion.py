@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as T
-from glyphmill.functions.rewrite import convert, details
+from glyphmill.functions.rewrite import convert, counted_events, details, in_arrow
 from glyphmill.functions.segment import SEPARATOR, UNIT, alternation, forward_segments, units
 from glyphmill.operators import convert as C
 from glyphmill.queries.samples import CHARACTER_PROGRAM, HAN_SQL, PHRASE_PROGRAM, PHRASES, REGIONAL, SIMPLIFIED, TRADITIONAL, han, phrase_sql
@@ -26,9 +26,16 @@ def phrase_convert(spark, sf_dir):
 
 
 def phrase_convert_arrow(spark, sf_dir):
-    """The same program in the Arrow UDF, which also gives spans."""
-    found = _documents(spark, sf_dir).select("doc_id", details(han(F.col("text")), PHRASE_PROGRAM).alias("d"))
-    return found.select("doc_id", F.col("d.text").alias("converted"))
+    """The same program in the Arrow UDF, as large dictionaries need it."""
+    return _documents(spark, sf_dir).select("doc_id", in_arrow(han(F.col("text")), PHRASE_PROGRAM).alias("converted"))
+
+
+def phrase_spans(spark, sf_dir):
+    """Spans of short documents: their number, and whether they cover the text and the result."""
+    docs = _documents(spark, sf_dir).filter(F.length("text") <= 1000).select("doc_id", han(F.col("text")).alias("h"))
+    found = docs.select("doc_id", "h", details(F.col("h"), PHRASE_PROGRAM).alias("d")).select("doc_id", "h", "d.*")
+    joined = lambda f: F.array_join(F.transform("spans", lambda x: x[f]), "")
+    return found.select("doc_id", (joined("source") == F.col("h")).alias("covers"), (joined("target") == F.col("text")).alias("gives"), F.col("text").alias("converted"))
 
 
 def changed_documents(spark, sf_dir):
@@ -50,8 +57,8 @@ def top_replacements(spark, sf_dir):
 
 
 def _phrase_events(spark, sf_dir) -> DataFrame:
-    docs = _documents(spark, sf_dir).select("doc_id", "lang", han(F.col("text")).alias("text"))
-    return C.converted(docs, PHRASE_PROGRAM).select("lang", F.explode("_events").alias("e")).select("lang", "e.source", "e.target", "e.kind", "e.ambiguous")
+    docs = _documents(spark, sf_dir).select("lang", F.explode(counted_events(han(F.col("text")), PHRASE_PROGRAM)).alias("e"))
+    return docs.select("lang", "e.*")
 
 
 def phrase_counts(spark, sf_dir):
@@ -162,7 +169,7 @@ def _re2(pattern: str) -> str:
 QUERIES = {
     f.__name__: f
     for f in (
-        char_convert, phrase_convert, phrase_convert_arrow, changed_documents, replacement_counts, top_replacements, phrase_counts, replacement_totals,
+        char_convert, phrase_convert, phrase_convert_arrow, phrase_spans, changed_documents, replacement_counts, top_replacements, phrase_counts, replacement_totals,
         restyled, unit_split, forward_match, mixed_script, script_votes, conversion_statistics, conversation_convert, first_samples,
     )
 }
@@ -171,6 +178,7 @@ ORACLE_SQL = {
     "char_convert": f"SELECT doc_id, translate({HAN_SQL}, '{SIMPLIFIED}', '{TRADITIONAL}') AS converted FROM documents",
     "phrase_convert": f"SELECT doc_id, {_PHRASE} AS converted FROM (SELECT doc_id, {HAN_SQL} AS h FROM documents)",
     "phrase_convert_arrow": f"SELECT doc_id, {_PHRASE} AS converted FROM (SELECT doc_id, {HAN_SQL} AS h FROM documents)",
+    "phrase_spans": f"SELECT doc_id, TRUE AS covers, TRUE AS gives, {_PHRASE} AS converted FROM (SELECT doc_id, {HAN_SQL} AS h FROM documents WHERE length(text) <= 1000)",
     "changed_documents": f"SELECT doc_id, length(h) AS chars_before, length(a) AS chars_after FROM (SELECT doc_id, h, {_PHRASE} AS a FROM (SELECT doc_id, {HAN_SQL} AS h FROM documents)) WHERE h IS DISTINCT FROM a",
     "replacement_counts": _char_sql("corpus"),
     "top_replacements": _char_sql("") + " ORDER BY hits DESC, source, target LIMIT 20",
