@@ -27,7 +27,6 @@ def main() -> None:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
-        .config("spark.sql.files.maxPartitionBytes", "4m")
         .config("spark.local.dir", tempfile.mkdtemp(prefix="spark-"))
         .getOrCreate()
     )

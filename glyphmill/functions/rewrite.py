@@ -185,6 +185,7 @@ class Runner:
         self.normalize = [[tiers(d)] for d in p.normalize]
         self.quick = [self._quick(tables) for tables in [*self.normalize, *self.stages]]
         self.known: dict[str, str] = {}
+        self.counted: dict[str, Counter] = {}
         self.chained = [Runner(q) for q in p.chained]
         self.pivot = Runner(p.pivot) if p.pivot else None
         self.longest = max(map(len, p.segment_keys or ()), default=0)
@@ -249,6 +250,28 @@ class Runner:
             text = "".join(units)
         return self.p.post(text) if self.p.post else text
 
+    def counts(self, text: str) -> Counter:
+        """How often each (source, target, kind, ambiguous) occurs among a text's events."""
+        brief = lambda events: Counter((e[0], e[1], e[3], e[4]) for e in events)
+        events: list = []
+        if self.pivot or self.chained:
+            self.run(text, events)
+            return brief(events)
+        for quick in self.quick[: len(self.normalize)]:
+            text = self._apply(text, quick)
+        total: Counter = Counter()
+        for unit, times in Counter(_SPLIT.split(text)[::2]).items():
+            if (found := self.counted.get(unit)) is None:
+                if len(self.counted) > REMEMBERED:
+                    self.counted.clear()
+                events = []
+                for segment in self._segments(unit):
+                    self._segment(segment, 0, events)
+                found = self.counted[unit] = brief(events)
+            for key, n in found.items():
+                total[key] += n * times
+        return total
+
     def _segments(self, unit: str) -> list[str]:
         if self.segmenter:
             return self.segmenter(unit)
@@ -359,9 +382,7 @@ def counted_events(text: Column, p: Program) -> Column:
     """array<struct<source, target, kind, ambiguous, hits>>: a text's events, equal ones counted; null for null."""
 
     def each(runner: Runner, value: str) -> list[tuple]:
-        events: list = []
-        runner.run(value, events)
-        return [(*k, n) for k, n in Counter((e[0], e[1], e[3], e[4]) for e in events).items()]
+        return [(*k, n) for k, n in runner.counts(value).items()]
 
     return _arrow_udf("array<struct<source:string,target:string,kind:string,ambiguous:boolean,hits:bigint>>", p, each)(text)
 

@@ -11,11 +11,24 @@ from pyspark.sql import functions as F
 from glyphmill.plans.program import SEPARATORS
 
 #: Unicode white space, spelled out so that every regular-expression dialect reads it alike.
-SPACES = "\t-\r \x85\xa0  -     　"
-_MARKS = re.escape(SEPARATORS)
+SPACES = "".join(map(chr, (*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
+def char_class(chars: str) -> str:
+    """The inside of a character class: neighbouring code points as ranges, which match faster one by one."""
+    ranges: list[list[int]] = []
+    for code in sorted(set(map(ord, chars))):
+        if ranges and ranges[-1][1] + 1 == code:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    show = lambda c: f"\\x{{{c:X}}}"
+    return "".join(show(x) if x == y else f"{show(x)}-{show(y)}" for x, y in ranges)
+
+
 #: A run of white space or one mark; and whatever stands between those.
-SEPARATOR = f"[{SPACES}]+|[{_MARKS}]"
-UNIT = f"[^{SPACES}{_MARKS}]+"
+SEPARATOR = f"[{char_class(SPACES)}]+|[{char_class(SEPARATORS)}]"
+UNIT = f"[^{char_class(SPACES + SEPARATORS)}]+"
 
 
 def units(text: Column) -> Column:

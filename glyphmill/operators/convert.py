@@ -44,7 +44,8 @@ def character_counts(df: DataFrame, by: list[str], column: str, table: dict[str,
     Only characters that occur have a row. by must not name source, target or hits.
     """
     pairs = [(a, b) for a, b in table.items() if a != b]
-    hits = [F.sum(F.length(column) - F.length(F.translate(column, a, ""))).alias(f"_{i}") for i, (a, _) in enumerate(pairs)]
+    without = lambda a: F.octet_length(F.replace(F.col(column), F.lit(a), F.lit("")))
+    hits = [F.sum((F.octet_length(column) - without(a)) / len(a.encode())).cast("long").alias(f"_{i}") for i, (a, _) in enumerate(pairs)]
     rows = F.array(*[F.struct(F.lit(a).alias("source"), F.lit(b).alias("target"), F.col(f"_{i}").alias("hits")) for i, (a, b) in enumerate(pairs)])
     return df.groupBy(*by).agg(*hits).select(*by, F.explode(rows).alias("_r")).select(*by, "_r.*").filter("hits > 0")
 

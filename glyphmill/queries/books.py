@@ -8,6 +8,7 @@ from glyphmill.functions import text as T
 from glyphmill.operators import convert as C
 from glyphmill.operators import dictionaries as D
 from glyphmill.plans import decisions as P
+from glyphmill.sources.tables import read_table, spread
 
 CODES = ("zh_TW", "zh-Latn", "cmn", "ja-JP", "en", "", "YUE", "zh-hant-hk", "zh_cyrl_x", " jpn ")
 _SUFFIXES = ("", "_简体中文_2024-01-02_03-04-05", "_繁體中文_台灣_双语标注_20240102_030405", "_日文汉字_ab12 _繁体中文_01-02_03-04_2", "_简体中文", "_中文转换_x")
@@ -19,7 +20,7 @@ def _pick(values: tuple[str, ...], index) -> F.Column:
 
 def language_classes(spark, sf_dir):
     """Language codes by kind, and code lists by whether they can be converted."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, sf_dir, "documents")
     coded = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.col("lang")).otherwise(_pick(CODES, F.col("doc_id"))).alias("code"))
     pair = F.array("code", _pick(CODES, F.col("doc_id") + 3))
     return coded.select("doc_id", T.language_kind(F.col("code")).alias("kind"), T.languages_support(pair).alias("support"))
@@ -27,44 +28,44 @@ def language_classes(spark, sf_dir):
 
 def unsupported_languages(spark, sf_dir):
     """Documents without a language that can be converted, with their codes."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.array("lang", _pick(CODES, F.col("doc_id"))).alias("codes"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.array("lang", _pick(CODES, F.col("doc_id"))).alias("codes"))
     return docs.filter(T.languages_support(F.col("codes")) == "unsupported").select("doc_id", F.array_join("codes", ", ").alias("languages"))
 
 
 def page_previews(spark, sf_dir):
     """Plain text of each page's body, cut at 200 characters."""
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", T.plain_preview(F.col("html"), 200).alias("preview"))
+    return spread(read_table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", T.plain_preview(F.col("html"), 200).alias("preview"))
 
 
 def lang_attributes(spark, sf_dir):
     """Start tags of pages with their language attributes rewritten."""
     tag = F.regexp_extract("html", "(?i)<html[^>]*>", 0)
     chinese = F.replace(F.replace(tag, F.lit('lang="en"'), F.lit('lang="zh-TW"')), F.lit('lang="fr"'), F.lit('LANG="ZH-Latn-x"'))
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", T.rewrite_lang(chinese, "zh-Hans-CN").alias("tag"))
+    return spread(read_table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", T.rewrite_lang(chinese, "zh-Hans-CN").alias("tag"))
 
 
 def title_sanitize(spark, sf_dir):
     """Titles freed from the suffixes of earlier conversions."""
     title = F.concat(F.lit(" Order "), F.col("o_orderkey"), _pick(_SUFFIXES, F.col("o_orderkey")))
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", T.sanitize_title(title).alias("title"))
+    return read_table(spark, sf_dir, "orders").select("o_orderkey", T.sanitize_title(title).alias("title"))
 
 
 def title_suffixes(spark, sf_dir):
     """Suffixes of converted titles from each job's type, locale and time."""
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = read_table(spark, sf_dir, "orders")
     code = T.time_code(F.col("o_orderdate"), "compact")
     return orders.select("o_orderkey", T.title_suffix(F.col("o_orderkey") % 4, F.col("o_custkey") % 4, F.col("o_orderkey") % 2 == 0, code).alias("suffix"))
 
 
 def time_code_sequence(spark, sf_dir):
     """Time codes made distinct by a number."""
-    coded = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", T.time_code(F.date_trunc("day", "o_orderdate"), "iso").alias("code"))
+    coded = read_table(spark, sf_dir, "orders").select("o_orderkey", T.time_code(F.date_trunc("day", "o_orderdate"), "iso").alias("code"))
     return C.time_codes(coded, "code", ["o_orderkey"])
 
 
 def span_merge(spark, sf_dir):
     """Order lines as spans: neighbours of one state joined."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    lines = read_table(spark, sf_dir, "lineitem")
     spans = lines.groupBy("l_orderkey", (F.col("l_linenumber") - 1).alias("source_start"), F.col("l_linenumber").alias("source_end")).agg(F.min("l_returnflag").alias("source"), F.min("l_linestatus").alias("target"), F.max("l_quantity").alias("q"))
     stated = spans.withColumn("kind", F.when(F.col("q") > 20, "phrase").otherwise("character")).withColumn("dictionary", F.lit("d")).withColumn("ambiguous", F.col("q") > 40).drop("q")
     return C.merged_spans(stated, ["l_orderkey"])
@@ -72,7 +73,7 @@ def span_merge(spark, sf_dir):
 
 def _rows(spark, sf_dir):
     """Parts as dictionary rows: the name is the key, the words of the type its candidates."""
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    parts = read_table(spark, sf_dir, "part")
     return parts.select(F.col("p_brand").alias("dict_name"), F.substring("p_name", 1, 12).alias("key"), F.split("p_type", " ").alias("candidates"), F.col("p_partkey").alias("line_no"))
 
 
@@ -105,7 +106,7 @@ def only_targets(spark, sf_dir):
 
 def job_decisions(spark, sf_dir):
     """Mode, language tag, table locale and pivot of each job."""
-    jobs = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+    jobs = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", (F.col("o_orderkey") % 4).alias("k"), (F.col("o_custkey") % 4).alias("s"), (F.floor(F.col("o_custkey") / 4) % 4).alias("t"), (F.col("o_totalprice") > 50000).alias("p")
     )
     k, s, t, p = (F.col(c) for c in "kstp")
@@ -117,14 +118,14 @@ def job_decisions(spark, sf_dir):
 
 def job_progress(spark, sf_dir):
     """Durations and remaining time of jobs."""
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("elapsed"), F.count("*").alias("done"))
+    lines = read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sum("l_quantity").alias("elapsed"), F.count("*").alias("done"))
     left = T.remaining(F.col("elapsed"), F.col("done"), F.lit(5))
     return lines.select("l_orderkey", T.duration(F.col("elapsed") * 60).alias("took"), T.duration(F.floor(left * 10)).alias("remains"), T.stage_key(F.concat(F.lit("Part "), F.col("done"), F.lit("/7 · x"))).alias("stage"))
 
 
 def work_units(spark, sf_dir):
     """Parts by kind, and each brand's units of work."""
-    parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+    parts = read_table(spark, sf_dir, "part")
     mime = _pick(("application/xhtml+xml", "text/css", "image/png", "Font/woff", "application/x-font-opentype", "text/plain"), F.col("p_partkey"))
     name = F.concat(F.col("p_name"), _pick((".xhtml", ".css", ".png", ".woff", ".bin", ".TTF", ".txt"), F.col("p_partkey")))
     kinds = parts.select("p_brand", mime.alias("mime"), name.alias("name"))
@@ -137,7 +138,7 @@ def work_units(spark, sf_dir):
 
 def recognized_text(spark, sf_dir):
     """Text from images without notes, counters and signs."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     head = _pick(("丷 ", "·· ", "Detected text: ", "", "__ "), F.col("doc_id"))
     tail = _pick((" 46 个 ×", "", " 7 個 × ", " and a long tail in plain Latin letters"), F.col("doc_id"))
     return docs.select("doc_id", T.clean_recognized(F.concat(head, F.translate(F.lower(F.substring("text", 1, 40)), "aeiot", "后面系范卷"), F.lit("松"), tail)).alias("clean"))
@@ -146,7 +147,7 @@ def recognized_text(spark, sf_dir):
 def font_families(spark, sf_dir):
     """Families that style sheets name, case aside, and the sheets of each."""
     css = F.concat(F.lit("p{font-family: '"), F.col("p_brand"), F.lit("', serif, "), F.upper("p_brand"), F.lit("} h1 {Font-Family:\""), F.substring_index("p_type", " ", 1), F.lit("\"}"))
-    sheets = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.explode(T.font_families(css)).alias("family"))
+    sheets = read_table(spark, sf_dir, "part").select(F.explode(T.font_families(css)).alias("family"))
     return sheets.groupBy("family").agg(F.count("*").alias("sheets"))
 
 

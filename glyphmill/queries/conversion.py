@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import text as T
 from glyphmill.functions.rewrite import convert, counted_events, details, in_arrow
-from glyphmill.functions.segment import SEPARATOR, UNIT, alternation, forward_segments, units
+from glyphmill.functions.segment import SEPARATOR, UNIT, alternation, forward_segments
 from glyphmill.operators import convert as C
+from glyphmill.sources.tables import read_table, spread
 from glyphmill.queries.samples import CHARACTER_PROGRAM, HAN_SQL, PHRASE_PROGRAM, PHRASES, REGIONAL, SIMPLIFIED, TRADITIONAL, han, phrase_sql
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
 def char_convert(spark, sf_dir):
@@ -81,9 +82,8 @@ def restyled(spark, sf_dir):
 
 def unit_split(spark, sf_dir):
     """Units and separators of each document."""
-    found = _documents(spark, sf_dir).select("doc_id", units(F.col("text")).alias("u"))
-    is_unit = lambda x: x.rlike(f"^{UNIT}$")
-    return found.select("doc_id", F.size(F.filter("u", is_unit)).cast("long").alias("units"), F.size(F.filter("u", lambda x: ~is_unit(x))).cast("long").alias("separators"))
+    count = lambda pattern: F.regexp_count("text", F.lit(pattern)).cast("long")
+    return _documents(spark, sf_dir).select("doc_id", count(UNIT).alias("units"), count(SEPARATOR).alias("separators"))
 
 
 def forward_match(spark, sf_dir):
@@ -157,15 +157,6 @@ _PAIRS = list(zip(T.HORIZONTAL, T.VERTICAL))
 _DOWN = f"translate(translate(f, '“”‘’', '「」『』'), '{T.HORIZONTAL}', '{T.VERTICAL}')"
 _VOTE = lambda s, t: f"CASE WHEN {s} > {t} THEN 'simplified' WHEN {t} > {s} THEN 'traditional' END"
 _COUNT = lambda chars: f"length(regexp_replace(t, '[^{chars}]', '', 'g'))"
-_REGEX_SPACES = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-
-
-def _re2(pattern: str) -> str:
-    from glyphmill.functions.segment import SPACES
-
-    return pattern.replace(SPACES, _REGEX_SPACES).replace("'", "''")
-
-
 QUERIES = {
     f.__name__: f
     for f in (
@@ -185,7 +176,7 @@ ORACLE_SQL = {
     "phrase_counts": f"WITH {_phrase_count_sql()} SELECT * FROM counts",
     "replacement_totals": f"WITH {_phrase_count_sql()}, summed AS (SELECT source, target, sum(hits) AS hits FROM counts GROUP BY ALL) SELECT sum(hits)::BIGINT AS hits, count(*) AS pairs, sum(length(source) * hits)::BIGINT AS chars_converted FROM summed",
     "restyled": f"SELECT doc_id, v AS vertical, translate(translate(v, '{T.VERTICAL}', '{T.HORIZONTAL}'), '「」『』', '“”‘’') AS horizontal FROM (SELECT doc_id, {_DOWN} AS v FROM (SELECT doc_id, {_FULL} AS f FROM documents))",
-    "unit_split": f"SELECT doc_id, len(regexp_extract_all(text, '{_re2(UNIT)}')) AS units, len(regexp_extract_all(text, '{_re2(SEPARATOR)}')) AS separators FROM documents",
+    "unit_split": f"SELECT doc_id, len(regexp_extract_all(text, '{UNIT}')) AS units, len(regexp_extract_all(text, '{SEPARATOR}')) AS separators FROM documents",
     "forward_match": f"""
 WITH h AS (SELECT doc_id, {HAN_SQL} AS h FROM documents),
 s AS (SELECT doc_id, list_filter(flatten(list_transform(list_zip(regexp_split_to_array(h, '{alternation(PHRASES)}'), regexp_extract_all(h, '{alternation(PHRASES)}')), lambda p: [p[1], p[2]])), lambda x: x IS NOT NULL AND x <> '') AS s FROM h)
