@@ -30,7 +30,7 @@ LEAST_SHARE, LEAST_ROWS, LEAST_ODDS = 0.01, 5, 3
 STEM, RATE = 5, 0.02
 #: Weight of the absolute and of the squared coefficients in fitting; rounds of fitting.
 SPARSE, RIDGE, ROUNDS = 2e-4, 1e-4, 400
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 #: Letters that each sign may stand for.
 LOOK_ALIKE = {
