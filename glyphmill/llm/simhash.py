@@ -9,7 +9,7 @@ next one. Buckets of equal keys are verified bit by bit and give a spanning fore
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import repeat
 
@@ -212,13 +212,13 @@ def near_duplicate_components(docs: DataFrame) -> DataFrame:
     return own.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one_per_component(docs: DataFrame) -> DataFrame:
-    """The rows of docs, one document of each near-duplicate component: the one with the smallest doc_id.
+def keep_one_per_component(docs: DataFrame, components: Callable[[DataFrame], DataFrame] = near_duplicate_components) -> DataFrame:
+    """The rows of docs, one document of each component: the one with the smallest doc_id.
 
     Of rows repeated under that doc_id one stays, the least by text and then by the other columns as JSON. Rows without
     a doc_id cannot be named and stay. Only ids are joined to the texts, and only those that go.
     """
-    found = staged(near_duplicate_components(docs).filter("doc_id IS NOT NULL"), "dedup-decisions")
+    found = staged(components(docs).filter("doc_id IS NOT NULL"), "dedup-decisions")
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     repeated = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
