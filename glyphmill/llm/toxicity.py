@@ -199,8 +199,12 @@ def _keep_features(chosen: frozenset[str]):
 
 
 def fit_words(docs: DataFrame, labels: DataFrame, lm: list) -> tuple[float, dict[str, float]]:
-    """Intercept and weights of features, by sparse logistic regression on a bounded sample."""
+    """Intercept and weights of features, by sparse logistic regression on a bounded sample.
+
+    A sampled row counts for all rows of its class that it stands for, so the class prior is that of all usable labels.
+    """
     usable = labels.filter(F.col("toxic").isNotNull() & (id_bucket(F.col("doc_id"), FOLDS) != HELD_OUT)).groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
+    stands_for = {r["toxic"]: max(1.0, r["count"] / TRAIN_ROWS) for r in usable.groupBy("toxic").count().collect()}
     hashed = usable.withColumn("h", F.xxhash64(F.lit("toxicity"), "doc_id"))
     first = [hashed.filter(F.col("toxic") == k).orderBy("h", "doc_id").limit(TRAIN_ROWS).select("doc_id", "toxic") for k in (0, 1)]
     chosen = first[0].unionByName(first[1])  # at most 2 * TRAIN_ROWS ids: a bounded side to broadcast
@@ -219,7 +223,7 @@ def fit_words(docs: DataFrame, labels: DataFrame, lm: list) -> tuple[float, dict
     x = np.zeros((len(data), len(columns)), dtype=np.float32)
     for i, r in enumerate(data):
         x[i, [at[f] for f in r["features"]]] = r["values"]
-    y, n = np.array([r["toxic"] for r in data], dtype=float), np.array([r["count"] for r in data], dtype=float)
+    y, n = np.array([r["toxic"] for r in data], dtype=float), np.array([r["count"] * stands_for[r["toxic"]] for r in data], dtype=float)
     return _fit_sparse(x, y, n / n.sum(), columns)
 
 

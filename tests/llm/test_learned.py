@@ -1,10 +1,12 @@
 """Held-out accuracy of the learned operators, and their parts against brute force."""
 
 import itertools
+import math
 from zlib import crc32
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from scoring import auc
 
 from glyphmill.llm import langid, quality, toxicity
@@ -123,3 +125,14 @@ def test_words_of_mixed_lines_are_labelled_by_language():
     words = "the garden and the house das haus und der garten".split()
     marginal, _ = langid.forward_backward(model.emissions(words), np.array([0]), np.array([len(words)]), model.transitions)
     assert [model.languages[i] for i in marginal.argmax(axis=1)] == ["en"] * 5 + ["de"] * 5
+
+
+def test_toxic_prior_is_that_of_all_labels(spark, monkeypatch):
+    """With both classes cut to a small sample, texts that say nothing get the share of toxic rows among all usable labels."""
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", 10)
+    docs = spark.range(660).select(F.col("id").alias("doc_id"), F.lit("the same few words").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 11 == 0).cast("int").alias("toxic"))
+    bias, weights = toxicity.fit_words(docs, labels, toxicity.fit_trigrams(docs).tolist())
+    used = [r for r in labels.collect() if crc32(str(r["doc_id"]).encode()) % toxicity.FOLDS != toxicity.HELD_OUT]
+    yes = sum(r["toxic"] for r in used)
+    assert not weights and abs(bias - math.log(yes / (len(used) - yes))) < 0.05
