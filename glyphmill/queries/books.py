@@ -141,7 +141,7 @@ def recognized_text(spark, sf_dir):
     docs = spread(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     head = _pick(("丷 ", "·· ", "Detected text: ", "", "__ "), F.col("doc_id"))
     tail = _pick((" 46 个 ×", "", " 7 個 × ", " and a long tail in plain Latin letters"), F.col("doc_id"))
-    return docs.select("doc_id", T.clean_recognized(F.concat(head, F.translate(F.lower(F.substring("text", 1, 40)), "aeiot", "后面系范卷"), F.lit("松"), tail)).alias("clean"))
+    return docs.select("doc_id", T.clean_recognized(F.concat(head, F.translate(F.lower("text"), "aeiot", "后面系范卷"), F.lit("松"), tail)).alias("clean"))
 
 
 def font_families(spark, sf_dir):

@@ -38,3 +38,9 @@ def test_against_sql(spark, sf, db, name):
         if rows(got, found.columns) != rows(want, names):
             mine, theirs = ({tuple(str(r[x.index(n)]) for n in sorted(x)) for r in y} for x, y in ((found.columns, got), (names, want)))
             pytest.fail(f"{len(got)} rows and {len(want)}: {sorted(mine - theirs)[:3]} ... {sorted(theirs - mine)[:3]}")
+
+
+def test_recognized_text_takes_whole_texts(spark, tmp_path):
+    text = "bcdfg hjklm " * 200 + "xend"
+    spark.createDataFrame([(3, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert "xend" in QUERIES["recognized_text"](spark, str(tmp_path)).first()["clean"].replace("面", "e")
