@@ -42,6 +42,7 @@ PIECES = T.StructType(
         T.StructField("doc_id", T.LongType()),
         T.StructField("start", T.LongType()),
         T.StructField("length", T.LongType()),
+        T.StructField("ids", T.BinaryType()),
         T.StructField("ids_crc32", T.LongType()),
         T.StructField("doc_tokens", T.LongType()),
         T.StructField("sequence_id", T.LongType()),
@@ -49,7 +50,7 @@ PIECES = T.StructType(
         T.StructField("open_fill", T.LongType()),
     ]
 )
-_ARROW = pa.schema([(f.name, pa.int64()) for f in PIECES])
+_ARROW = pa.schema([(f.name, pa.binary() if f.name == "ids" else pa.int64()) for f in PIECES])
 
 
 def _byte_letters() -> str:
@@ -194,7 +195,7 @@ def _pack(path: str, window: int, most: int):
             rows.extend((*piece, base + 2 * number, offset, fill) for offset, piece in items)
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*rows)] if rows else [pa.array([], type=pa.int64())] * len(_ARROW), schema=_ARROW)
+            out = pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows) if rows else [()] * len(_ARROW), _ARROW.types)], schema=_ARROW)
             rows.clear()
             return out
 
@@ -205,13 +206,15 @@ def _pack(path: str, window: int, most: int):
                 coded = encode(texts[i].as_py()) + END_ID
                 n = len(coded) // 4
                 for start in range(0, n - window + 1, window):
-                    rows.append((doc_id, start, window, zlib.crc32(coded[4 * start : 4 * (start + window)]), n, base + 2 * whole + 1, 0, None))
+                    own = coded[4 * start : 4 * (start + window)]
+                    rows.append((doc_id, start, window, own, zlib.crc32(own), n, base + 2 * whole + 1, 0, None))
                     whole += 1
                 if left := n % window:
-                    piece = (doc_id, n - left, left, zlib.crc32(coded[4 * (n - left) :]), n)
+                    own = coded[4 * (n - left) :]
+                    piece = (doc_id, n - left, left, own, zlib.crc32(own), n)
                     if out := windows.add(left, piece):
                         close(*out)
-                if len(rows) >= 8192:
+                if len(rows) >= 2048:
                     yield flush()
         for number, fill, items in windows.rest():
             close(number, items, fill if fill < window else None)
@@ -238,7 +241,7 @@ def _merge(window: int):
 
 
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, open_windows: int = OPEN_WINDOWS) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+    """One row per piece: doc_id, start, length, ids (four bytes each, the low one first), ids_crc32, doc_tokens, sequence_id, offset.
 
     Null and empty texts give the single end id; repeated rows are packed each by itself; a null doc_id stays
     null; an empty table gives no rows; other columns are ignored. A text that holds a special token's string
@@ -255,7 +258,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, open_window
         .applyInArrow(_merge(window), "held long, merged_id long, shift long")
     )
     late = still.join(merged, still["sequence_id"] == merged["held"]).select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens",
+        "doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens",
         F.col("merged_id").alias("sequence_id"), (F.col("offset") + F.col("shift")).alias("offset"),
     )
     return final.unionByName(late)
@@ -264,4 +267,4 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, open_window
 def op10_pack(spark, sf_dir):
     import public_tokenizers
 
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json")).drop("ids")

@@ -70,3 +70,11 @@ def test_only_so_many_windows_stay_open():
     assert sorted(i for items in out + rest for _, (i, _) in items) == list(range(2000))
     assert all(sum(n for _, (_, n) in items) <= 100 for items in out + rest)
     assert sum(100 - sum(n for _, (_, n) in items) for items in out) < 0.1 * seen
+
+
+def test_pieces_hold_their_ids(spark):
+    texts = {1: "", 2: "a few words of text", 3: "word " * 500, 4: "short"}
+    rows = pack(spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(3), PATH, 64, 2).collect()
+    for d, text in texts.items():
+        own = sorted((r["start"], struct.unpack(f"<{r['length']}I", r["ids"])) for r in rows if r["doc_id"] == d)
+        assert [i for _, ids in own for i in ids] == [*PLAIN.encode(text, add_special_tokens=False).ids, 0]
