@@ -2,7 +2,9 @@
 
 Every word has affix and n-gram features (hashed, with word boundaries) and a lexicon feature; transitions
 between the languages of neighbouring words are learned from training lines spliced out of several languages.
-Forward-backward runs over many sequences in step. A document's language is that of most expected words.
+Forward-backward runs over many pieces of lines in step; what stands before and after a piece of a long line is
+carried through the pieces' transfer matrices, so that a line of any length is one chain. A document's language is
+that of most expected words.
 """
 
 from __future__ import annotations
@@ -13,21 +15,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphmill.llm.common import id_bucket, text_or_empty
 
 #: Rows with this remainder of crc32(doc_id) are held out of training.
 HELD_OUT, FOLDS = 2, 4
-#: Training takes at most this many labelled documents, the first by a hash of their id, and of those only
-#: documents of at most this many characters, so that the sample is bounded.
-TRAIN_DOCS, TRAIN_CHARS = 1500, 40_000
+#: Bounds of the training sample: languages (the most frequent ones), documents in all (shared by the languages, the
+#: first of each by a hash of their id), and characters of lines from each document (drawn from its whole text).
+TRAIN_LANGUAGES, TRAIN_DOCS, TRAIN_CHARS = 64, 1600, 20_000
 SPLICED, SPLICE_WORDS, BATCH, RATE, DECAY = 24_000, (3, 25), 256, 0.25, 1e-6
 TABLE_BITS = 16
 LEXICON_LEAST, LEXICON_MOST = 3, 20_000
-#: A sequence is a line, in pieces of at most this many words.
-SEQUENCE_WORDS = 256
+#: Words of a line that are worked through in one piece; longer lines are carried from piece to piece.
+PIECE_WORDS = 256
 #: Words whose scores a worker remembers, and characters worked on at once.
 REMEMBERED, CHARS_AT_ONCE = 400_000, 1 << 20
 UNDETERMINED = "und"
@@ -84,10 +86,18 @@ class Model:
         return _by_word(self.ngrams[feature], owner, len(words)) + self.words[known]
 
 
-def forward_backward(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _steps(lengths: np.ndarray) -> list[int]:
+    """How many sequences, in descending order of length, are longer than each step."""
+    return np.searchsorted(-lengths, -np.arange(int(lengths[0]) if len(lengths) else 0), side="left").tolist()
+
+
+def forward_backward(
+    scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Marginals of every word, and expected transitions summed, of sequences that lie one after the other.
 
-    scores: (words, languages). All sequences advance together, a word at a time, in order of length.
+    scores: (words, languages). All sequences advance together, a word at a time, in order of length. before: what
+    enters each sequence's first word (all ones where nothing does); after: the backward message at its last word.
     """
     order = np.argsort(-lengths, kind="stable")
     starts, lengths = starts[order], lengths[order]
@@ -95,23 +105,73 @@ def forward_backward(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray
     t = np.exp(transitions.astype(np.float64))
     forward = np.empty_like(e)
     backward = np.ones_like(e)
-    active = np.searchsorted(-lengths, -np.arange(int(lengths[0]) if len(lengths) else 0), side="left")  # sequences longer than each step
-    for step, n in enumerate(active.tolist()):
+    if after is not None:
+        backward[starts + lengths - 1] = after[order]
+    active = _steps(lengths)
+    for step, n in enumerate(active):
         at = starts[:n] + step
-        f = e[at] if step == 0 else (forward[at - 1] @ t) * e[at]
+        enters = forward[at - 1] @ t if step else 1.0 if before is None else before[order]
+        f = enters * e[at]
         forward[at] = f / f.sum(axis=1, keepdims=True)
     expected = np.zeros_like(t)
     for step in range(len(active) - 1, 0, -1):
         at = starts[: active[step]] + step
         ahead = e[at] * backward[at]
-        before = ahead @ t.T
-        norm = (forward[at - 1] * before).sum(axis=1, keepdims=True)
+        reached = ahead @ t.T
+        norm = (forward[at - 1] * reached).sum(axis=1, keepdims=True)
         expected += t * ((forward[at - 1] / norm).T @ ahead)
-        backward[at - 1] = before / before.sum(axis=1, keepdims=True)
+        backward[at - 1] = reached / reached.sum(axis=1, keepdims=True)
     marginal = forward * backward
     return marginal / marginal.sum(axis=1, keepdims=True), expected
 
 
+def _carried(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(before, after) of pieces in order; first: whether a piece begins a line.
+
+    Each piece of a longer line has a transfer matrix, the product over its words of transition and emission.
+    """
+    n, k = len(starts), scores.shape[1]
+    before, after = np.ones((n, k)), np.ones((n, k))
+    inner = np.flatnonzero(~(first & np.append(first[1:], True)))  # pieces of lines of more than one
+    if not len(inner):
+        return before, after
+    inner = inner[np.argsort(-lengths[inner], kind="stable")]
+    t = np.exp(transitions.astype(np.float64))
+    product = np.broadcast_to(np.eye(k), (len(inner), k, k)).copy()
+    for step, m in enumerate(_steps(lengths[inner])):
+        at = starts[inner[:m]] + step
+        e = np.exp(scores[at] - scores[at].max(axis=1, keepdims=True)).astype(np.float64)
+        moved = product[:m] if step == 0 else product[:m] @ t
+        if step == 0:
+            moved = np.where(first[inner, None, None], moved, t)
+        moved = moved * e[:, None, :]
+        product[:m] = moved / moved.max(axis=(1, 2), keepdims=True)
+    of = dict(zip(inner.tolist(), product))
+    for i in sorted(of):
+        if not first[i]:
+            row = (np.ones(k) if first[i - 1] else reached) @ of[i - 1]  # noqa: F821 (set by the piece before)
+            reached = row / row.sum()
+            before[i] = reached @ t
+    for i in sorted(of, reverse=True):
+        if i + 1 < n and not first[i + 1]:
+            column = of[i + 1] @ after[i + 1]
+            after[i] = column / column.sum()
+    return before, after
+
+
+def line_marginals(scores: np.ndarray, lines: list[int], transitions: np.ndarray, piece: int = PIECE_WORDS) -> np.ndarray:
+    """Marginals of the words of lines that lie one after the other; lines: their numbers of words, none zero."""
+    lengths, first = [], []
+    for n in lines:
+        for at in range(0, n, piece):
+            lengths.append(min(piece, n - at))
+            first.append(at == 0)
+    sizes = np.array(lengths)
+    starts = np.cumsum(sizes) - sizes
+    before, after = _carried(scores, starts, sizes, transitions, np.array(first))
+    return forward_backward(scores, starts, sizes, transitions, before, after)[0]
+
+
 def train(examples: list[tuple[str, str]], seed: int = 7) -> Model | None:
     """The model of (language, text) examples; None without words."""
     lines: dict[str, list[list[str]]] = {}
@@ -164,69 +224,153 @@ def train(examples: list[tuple[str, str]], seed: int = 7) -> Model | None:
     return model
 
 
-def _label(model: Model | None):
-    """Labels documents in groups of bounded size."""
-    known: dict[str, int] = {}
-    table = np.zeros((1024, len(model.languages) if model else 1), dtype=np.float32)
+class Labeler:
+    """Marginals of the words of texts, worked on in groups of bounded size; remembers the scores of words."""
 
-    def group(texts: list[str]) -> list[tuple[str, float]]:
-        nonlocal table
-        if len(known) > REMEMBERED:
-            known.clear()
-        index, lengths, owner = [], [], []
+    def __init__(self, model: Model | None):
+        self.model = model
+        self.known: dict[str, int] = {}
+        self.table = np.zeros((1024, len(model.languages) if model else 1), dtype=np.float32)
+
+    def _scores(self, words: list[str]) -> np.ndarray:
+        if new := [w for w in dict.fromkeys(words) if w not in self.known]:
+            first = len(self.known)
+            while len(self.table) < first + len(new):
+                self.table = np.concatenate((self.table, np.zeros_like(self.table)))
+            self.table[first : first + len(new)] = self.model.emissions(new)
+            self.known.update(zip(new, range(first, first + len(new))))
+        return self.table[np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))]
+
+    def words(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray] | None:
+        """(words, text of each word, marginals); None without words or model."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        words, lines, owner = [], [], []
         for i, text in enumerate(texts):
             for line in text.lower().split("\n"):
-                words = _WORD.findall(line)
-                index += words
-                for at in range(0, len(words), SEQUENCE_WORDS):
-                    lengths.append(min(SEQUENCE_WORDS, len(words) - at))
+                if found := _WORD.findall(line):
+                    words += found
+                    lines.append(len(found))
                     owner.append(i)
-        if not index or not model:
+        if not words or not self.model:
+            return None
+        return words, np.repeat(owner, lines), line_marginals(self._scores(words), lines, self.model.transitions)
+
+    def documents(self, texts: list[str]) -> list[tuple[str, float]]:
+        """Language and share of each text's expected words."""
+        if (found := self.words(texts)) is None:
             return [(UNDETERMINED, 0.0)] * len(texts)
-        if new := [w for w in dict.fromkeys(index) if w not in known]:
-            first = len(known)
-            while len(table) < first + len(new):
-                table = np.concatenate((table, np.zeros_like(table)))
-            table[first : first + len(new)] = model.emissions(new)
-            known.update(zip(new, range(first, first + len(new))))
-        scores = table[np.fromiter(map(known.__getitem__, index), dtype=np.int64, count=len(index))]
-        sizes = np.array(lengths)
-        marginal, _ = forward_backward(scores, np.cumsum(sizes) - sizes, sizes, model.transitions)
-        of_word = np.repeat(np.array(owner), sizes)
-        expected = np.stack([np.bincount(of_word, marginal[:, c], len(texts)) for c in range(len(model.languages))], axis=1)
+        _, owner, marginal = found
+        expected = np.stack([np.bincount(owner, marginal[:, c], len(texts)) for c in range(marginal.shape[1])], axis=1)
         total = expected.sum(axis=1)
-        best = expected.argmax(axis=1)
         letters = [any(map(str.isalpha, t)) for t in texts]
-        return [(model.languages[b], float(min(1.0, expected[i, b] / total[i]))) if total[i] and letters[i] else (UNDETERMINED, 0.0) for i, b in enumerate(best)]
+        names = self.model.languages
+        return [(names[b], float(min(1.0, expected[i, b] / total[i]))) if total[i] and letters[i] else (UNDETERMINED, 0.0) for i, b in enumerate(expected.argmax(axis=1))]
+
+    def labels(self, texts: list[str]) -> list[list[tuple[str, str, float]]]:
+        """(word, language, probability) of each text's words."""
+        out: list[list[tuple[str, str, float]]] = [[] for _ in texts]
+        if (found := self.words(texts)) is not None:
+            for word, i, best, p in zip(found[0], found[1].tolist(), found[2].argmax(axis=1).tolist(), found[2].max(axis=1).tolist()):
+                out[i].append((word, self.model.languages[best], p))
+        return out
 
+
+def _in_groups(texts: list[str]) -> Iterator[list[str]]:
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size > CHARS_AT_ONCE:
+            yield held
+            held, size = [], 0
+    yield held
+
+
+def _label_documents(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeler = Labeler(model)
         for batch in batches:
-            texts, found, held, size = batch.column(1).to_pylist(), [], [], 0
-            for text in texts:
-                held.append(text)
-                size += len(text)
-                if size > CHARS_AT_ONCE:
-                    found += group(held)
-                    held, size = [], 0
-            found += group(held)
+            found = [x for group in _in_groups(batch.column(1).to_pylist()) for x in labeler.documents(group)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], type=pa.string()), pa.array([x[1] for x in found], type=pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return run
 
 
-def language_predictions(docs: DataFrame) -> DataFrame:
+def _label_words(model: Model | None):
+    kind = pa.list_(pa.struct([("word", pa.string()), ("lang", pa.string()), ("score", pa.float64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeler, at = Labeler(model), 0
+        for batch in batches:
+            at = 0
+            for group in _in_groups(batch.column(1).to_pylist()):
+                words = [[{"word": w, "lang": x, "score": p} for w, x, p in found] for found in labeler.labels(group)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(group)), pa.array(words, type=kind)], names=["doc_id", "words"])
+                at += len(group)
+
+    return run
+
+
+def _emit_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of each text, in pieces of at most 200 words; of a long text pieces drawn from all over it."""
+    for batch in batches:
+        out = []
+        for text in batch.column(1).to_pylist():
+            words = [line.split() for line in text.split("\n")]
+            pieces = [" ".join(line[at : at + 200]) for line in words for at in range(0, len(line), 200)]
+            if len(text) > TRAIN_CHARS:
+                left, drawn = TRAIN_CHARS, []
+                for i in np.random.default_rng(len(text)).permutation(len(pieces)).tolist():
+                    if len(pieces[i]) <= left:
+                        drawn.append(i)
+                        left -= len(pieces[i])
+                pieces = [pieces[i] for i in sorted(drawn)]
+            out.append("\n".join(pieces))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, type=pa.string())], names=["lang", "text"])
+
+
+def training_lines(docs: DataFrame) -> list[tuple[str, str]]:
+    """(language, lines) of a bounded sample: ids are chosen first by their hash alone, then only their texts are read."""
+    usable = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (id_bucket(F.col("doc_id"), FOLDS) != HELD_OUT)).select("doc_id", "lang")
+    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(TRAIN_LANGUAGES).collect()}
+    if not counts:
+        return []
+    each = TRAIN_DOCS // len(counts)
+    place = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 40))
+    # Twice as many as are wanted are expected below the limit, so that as good as never too few are.
+    limits = F.create_map(*[F.lit(x) for name, n in sorted(counts.items()) for x in (name, min(1 << 40, (2 * each << 40) // n + 1))])
+    near = usable.select("doc_id", "lang", place.alias("h")).filter(F.col("h") < limits[F.col("lang")]).distinct()
+    first = Window.partitionBy("lang").orderBy("h", "doc_id")
+    chosen = near.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= each).select("doc_id", "lang")  # at most TRAIN_DOCS ids
+    texts = docs.select("doc_id", "lang", text_or_empty().alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"])
+    one = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
+    found = one.mapInArrow(_emit_lines, "lang string, text string").collect()
+    return sorted((r["lang"], r["text"]) for r in found)
+
+
+def _given(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+
+
+def word_languages(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """One row per document: doc_id, words (array of word in lower case, its language and the probability of that).
+
+    Nulls, empty texts and repeated rows as in language_predictions; texts without words have an empty array.
+    """
+    return _given(docs).mapInArrow(_label_words(model or train(training_lines(docs))), "doc_id long, words array<struct<word:string,lang:string,score:double>>")
+
+
+def language_predictions(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score (share of expected words in that language).
 
-    Learns from a bounded sample of rows with a language that are not held out. Null texts and texts without
-    letters give `und` with score 0, as do all where nothing can be learned; null ids and repeated rows stay;
-    ties go to the first language by name; an empty table gives no rows; other columns are ignored.
+    Learns from a bounded sample of rows with an id and a language that are not held out, of rows repeated under one
+    id from one. Null texts and texts without letters give `und` with score 0, as do all where nothing can be learned;
+    null ids and repeated rows stay; ties go to the first language by name; an empty table gives no rows; other
+    columns are ignored.
     """
-    bucket = id_bucket(F.col("doc_id"), FOLDS)
-    usable = docs.filter(F.col("lang").isNotNull() & (bucket != HELD_OUT) & (F.length("text") <= TRAIN_CHARS))
-    sample = usable.select("lang", "text", F.xxhash64(F.lit("langid"), "doc_id").alias("h")).orderBy("h", "lang", "text").limit(TRAIN_DOCS)
-    model = train([(r["lang"], r["text"]) for r in sample.collect()])
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    labelled = given.mapInArrow(_label(model), "doc_id long, lang_pred string, score double")
+    model = model or train(training_lines(docs))
+    labelled = _given(docs).mapInArrow(_label_documents(model), "doc_id long, lang_pred string, score double")
     return labelled.select("doc_id", (id_bucket(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", "score")
 
 

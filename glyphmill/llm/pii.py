@@ -7,6 +7,7 @@ each labeler's reliability; its posteriors train a final span classifier over th
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import log
 
 from pyspark.sql import Column, DataFrame
@@ -34,87 +35,105 @@ GAZETTEER = ("account", "apikey", "api_key", "auth", "bearer", "call", "card", "
 CONTEXT = 24
 ROUNDS = 15
 ACCEPT = 0.5
-_SPANS = "array<struct<start:int,end:int,value:string>>"
+#: Code points of a text that are cut out of one piece of it, so that a cut does not walk the whole text.
+CHUNK = 4096
+_FAR = (1 << 31) - 1
 
 
-def located(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches with their code points, end exclusive."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(hits)), hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("value")))
+# Spans are located in SQL text: it is parsed at once, where nested column functions are built call by call.
 
-    def step(found: Column, pair: Column) -> Column:
-        start = found["at"] + pair["gap"]
-        end = start + F.length(pair["value"])
-        one = F.struct(start.alias("start"), end.alias("end"), pair["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(found["spans"], F.array(one)).alias("spans"))
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("spans"))
-    return F.when(F.size(hits) > 0, F.aggregate(pairs, first, step, lambda x: x["spans"])).otherwise(F.array().cast(_SPANS))
+def _once(value: str, name: str, body: str) -> str:
+    """body of a value that is evaluated once, under a name."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _digits(value: Column) -> Column:
-    return F.regexp_replace(value, "[^0-9]", "")
-
+def _swept(items: str, first: int, value: Callable[[str], str], combine: Callable[[str, str], str], keep: Callable[[str, str], str], emit: Callable[[str, str], str], kind: str) -> str:
+    """array of emit(at, item) of the items that keep(at, item), where at combines the values of all items before.
 
-def _luhn(digits: Column) -> Column:
-    back = F.reverse(digits)
+    Works in blocks of the square root of the number of items: what enters each block comes from the blocks'
+    totals, and results are appended within a block only, so that long arrays are not copied over and over.
+    """
+    width = "CAST(ceil(sqrt(size(xs))) AS INT)"
+    blocks = f"transform(sequence(0, CAST(floor((size(xs) - 1) / {width}) AS INT)), k -> slice(xs, k * {width} + 1, {width}))"
+    totals = f"transform(bs, b -> aggregate(b, {first}, (a, x) -> {combine('a', value('x'))}))"
+    enters = f"aggregate(slice(p.totals, 1, k), {first}, (a, c) -> {combine('a', 'c')})"
+    step = f"named_struct('at', {combine('d.at', value('x'))}, 'out', if({keep('d.at', 'x')}, concat(d.out, array({emit('d.at', 'x')})), d.out))"
+    run = f"flatten(transform(p.blocks, (b, k) -> aggregate(b, named_struct('at', {enters}, 'out', CAST(array() AS {kind})), (d, x) -> {step}, d -> d.out)))"
+    inner = _once(blocks, "bs", _once(f"named_struct('blocks', bs, 'totals', {totals})", "p", run))
+    return _once(items, "xs", f"if(size(xs) > 0, {inner}, CAST(array() AS {kind}))")
+
+
+_SPANS = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
+
+
+def located(text: str, pattern: str, fine: Callable[[str], str] = lambda value: "true") -> str:
+    """Leftmost non-overlapping matches whose value is fine: code points, end exclusive, and what stands around them."""
+    near = lambda s: f"coalesce(substring({s}, -{CONTEXT}, {CONTEXT}), '')"
+    items = (
+        "transform(hits, (h, i) -> named_struct('gap', length(get(gaps, i)), 'value', h,"
+        f" 'before', substring(concat({near('get(hits, i - 1)')}, {near('get(gaps, i)')}), -{CONTEXT}, {CONTEXT}),"
+        " 'after', substring(concat(substring(get(gaps, i + 1), 1, 4), coalesce(substring(get(hits, i + 1), 1, 4), '')), 1, 4)))"
+    )
+    width = lambda x: f"{x}.gap + length({x}.value)"
+    span = lambda at, x: f"named_struct('start', {at} + {x}.gap, 'end', {at} + {width(x)}, 'value', {x}.value, 'before', {x}.before, 'after', {x}.after)"
+    spans = _swept(items, 0, width, lambda a, b: f"{a} + {b}", lambda at, x: fine(f"{x}.value"), span, _SPANS)
+    some = _once(f"split({text}, r'{pattern}', -1)", "gaps", spans)
+    return _once(f"regexp_extract_all({text}, r'{pattern}', 0)", "hits", f"if(size(hits) > 0, {some}, CAST(array() AS {_SPANS}))")
 
-    def doubled(i: Column) -> Column:
-        d = F.substring(back, i + 1, F.lit(1)).cast("int") * F.when(i % 2 == 1, 2).otherwise(1)
-        return F.when(d > 9, d - 9).otherwise(d)
 
-    return F.aggregate(F.transform(F.sequence(F.lit(0), F.length(digits) - 1), doubled), F.lit(0), lambda a, d: a + d) % 10 == 0
+def _digits(value: Column) -> Column:
+    return F.regexp_replace(value, "[^0-9]", "")
 
 
-def _valid(kind: str, span: Column) -> Column:
-    value = span["value"]
+def _valid(kind: str, value: str) -> str:
+    digits = f"regexp_replace({value}, '[^0-9]', '')"
     if kind == "ip":
-        return F.forall(F.split(value, r"\."), lambda p: (F.length(F.regexp_replace(p, "^0+", "")) <= 3) & (F.coalesce(F.substring(F.regexp_replace(p, "^0+", ""), 1, 4).try_cast("int"), F.lit(0)) <= 255))
+        bare = "regexp_replace(q, '^0+', '')"
+        return f"forall(split({value}, r'\\.'), q -> length({bare}) <= 3 AND coalesce(try_cast(substring({bare}, 1, 4) AS INT), 0) <= 255)"
     if kind == "card":
-        digits = _digits(value)
-        return F.when(F.length(digits).between(14, 19), _luhn(digits)).otherwise(F.lit(False))
-    if kind == "phone":
-        return F.length(_digits(value)).between(10, 15)
-    return F.lit(True)
+        digit = "CAST(substring(r, i + 1, 1) AS INT)"
+        luhn = _once(f"reverse({digits})", "r", f"aggregate(sequence(0, length(r) - 1), 0, (a, i) -> a + if(i % 2 = 1, 2 * {digit} - if({digit} > 4, 9, 0), {digit})) % 10 = 0")
+        return f"if(length({digits}) BETWEEN 14 AND 19, {luhn}, false)"
+    return f"length({digits}) BETWEEN 10 AND 15" if kind == "phone" else "true"
+
+
+_BASE = "array<struct<start:int,kind:int,end:int>>"
+_MARKED = "array<struct<start:int,what:int,end:int,value:string,before:string,after:string>>"
+_CANDIDATES = "array<struct<start:int,kind:int,end:int,value:string,before:string,after:string>>"
 
 
 def with_base(docs: DataFrame) -> DataFrame:
     """docs with _base: base spans as array<struct<start, kind (index), end>>, in order."""
-    text = F.col("_text")
-    guard = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}
-    out = docs.withColumn("_text", text_or_empty())
-    for kind in BASE_KINDS:
-        raw = located(text, PATTERNS[kind])
-        out = out.withColumn(f"_raw_{kind}", F.when(guard[kind], raw).otherwise(F.array().cast(_SPANS)) if kind in guard else raw)
-
-    def checked(kind: str) -> Column:
-        good = F.filter(F.col(f"_raw_{kind}"), lambda s: _valid(kind, s))
-        return F.transform(good, lambda s: F.struct(s["start"].alias("start"), F.lit(BASE_KINDS.index(kind)).alias("kind"), s["end"].alias("end")))
-
-    base = F.array_sort(F.concat(*[checked(k) for k in BASE_KINDS]))
-    return out.withColumn("_base", base).drop(*[f"_raw_{k}" for k in BASE_KINDS])
-
-
-def _candidates(kind: str, base: Column, text: Column) -> Column:
-    """Candidates that touch no base span, with what stands around them."""
-    found = located(text, TOKENS if kind == "secret" else NUMBERS)
-    sized = F.filter(found, lambda s: F.length(_digits(s["value"])).between(7, 19)) if kind == "number" else found
-    free = F.filter(sized, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    return F.transform(
-        free,
-        lambda s: F.struct(
-            s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), s["end"].alias("end"), s["value"].alias("value"),
-            F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, s["start"] - F.greatest(s["start"] - CONTEXT, F.lit(0))).alias("before"),
-            F.substring(text, s["end"] + 1, F.lit(4)).alias("after"),
-        ),
-    )
+    guard = {"email": "contains(_text, '@')", "phone": "contains(_text, '+')"}
+
+    def checked(kind: str) -> str:
+        named = f"transform({located('_text', PATTERNS[kind], lambda v: _valid(kind, v))}, s -> named_struct('start', s.start, 'kind', {BASE_KINDS.index(kind)}, 'end', s.end))"
+        return f"if({guard.get(kind, 'true')}, {named}, CAST(array() AS {_BASE}))"
+
+    return docs.withColumn("_text", text_or_empty()).withColumn("_base", F.expr(f"array_sort(concat({', '.join(map(checked, BASE_KINDS))}))"))
+
+
+def _candidates(kind: str) -> str:
+    """Candidates of _text that touch no span of _base, with what stands around them.
+
+    Base spans and candidates are swept together by start, once forwards (does a base span before reach in?) and once
+    backwards (does one after begin too early?).
+    """
+    fine = (lambda v: f"length(regexp_replace({v}, '[^0-9]', '')) BETWEEN 7 AND 19") if kind == "number" else (lambda v: "true")
+    base = "transform(_base, s -> named_struct('start', s.start, 'what', 0, 'end', s.end, 'value', CAST(NULL AS STRING), 'before', CAST(NULL AS STRING), 'after', CAST(NULL AS STRING)))"
+    own = "transform(cs, s -> named_struct('start', s.start, 'what', 1, 'end', s.end, 'value', s.value, 'before', s.before, 'after', s.after))"
+    larger, smaller = (lambda a, b: f"greatest({a}, {b})"), (lambda a, b: f"least({a}, {b})")
+    forth = _swept(f"array_sort(concat({base}, {own}))", 0, lambda x: f"if({x}.what = 0, {x}.end, 0)", larger, lambda at, x: f"{x}.what = 0 OR {at} <= {x}.start", lambda at, x: x, _MARKED)
+    back = _swept(f"reverse({forth})", _FAR, lambda x: f"if({x}.what = 0, {x}.start, {_FAR})", smaller, lambda at, x: f"{x}.what = 1 AND {at} >= {x}.end", lambda at, x: x, _MARKED)
+    free = f"if(size(_base) > 0, reverse({back}), {own})"
+    named = f"transform({free}, s -> named_struct('start', s.start, 'kind', {KINDS.index(kind)}, 'end', s.end, 'value', s.value, 'before', s.before, 'after', s.after))"
+    return _once(located("_text", TOKENS if kind == "secret" else NUMBERS, fine), "cs", f"if(size(cs) > 0, {named}, CAST(array() AS {_CANDIDATES}))")
 
 
 def with_candidates(docs: DataFrame) -> DataFrame:
     """docs with _base and _found, the method's candidates."""
-    text = F.col("_text")
-    return with_base(docs).withColumn("_found", F.concat(_candidates("secret", F.col("_base"), text), _candidates("number", F.col("_base"), text)))
+    return with_base(docs).withColumn("_found", F.expr(f"concat({_candidates('secret')}, {_candidates('number')})"))
 
 
 def _vote(yes: Column, no: Column) -> Column:
@@ -230,17 +249,15 @@ def redact(docs: DataFrame, model: tuple[float, dict[str, float]] | None = None)
     stay as they are, whatever their names.
     """
     found = with_spans(docs.select("text", F.struct("*").alias("_row")), model)
-    names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    text = F.col("_text")
-
-    def step(done: Column, s: Column) -> Column:
-        inside = s["start"] < done["at"]
-        plain = F.substring(text, done["at"] + 1, F.greatest(s["start"] - done["at"], F.lit(0)))
-        parts = F.when(inside, done["parts"]).otherwise(F.concat(done["parts"], F.array(plain, names[s["kind"]])))
-        return F.struct(F.greatest(done["at"], s["end"]).alias("at"), parts.alias("parts"))
-
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    whole = F.aggregate("_spans", first, step, lambda d: F.concat(F.array_join(d["parts"], ""), F.substring(text, d["at"] + 1, F.length(text))))
+    names = f"array({', '.join(f"'[{k.upper()}]'" for k in KINDS)})"
+    at = lambda x: f"CAST(floor({x} / {CHUNK}) AS INT)"
+    cut = lambda a, b: f"substring(array_join(slice(chunks, {at(a)} + 1, greatest(0, {at(f'({b} - 1)')} - {at(a)} + 1)), ''), {a} - {at(a)} * {CHUNK} + 1, greatest(0, {b} - {a}))"
+    pieces = _swept(
+        "_spans", 0, lambda s: f"{s}.end", lambda a, b: f"greatest({a}, {b})", lambda at, s: f"{s}.start >= {at}",
+        lambda at, s: f"concat({cut(at, f'{s}.start')}, get({names}, {s}.kind))", "array<string>",
+    )
+    rest = "aggregate(_spans, 0, (a, s) -> greatest(a, s.end))"
+    whole = F.expr(_once(f"regexp_extract_all(_text, r'(?s).{{1,{CHUNK}}}', 0)", "chunks", f"concat(array_join({pieces}, ''), {_once(rest, 'z', cut('z', 'length(_text)'))})"))
     changed = F.size("_spans") > 0
     out = found.select("_row", changed.alias("_changed"), F.when(changed, whole).otherwise(F.col("text")).alias("_new"))
     length = F.when(F.col("_changed"), F.length("_new").cast("long")).otherwise(F.col("_row")["n_chars"]) if "n_chars" in docs.columns else None

@@ -25,7 +25,7 @@ ACCEPT = 0.3
 TRAIN_ROWS = 6000
 #: A feature may enter the classifier if it is in this share of the toxic rows of the sample, in this many, and in
 #: this many times the share of the other rows.
-LEAST_SHARE, LEAST_ROWS, LEAST_ODDS = 0.01, 5, 3
+LEAST_SHARE, LEAST_ROWS, LEAST_ODDS = 0.01, 3, 3
 #: Letters of a stem, and the share of the words at which a stem counts in full.
 STEM, RATE = 5, 0.02
 #: Weight of the absolute and of the squared coefficients in fitting; rounds of fitting.
@@ -85,43 +85,54 @@ def fit_trigrams(docs: DataFrame) -> np.ndarray:
 # ---- decoding --------------------------------------------------------------------------------------------
 
 
-def lattice(token: str) -> list[list[tuple[str, float]]]:
+def lattice(token: str) -> Iterator[list[tuple[str, float]]]:
     """For every character what may have been meant ("" for nothing, " " for a word's end), with its cost."""
-    out = []
     for i, c in enumerate(token):
         again = bool(i) and token[i - 1] == c
         many = again and (i > 1 and token[i - 2] == c or token[i + 1 : i + 2] == c)
         if "a" <= c <= "z":
-            meant = [(c, 0.0)] + ([("", REPEATED if many else TWICE)] if again else [])
+            yield [(c, 0.0)] + ([("", REPEATED if many else TWICE)] if again else [])
         elif c == " ":
-            meant = [("", SPACE), (" ", WORD_END)]
+            yield [("", SPACE), (" ", WORD_END)]
         elif signs := LOOK_ALIKE.get(c, ""):
-            meant = [("", REPEATED if many else TWICE if again else SIGN_PUT_IN)] + [(x, STARRED if c == "*" else SIGN) for x in signs]
+            yield [("", REPEATED if many else TWICE if again else SIGN_PUT_IN)] + [(x, STARRED if c == "*" else SIGN) for x in signs]
         else:
-            meant = [("", REPEATED if again else MARK)]
-        out.append(meant)
-    return out
+            yield [("", REPEATED if again else MARK)]
 
 
 def viterbi(token: str, lm: list) -> str:
-    """What was most likely meant by a lower-case token; lm: log-probabilities as nested lists."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """What was most likely meant by a lower-case token; lm: log-probabilities as nested lists.
+
+    Each state keeps its score and its last letter with a pointer to what came before, so that a token costs as much
+    as it is long.
+    """
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for meant in lattice(token):
-        now: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in best.items():
+        now: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (score, path) in best.items():
             row = lm[a][b]
             for letter, cost in meant:
                 if not letter:
-                    state, value, longer = (a, b), score - cost, text
+                    state, value, longer = (a, b), score - cost, path
                 else:
                     c = 0 if letter == " " else ord(letter) - 96
                     if c == 0 and b == 0:
                         continue
-                    state, value, longer = (b, c), score - cost + row[c] + (LETTER if c else 0.0), text + letter
+                    state, value, longer = (b, c), score - cost + row[c] + (LETTER if c else 0.0), (path, letter)
                 if state not in now or now[state][0] < value:
                     now[state] = (value, longer)
         best = now or best
-    return max((score + lm[a][b][0], text) for (a, b), (score, text) in best.items())[1]
+    ends = [(score + lm[a][b][0], path) for (a, b), (score, path) in best.items()]
+    top = max(score for score, _ in ends)
+    return max(_spelled(path) for score, path in ends if score == top)
+
+
+def _spelled(path: tuple | None) -> str:
+    letters = []
+    while path:
+        path, letter = path
+        letters.append(letter)
+    return "".join(reversed(letters))
 
 
 def restored(token: str, lm: list) -> tuple[str, ...]:
@@ -208,7 +219,7 @@ def fit_words(docs: DataFrame, labels: DataFrame, lm: list) -> tuple[float, dict
     hashed = usable.withColumn("h", F.xxhash64(F.lit("toxicity"), "doc_id"))
     first = [hashed.filter(F.col("toxic") == k).orderBy("h", "doc_id").limit(TRAIN_ROWS).select("doc_id", "toxic") for k in (0, 1)]
     chosen = first[0].unionByName(first[1])  # at most 2 * TRAIN_ROWS ids: a bounded side to broadcast
-    texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text")
     rows = staged(texts.mapInArrow(_emit_features(lm), "toxic int, features array<string>, counts array<long>, words long"), "toxicity-sample")
     totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if len(totals) < 2:
@@ -284,8 +295,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
     The character model counts all texts; the classifier learns from a bounded sample of labelled rows that are
-    not held out (a doc_id labelled more than once counts by its mean, null labels not at all; with one class
-    only, that class is certain; with none, nothing is toxic). Null text counts as empty and gets the score of
+    not held out (a doc_id labelled more than once counts by its mean, null labels not at all, and of rows repeated
+    under one doc_id one is learned from; with one class only, that class is certain; with none, nothing is toxic). Null text counts as empty and gets the score of
     a text without known words; null ids and repeated rows stay; an empty table gives no rows.
     """
     lm, model = fit(docs, labels)
