@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from glyphmill.llm.common import shuffle_partitions, text_or_empty
 
 BUCKETS = 128
+#: Bytes of text that a part should hold, and the most parts.
+PART_BYTES, MOST_PARTS = 96 << 20, 20_000
 #: Difference at which likeness is zero; larger differences count as this one.
 MOST_DIFFERENCE = 256
 #: Odd multipliers of the three bytes of a triplet; the upper seven bits of the 32-bit sum are its bucket.
@@ -55,39 +57,47 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return 1 - min(difference(a, b), MOST_DIFFERENCE) / MOST_DIFFERENCE
 
 
-def _range_tree(value: Column, bounds: list[int], first: int = 0) -> Column:
-    """Number of bounds at or above value, by a tree of comparisons; bounds descend."""
-    if not bounds:
-        return F.lit(first)
-    mid = len(bounds) // 2
-    return F.when(value <= bounds[mid], _range_tree(value, bounds[mid + 1 :], first + mid + 1)).otherwise(_range_tree(value, bounds[:mid], first))
+def _part_of(at: Column, spread: Column, bounds: np.ndarray) -> Column:
+    """Number of bounds above (at, spread), which descend; compared in Arrow batches of the two numbers alone."""
+
+    @F.arrow_udf("int")
+    def part(a: pa.Array, h: pa.Array) -> pa.Array:
+        own = np.rec.fromarrays((a.to_numpy(zero_copy_only=False), h.to_numpy(zero_copy_only=False)), dtype=bounds.dtype)
+        # Descending by id and ascending by hash: complements turn both into one ascending order.
+        own["at"] = ~own["at"]
+        return pa.array(np.searchsorted(bounds, own, side="right").astype(np.int32))
+
+    return part(at, spread)
 
 
 def with_successor_order(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, part, guest) so that each part, in order of guest, doc_id descending and text, is followed by its own successor.
+    """(doc_id, text, part, guest) so that each part, in its order, holds documents followed by their own successors.
 
-    Rows are cut into parts by ranges of doc_id; the first row of each part is also a guest, at the end of the
-    part before it, and the very first one at the end of the last. Only one id for each part comes to the driver.
+    The order is that of doc_id descending (null last), then of a hash of the text, then of the text. Rows are cut into
+    parts by ranges of it; an id that fills more than a part is cut by the hash. The first row of each part is also a
+    guest, at the end of the part before it, and the very first one at the end of the last. Only one key for each part
+    comes to the driver.
     """
     spark = docs.sparkSession
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("_at", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    parts = 2 * shuffle_partitions(spark)
-    points = own.agg(F.percentile_approx("_at", [k / parts for k in range(1, parts)], 10 * parts)).first()[0] or []
-    bounds = sorted(set(points), reverse=True)
-    dealt = own.withColumn("part", _range_tree(F.col("_at"), bounds))
-    heads = {r["part"]: r["_at"] for r in dealt.groupBy("part").agg(F.max("_at").alias("_at")).collect()}
-    order = sorted(heads)
-    if not order:
-        return dealt.withColumn("guest", F.lit(False))
-    before = F.create_map(*[F.lit(x) for k, part in enumerate(order) for x in (part, order[k - 1])])
-    guests = (
-        dealt.filter(F.col("_at").isin(list(heads.values())))
-        .groupBy("part", "_at", "doc_id")
-        .agg(F.min("text").alias("text"))
-        .select("doc_id", "text", "_at", before[F.col("part")].alias("part"))
-    )
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    own = own.withColumn("_at", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("_hash", F.xxhash64("text"))
+    held, size = own.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    if not held:
+        return own.select("doc_id", "text", F.lit(0).alias("part"), F.lit(False).alias("guest"))
+    parts = min(MOST_PARTS, max(2 * shuffle_partitions(spark), size // PART_BYTES))
+    points = own.agg(F.percentile_approx("_at", [k / parts for k in range(1, parts)], 10 * parts)).first()[0]
+    bounds = []
+    for at in sorted(set(points), reverse=True):
+        times = points.count(at)  # a part's worth of rows each
+        bounds += [(~at, -(1 << 63) + (i << 64) // times) for i in range(times)]
+    keys = np.array(bounds, dtype=[("at", np.int64), ("hash", np.int64)])
+    dealt = own.withColumn("part", _part_of(F.col("_at"), F.col("_hash"), keys))
+    first = F.min(F.struct(F.bitwise_not("_at").alias("a"), F.col("_hash").alias("h")))
+    heads = sorted((r["part"], r["head"]["a"], r["head"]["h"]) for r in dealt.groupBy("part").agg(first.alias("head")).collect())
+    before = spark.createDataFrame([(heads[i - 1][0], -1 - a, h) for i, (_, a, h) in enumerate(heads)], "part int, _at long, _hash long")
+    guests = dealt.drop("part").join(F.broadcast(before), ["_at", "_hash"]).groupBy("part", "_at", "doc_id", "_hash").agg(F.min("text").alias("text"))
     both = dealt.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
-    return both.repartition(parts, "part").sortWithinPartitions("part", "guest", F.col("_at").desc(), "text")
+    return both.repartition(parts, "part").sortWithinPartitions("part", "guest", F.col("_at").desc(), "_hash", "text").select("doc_id", "text", "part", "guest")
 
 
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -116,8 +126,8 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
 
     The next document is the one with the next smaller doc_id (after the last: the first); the edited text is
     the text with its last half replaced by as much of the next one's start. Null text counts as empty (its
-    digest is all zero); a null doc_id stands last; rows of one doc_id follow each other by text; a table of one
-    row is its own successor; an empty table gives no rows; other columns are ignored.
+    digest is all zero); a null doc_id stands last; rows of one doc_id follow each other by a hash of their text; a
+    table of one row is its own successor; an empty table gives no rows; other columns are ignored.
     """
     return with_successor_order(docs).select("doc_id", "text", "part", "guest").mapInArrow(_compare, _OUT)
 

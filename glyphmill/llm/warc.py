@@ -18,6 +18,8 @@ from glyphmill.llm.common import staged
 ARCHIVE_BYTES = 8 << 20
 #: Bytes inflated at a time.
 INFLATE_BYTES = 1 << 18
+#: A payload of more than one in this many rows is common; so fewer than this many are.
+COMMON = 1000
 LEVEL = 1
 GZIP = 31
 DATE = "2024-01-01T00:00:00Z"
@@ -143,12 +145,19 @@ def write_archives(pages: DataFrame) -> DataFrame:
 
     Of rows with equal payloads (null html is the empty payload) that with the largest page_id is written as
     response, the others as revisits of it; rows repeated under that page_id are responses too, and where all
-    page_ids are null all rows are responses; a null page_id beside others is a revisit.
+    page_ids are null all rows are responses; a null page_id beside others is a revisit. Rows of common payloads get
+    their response from a broadcast of bounded size and are spread over all tasks; only the others meet by payload.
     """
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    keyed = own.withColumn("sha", F.sha1(F.col("html").cast("binary")))
-    copied = keyed.groupBy("sha").agg(F.max("page_id").alias("response_id"), F.count("*").alias("n")).filter("n > 1").select("sha", "response_id")
-    return keyed.join(copied, "sha", "left").select("page_id", "url", "html", "response_id").mapInArrow(_write, ARCHIVES)
+    with_sha = own.withColumn("sha", F.sha1(F.col("html").cast("binary")))
+    copied = staged(with_sha.groupBy("sha").agg(F.max("page_id").alias("response_id"), F.count("*").alias("n")).filter("n > 1"), "warc-copies")
+    rows = own.count()
+    common = copied.filter(F.col("n") > rows / COMMON).select("sha", F.struct("response_id").alias("common"))  # fewer than COMMON rows
+    rare = copied.filter(F.col("n") <= rows / COMMON).select(F.col("sha").alias("key"), F.col("response_id").alias("rare_id"))
+    marked = with_sha.join(F.broadcast(common), "sha", "left")
+    spread = F.when(F.col("common").isNull(), F.col("sha")).otherwise(F.xxhash64("page_id", "url").cast("string"))
+    joined = marked.withColumn("key", spread).join(rare, "key", "left")
+    return joined.select("page_id", "url", "html", F.coalesce("common.response_id", "rare_id").alias("response_id")).mapInArrow(_write, ARCHIVES)
 
 
 def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

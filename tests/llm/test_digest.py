@@ -1,8 +1,9 @@
 from hashlib import sha256
 
 import numpy as np
+from xxhash import xxh64_intdigest
 
-from glyphmill.llm.digest import MOST_DIFFERENCE, compare_with_edits, difference, digest, digest_hex, likeness, op8_quartile_digest
+from glyphmill.llm.digest import MOST_DIFFERENCE, compare_with_edits, difference, digest, digest_hex, likeness, op8_quartile_digest, with_successor_order
 
 
 def plain_counts(data):
@@ -31,8 +32,9 @@ def test_difference_is_bounded_and_symmetric():
 
 
 def brute(rows):
-    """By (doc_id, text) in descending order of doc_id, null last, then text."""
-    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -1e18), r[1]))
+    """In descending order of doc_id, null last, then of the text's hash as a signed number."""
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -1e18), signed(xxh64_intdigest(r[1].encode(), 42)), r[1]))
     for i, (doc_id, text) in enumerate(order):
         after = order[(i + 1) % len(order)][1]
         half = len(text) // 2
@@ -59,3 +61,11 @@ def test_odd_rows_against_brute_force(odd, spark):
 def test_edits_are_likelier_than_other_texts(spark, sf):
     rows = op8_quartile_digest(spark, sf).collect()
     assert np.mean([r["near_edited"] for r in rows]) > np.mean([r["near_next"] for r in rows])
+
+
+def test_an_id_of_a_third_of_all_rows_is_cut_into_parts(spark):
+    rows = [(i if i % 3 else None, f"text {i * i} of many " * (i % 5)) for i in range(600)]
+    found = compare_with_edits(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert shown(found.collect()) == shown(brute(rows))
+    parts = with_successor_order(spark.createDataFrame(rows, "doc_id long, text string")).filter("NOT guest AND doc_id IS NULL").groupBy("part").count().collect()
+    assert len(parts) > 3 and max(r["count"] for r in parts) < 150

@@ -64,3 +64,25 @@ def test_stage_writes_what_the_mix_takes(odd):
     assert sum(len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in rows) == taken
     assert all(r["size"] == f"size-{r['doc_id']}" and r["_cut"] == f"_cut-{r['doc_id']}" for r in rows)
     assert {1, 2, 5, 9} <= {r["doc_id"] for r in rows} <= {d for d, _ in want}
+
+
+def test_copies_at_the_end_of_a_budget_are_numbered(spark):
+    """Sources whose rows are all one text under one id end within it; a key range of one value needs no sorting."""
+    rows = [(7, "four words to count", "a")] * 90 + [(8, "two words", "b")] * 5 + [(None, "x", None)] * 40
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    found = defaultdict(list)
+    for r in mix(df).collect():
+        found[r["source"]].append((r["size"], r["taken"], r["target"]))
+    want = plain_targets({"a": 360, "b": 10, None: 40})
+    for source, taken in found.items():
+        assert len(taken) == {"a": 90, "b": 5, None: 40}[source]
+        assert sum(t for _, t, _ in taken) == int(want[source] + 1e-9) and all(0 <= t <= 3 * s for s, t, _ in taken)
+        whole, size = int(want[source] + 1e-9) // sum(s for s, *_ in taken), taken[0][0]
+        assert sum(t % size != 0 for _, t, _ in taken) <= 1 and all(t // size in (whole, whole + 1) for _, t, _ in taken)
+
+
+def test_any_quality_weight_can_be_given(spark):
+    df = spark.createDataFrame([(i, "same text for all", "abc"[i % 3], 3.0 if i % 2 else 0.3) for i in range(3000)], "doc_id long, text string, source string, q double")
+    rows = mix(df, F.col("q")).filter("source = 'a'").collect()
+    part = {k: sum(r["_part"] for r in rows if (r["q"] > 1) == k) for k in (True, False)}
+    assert part[True] > 2 * part[False]

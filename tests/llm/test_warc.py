@@ -52,3 +52,14 @@ def test_copies_refer_to_the_largest_id(spark):
     found = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in rows.collect()}
     assert found == {1: ("revisit", 5), 5: ("response", None), 3: ("revisit", 5), 4: ("revisit", 6), 6: ("response", None), None: ("revisit", 5)}
     assert write_archives(pages.filter(F.lit(False))).count() == 0
+
+
+def test_common_payloads_are_not_met_by_key(spark):
+    """Payloads of a third of all rows, and one of two rows, among many of one."""
+    rows = [(i, f"u{i}", "" if i % 3 == 0 else "two" if i in (1, 5000) else f"<p>{i}</p>") for i in range(6000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in read_records(normalise_archives(write_archives(pages))).collect()}
+    empty = max(i for i in range(6000) if i % 3 == 0)
+    assert found[empty] == ("response", None) and found[0] == found[3] == ("revisit", empty)
+    assert found[1] == ("revisit", 5000) and found[5000] == ("response", None) and found[7] == ("response", None)
+    assert sum(kind == "revisit" for kind, _ in found.values()) == 2000
