@@ -27,10 +27,33 @@ def payload(data: bytes) -> bytes:
     return data + PAD * (ROW - len(data) if not data else -len(data) % ROW)
 
 
+def _bits(samples: np.ndarray) -> float:
+    """Bits that samples take under a code of their own."""
+    counts = np.bincount(samples.reshape(-1), minlength=256)
+    used = counts[counts > 0]
+    return float(samples.size * np.log2(samples.size) - (used * np.log2(used)).sum())
+
+
+def form(samples: np.ndarray) -> tuple:
+    """Transforms under which grey samples are smallest: differences to the row above, a packed palette, or neither.
+
+    Samples of at most 16 values share pixels by palette. Grey leaves nothing for the cross-colour transform after
+    green is taken away, and a colour cache nothing that the code of the one channel left does not have.
+    """
+    if len(np.unique(samples)) <= 16:
+        return (("palette",),)
+    above = np.diff(samples, axis=0, prepend=samples[:1] & 0)
+    if len(samples) > 1 and _bits(above) < _bits(samples):
+        down = np.full((samples.shape[0] + 511 >> 9, 1), 0xFF000200, dtype=np.uint32)  # one mode for all blocks
+        return (("predictor", 9, down), ("subtract_green",))
+    return (("subtract_green",),)
+
+
 def to_media(data: bytes) -> bytes:
     """A payload as grey images of 192 samples a row, one WebP file after the other if it needs over 16384 rows."""
     samples = np.frombuffer(data, dtype=np.uint8).reshape(-1, ROW)
-    return b"".join(encode_webp(grey(samples[at : at + MOST_SIDE]), (("subtract_green",),)) for at in range(0, len(samples), MOST_SIDE))
+    pieces = (samples[at : at + MOST_SIDE] for at in range(0, len(samples), MOST_SIDE))
+    return b"".join(encode_webp(grey(x), form(x)) for x in pieces)
 
 
 def images(media: bytes) -> Iterator[np.ndarray]:
@@ -83,6 +106,19 @@ def decode_media(images_table: DataFrame, column: str = "media") -> DataFrame:
     return images_table.select(F.col(column).alias("media")).mapInArrow(_decode, DECODED)
 
 
+def _pixels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            pixels = np.concatenate(list(images(batch.column(1)[i].as_py())))
+            cells = [pa.array([x], type=k) for x, k in zip((*pixels.shape[::-1], pixels.astype("<u4").tobytes()), (pa.int32(), pa.int32(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *cells], names=["doc_id", "width", "height", "pixels"])
+
+
+def stored_pixels(stored: DataFrame) -> DataFrame:
+    """(doc_id, width, height, pixels): the pixel array of every stored text, as little-endian 0xAARRGGBB."""
+    return stored.select("doc_id", "media").mapInArrow(_pixels, f"doc_id long, {DECODED}")
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     names = [x.split()[0] for x in DESCRIBED.split(", ")]

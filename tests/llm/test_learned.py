@@ -42,6 +42,69 @@ def test_log_odds_are_those_of_two_normal_densities():
     assert np.allclose(quality.log_odds(x, model), [density(v, 1) - density(v, 0) for v in x])
 
 
+def test_quality_query_against_densities_by_hand(spark, sf, texts, labels):
+    """Scores of the query from class means and covariances written out, solved without factors."""
+    x = {d: np.array(quality.statistics(t)) for d, t in texts.items()}
+    train = [[x[r["doc_id"]] for r in labels.collect() if r["quality"] == k and r["doc_id"] in x and crc32(str(r["doc_id"]).encode()) % 3 != 1] for k in (0, 1)]
+    n = [len(v) for v in train]
+    means = [np.mean(v, axis=0) for v in train]
+    own = [np.cov(np.array(v).T, bias=True) for v in train]
+    pooled = (n[0] * own[0] + n[1] * own[1]) / sum(n)
+    scale = np.sqrt(np.maximum(np.diag(pooled), 1e-6))
+    shrunk = []
+    for c in own:
+        c = ((1 - quality.POOLED) * c + quality.POOLED * pooled) / np.outer(scale, scale)
+        shrunk.append((1 - quality.RIDGE) * c + quality.RIDGE * max(np.trace(c) / len(c), 1e-3) * np.eye(len(c)))
+
+    def density(v, k):
+        z = (v - means[k]) / scale
+        return math.log(n[k] / sum(n)) - 0.5 * np.linalg.slogdet(shrunk[k])[1] - 0.5 * z @ np.linalg.solve(shrunk[k], z)
+
+    for r in quality.op3_quality_qda(spark, sf).collect():
+        odds = density(x[r["doc_id"]], 1) - density(x[r["doc_id"]], 0)
+        assert abs(r["score"] - 1 / (1 + math.exp(-max(-500, min(500, odds))))) < 1e-5
+
+
+def test_toxicity_query_against_scores_by_hand(spark, sf, texts, documents, labels):
+    """Scores of the query from counts of restored words, with the fitted weights, token by token."""
+    lm, (bias, weights) = toxicity.fit(documents, labels)
+    found = {r["doc_id"]: r["score"] for r in toxicity.op5_toxicity_viterbi(spark, sf).collect()}
+    for doc_id, text in sorted(texts.items())[::7]:
+        tokens = text.lower().split() + toxicity._SPACED.findall(text.lower())
+        counts = {}
+        for token in tokens:
+            for feature in toxicity.token_features(token, lm):
+                counts[feature] = counts.get(feature, 0) + 1
+        total = bias
+        for feature, n in counts.items():
+            if feature[0] == "=":
+                total += weights.get(feature, 0.0)
+            else:
+                total += weights.get(feature, 0.0) * min(1.0, n / len(tokens) / toxicity.RATE) + weights.get(feature + "#", 0.0) * min(1.0, math.log2(n) / 3)
+        assert abs(found[doc_id] - 1 / (1 + math.exp(-total))) < 1e-6
+
+
+def test_few_labels_are_enough(spark, sf, documents, labels):
+    """At the small table's some 50 toxic rows, most are caught, held out or not."""
+    kept = {r["doc_id"] for r in toxicity.drop_toxic(documents, labels).collect()}
+    marked = labels.collect()
+    assert sum(r["doc_id"] in kept for r in marked if r["toxic"]) <= 0.1 * sum(r["toxic"] for r in marked)
+    assert sum(r["doc_id"] not in kept for r in marked if not r["toxic"]) <= 0.01 * sum(not r["toxic"] for r in marked)
+
+
+def test_a_token_of_any_length_costs_as_much_as_it_is_long(larger):
+    import time
+
+    rng = np.random.default_rng(2)
+    lm = np.log(rng.dirichlet(np.ones(27), (27, 27))).tolist()
+    took = []
+    for n in (20_000, 160_000):
+        start = time.process_time()
+        toxicity.viterbi("h3ll0*b@d" * (n // 9), lm)
+        took.append(time.process_time() - start)
+    assert took[1] < 16 * took[0]
+
+
 def test_toxicity_on_rows_held_out(spark, larger):
     marked = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{larger}/labels.parquet").collect()}
     rows = toxicity.op5_toxicity_viterbi(spark, larger).collect()
@@ -96,6 +159,61 @@ def test_stage_drops_toxic_rows_only(spark, larger):
     assert sum(d in kept for d in clean) >= 0.97 * len(clean)
 
 
+def test_a_language_of_long_documents_alone_is_learned(spark):
+    """Long texts give lines from all over them; repeated and null ids do no harm."""
+    rng = np.random.default_rng(5)
+    words = {"aa": "kala malu tira sola".split(), "bb": "xenq voqw zyxi wuqe".split()}
+    rows = [(i, " ".join(rng.choice(words["aa"], 30)), "aa") for i in range(60)]
+    rows += [(100 + i, "\n".join(" ".join(rng.choice(words["bb"], 300)) for _ in range(60)), "bb") for i in range(8)]
+    rows += [(7, "kala kala", "aa")] * 5 + [(None, "voqw xenq", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {k for k, _ in langid.training_lines(docs)} == {"aa", "bb"}
+    assert all(len(t) <= langid.TRAIN_CHARS + 1000 for _, t in langid.training_lines(docs))
+    model = langid.train(langid.training_lines(docs))
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.language_predictions(docs, model).collect()}
+    assert all(v == ("aa" if k is not None and k < 100 else "bb") for k, v in found.items())
+    mixed = spark.createDataFrame([(1, "kala malu tira voqw zyxi wuqe xenq"), (2, None)], "doc_id long, text string")
+    labels = {r["doc_id"]: [w["lang"] for w in r["words"]] for r in langid.word_languages(mixed, model).collect()}
+    assert labels == {1: ["aa"] * 3 + ["bb"] * 4, 2: []}
+
+
+def test_pieces_of_a_line_are_one_chain():
+    rng = np.random.default_rng(3)
+    lines = [7, 1, 40, 3, 100]
+    scores, transitions = 3 * rng.normal(size=(sum(lines), 3)), rng.normal(size=(3, 3))
+    whole, _ = langid.forward_backward(scores, np.cumsum(lines) - lines, np.array(lines), transitions)
+    for piece in (1, 2, 3, 16, 99, 256):
+        assert np.allclose(langid.line_marginals(scores, lines, transitions, piece), whole)
+
+
+def test_language_query_against_forward_backward_by_hand(spark, sf, texts, documents):
+    """Every document's share, from log-space sums over one line at a time."""
+    model = langid.train(langid.training_lines(documents))
+    t = model.transitions.astype(float)
+
+    def shares(text):
+        total = np.zeros(len(model.languages))
+        for line in text.lower().split("\n"):
+            words = langid._WORD.findall(line)
+            if not words:
+                continue
+            e = model.emissions(words).astype(float)
+            forward, backward = [e[0]], [np.zeros(len(total))]
+            for row in e[1:]:
+                forward.append(np.logaddexp.reduce(forward[-1][:, None] + t, axis=0) + row)
+            for row in e[:0:-1]:
+                backward.insert(0, np.logaddexp.reduce(t + (row + backward[0])[None, :], axis=1))
+            both = np.array(forward) + np.array(backward)
+            total += np.exp(both - np.logaddexp.reduce(both, axis=1, keepdims=True)).sum(axis=0)
+        return total
+
+    found = {r["doc_id"]: r for r in langid.language_predictions(documents, model).collect()}
+    for doc_id, text in sorted(texts.items())[::9]:
+        if len(text) < 20_000 and (total := shares(text)).sum():
+            best = int(total.argmax())
+            assert abs(found[doc_id]["score"] - total[best] / total.sum()) < 1e-4 and found[doc_id]["lang_pred"] == model.languages[best]
+
+
 def test_languages_on_rows_held_out(spark, sf, documents):
     known = {r["doc_id"]: (r["lang"], r["n_chars"]) for r in documents.select("doc_id", "lang", "n_chars").collect()}
     rows = langid.op6_language_crf(spark, sf).collect()

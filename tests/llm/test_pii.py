@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from glyphmill.llm.pii import BASE_KINDS, KINDS, fit_reliabilities, op1_pii_weak_supervision, redact, with_base, with_spans
+from glyphmill.llm.pii import BASE_KINDS, KINDS, NUMBERS, features, fit, fit_reliabilities, op1_pii_weak_supervision, redact, with_base, with_candidates, with_spans
 
 PLAIN = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -82,3 +82,45 @@ def test_redaction_keeps_rows_and_columns(odd):
     assert out[8, "size-8"]["n_chars"] == len(out[8, "size-8"]["text"])
     assert out[8, "size-8"]["_text"] == "_text-8"
     assert out[2, "size-2"]["text"] is None
+
+
+def test_long_texts_of_many_spans(spark):
+    """A text of 1 MB with 60,000 spans is located, freed of what overlaps, and redacted as the plain rules say."""
+    rng = random.Random(9)
+    line = lambda i: f"{i},{rng.randrange(10**9)},10.0.{i % 256}.7,u{i}@x.org,+49 {rng.randrange(10**10, 10**11)}"
+    text = "\n".join(map(line, range(20_000)))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    model = (-9.0, {"kind=4": 0.0})
+    (row,) = with_spans(df, model).select("_base", "_spans").collect()
+    assert [tuple(s) for s in row["_base"]] == brute(text) and row["_spans"] == row["_base"]
+    (out,) = redact(df, model).collect()
+    assert out["text"].split("\n")[0].endswith("10.0.0.7,[EMAIL],[PHONE]".replace("10.0.0.7", "[IP]")) and out["text"].count("[EMAIL]") == 20_000
+
+
+def plain_candidates(text):
+    """Long tokens and number groups that touch no base span, by plain expressions."""
+    base = brute(text)
+    tokens = [(m.start(), 4, m.end()) for m in re.finditer(r"[A-Za-z0-9_+/=-]{20,}", text)]
+    numbers = [(m.start(), 5, m.end()) for m in re.finditer(NUMBERS.replace("++", "+").replace(")*+", ")*"), text) if 7 <= len(re.sub("[^0-9]", "", m[0])) <= 19]
+    return [c for c in sorted(tokens) + sorted(numbers) if not any(b[0] < c[2] and c[0] < b[2] for b in base)]
+
+
+def test_candidates_of_the_method_against_plain_expressions(spark, texts):
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for r in with_candidates(df).select("doc_id", "_found").collect():
+        text = texts[r["doc_id"]]
+        assert [(c["start"], c["kind"], c["end"]) for c in r["_found"]] == plain_candidates(text), r["doc_id"]
+        assert all(c["value"] == text[c["start"] : c["end"]] and text[: c["start"]].endswith(c["before"]) and text[c["end"] :].startswith(c["after"]) for c in r["_found"])
+
+
+def test_added_spans_of_the_query_are_those_above_even_odds(spark, sf, documents):
+    """The final classifier by hand: prior and weights of the features of each candidate, in plain sums."""
+    prior, weights = fit(documents)
+    found = with_candidates(documents).select("doc_id", F.explode("_found").alias("c"))
+    want = {}
+    for r in found.select("doc_id", "c", features(F.col("c")).alias("f")).collect():
+        if prior + sum(weights.get(f, 0.0) for f in r["f"]) >= 0:
+            want.setdefault(r["doc_id"], set()).add(f"{KINDS[r['c']['kind']]}:{r['c']['start']}:{r['c']['end']}")
+    for r in op1_pii_weak_supervision(spark, sf).collect():
+        added = {s for s in r["spans"].split(",") if s.split(":")[0] not in BASE_KINDS and s}
+        assert added == want.get(r["doc_id"], set())

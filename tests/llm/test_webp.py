@@ -3,7 +3,7 @@ import struct
 import numpy as np
 import pytest
 
-from glyphmill.llm.media import decode_media, images, op2_webp_lossless, payload, to_media
+from glyphmill.llm.media import decode_media, form, images, op2_webp_lossless, payload, store_texts, stored_pixels, to_media
 from glyphmill.llm.webp import BitWriter, MOST_SIDE, WebPError, decode_webp, encode_webp, grey, near_offsets
 
 RNG = np.random.default_rng(4)
@@ -164,3 +164,20 @@ def test_decoding_as_a_table(spark):
     found = next(r for r in rows if r["width"])
     assert (found["width"], found["height"]) == (6, 4) and np.frombuffer(found["pixels"], dtype="<u4").reshape(4, 6).tolist() == pixels.tolist()
     assert sum(r["pixels"] is None for r in rows) == 1
+
+
+def test_the_form_of_an_image_follows_its_content(spark):
+    """Few values take a palette, rows that repeat take differences to the row above; all come back, as pixels too."""
+    line = bytes(RNG.integers(32, 127, 192, dtype=np.uint8))
+    texts = {"palette": "ab cd " * 200, "predictor": (line * 40).decode(), "subtract_green": bytes(RNG.integers(32, 127, 4000, dtype=np.uint8)).decode()}
+    for kind, text in texts.items():
+        data = payload(text.encode())
+        assert form(np.frombuffer(data, dtype=np.uint8).reshape(-1, 192))[0][0] == kind
+        media = to_media(data)
+        (pixels,) = images(media)
+        assert (pixels == grey(np.frombuffer(data, dtype=np.uint8).reshape(-1, 192))).all()
+    assert len(to_media(payload(texts["predictor"].encode()))) < 600
+    docs = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
+    for r in stored_pixels(store_texts(docs)).collect():
+        data = payload(list(texts.values())[r["doc_id"]].encode())
+        assert (np.frombuffer(r["pixels"], dtype="<u4").reshape(r["height"], r["width"]) == grey(np.frombuffer(data, dtype=np.uint8).reshape(-1, 192))).all()
