@@ -39,10 +39,12 @@ EVENT = T.StructType(
 DETAILS = T.StructType([T.StructField("text", T.StringType()), T.StructField("spans", T.ArrayType(SPAN)), T.StructField("events", T.ArrayType(EVENT))])
 
 _SPLIT = re.compile(rf"(\s+|[{re.escape(SEPARATORS)}])")
-#: Marks around a match (noncharacters), and the first of the plane-16 private-use characters that stand for a
-#: claimed key. Text for interchange holds neither; expressions take them out of what they are given.
-OPEN, CLOSE, FIRST = "\ufdd0", "\ufdd1", 0x100000
-RESERVED = "[\ufdd0\ufdd1\U00100000-\U0010fffd]"
+#: Noncharacters that expressions put into a text: ESCAPE begins everything of theirs, and is written ESCAPE ITSELF where
+#: the text holds it, so that whatever the text holds comes back. MARK and CLOSE stand around a match; the others count
+#: claimed keys.
+ESCAPE, ITSELF, MARK, CLOSE, END = "\ufdd0", "\ufdd1", "\ufdd2", "\ufdd3", "\ufdd4"
+DIGITS = "".join(map(chr, range(0xFDD5, 0xFDDF)))
+_NONCHARACTER = re.compile("[\ufdd0-\ufdef]")
 #: Largest number of phrase keys that go into expressions; each costs one of them.
 NATIVE_KEYS = 200
 #: Units whose conversions a worker remembers.
@@ -52,53 +54,56 @@ REMEMBERED = 500_000
 # ---- in expressions --------------------------------------------------------------------------------------
 
 
-def _stage_in_sql(stage: tuple[Dictionary, ...], at: int) -> tuple[list[tuple[str, ...]], int]:
-    """Steps of a stage: ("mark", pattern), ("put", marked, placeholder), ("translate", from, to)."""
+def _placeholder(n: int) -> str:
+    return ESCAPE + "".join(DIGITS[int(d)] for d in str(n)) + END
+
+
+def _stage_in_sql(stage: tuple[Dictionary, ...]) -> list[tuple[str, ...]]:
+    """Steps of a stage: ("mark", pattern), ("put", what, instead), ("translate", from, to)."""
     steps: list[tuple[str, ...]] = []
     back: list[tuple[str, ...]] = []
-    for dictionary in stage:
+    for at, dictionary in enumerate(stage):
         for length, keys in dictionary.by_length():
-            if length == 1 and all(len(e.target) == 1 for e in keys.values()):
-                # Claimed characters must stay out of reach of later dictionaries of the stage.
-                fixed = {k: e.target for k, e in keys.items()}
-                later = stage.index(dictionary) + 1 < len(stage)
-                if not later:
-                    steps.append(("translate", "".join(fixed), "".join(fixed.values())))
-                    continue
+            if length == 1 and at + 1 == len(stage) and all(len(e.target) == 1 for e in keys.values()):
+                steps.append(("translate", "".join(keys), "".join(e.target for e in keys.values())))
+                continue
             steps.append(("mark", "|".join(map(re.escape, sorted(keys)))))
             for key, entry in sorted(keys.items()):
-                steps.append(("put", f"{OPEN}{key}{CLOSE}", chr(at)))
-                back.append(("put", chr(at), entry.target))
-                at += 1
-    return steps + back, at
+                held = _placeholder(len(back))
+                steps.append(("put", f"{ESCAPE}{MARK}{key}{CLOSE}", held))
+                back.append(("put", held, entry.target))
+    return steps + back
 
 
 def native_steps(p: Program) -> list[tuple[str, ...]]:
     """The steps of a program without segmentation, as expressions run them."""
-    steps: list[tuple[str, ...]] = []
-    for table in p.normalize:
-        steps.append(("translate", "".join(table.entries), "".join(e.target for e in table.entries.values())))
-    for stage in p.stages:
-        steps += _stage_in_sql(stage, FIRST)[0]
-    return steps
+    return [step for stage in (*((table,) for table in p.normalize), *p.stages) for step in _stage_in_sql(stage)]
 
 
 def _run_steps(text: Column, steps: list[tuple[str, ...]]) -> Column:
+    marked = any(kind != "translate" for kind, *_ in steps)
+    if marked:
+        text = F.replace(text, F.lit(ESCAPE), F.lit(ESCAPE + ITSELF))
     for kind, *rest in steps:
         if kind == "translate":
             text = F.translate(text, *rest)
         elif kind == "mark":
-            text = F.regexp_replace(text, f"({rest[0]})", f"{OPEN}$1{CLOSE}")
+            text = F.regexp_replace(text, f"({rest[0]})", f"{ESCAPE}{MARK}$1{CLOSE}")
         else:
             text = F.replace(text, F.lit(rest[0]), F.lit(rest[1]))
-    return text
+    return F.replace(text, F.lit(ESCAPE + ITSELF), F.lit(ESCAPE)) if marked else text
 
 
 def fits_natively(p: Program) -> bool:
-    """Whether a program goes into expressions: no segments, pivot, chain or hook, keys that no separator cuts, few of them."""
-    keys = [k for stage in p.stages for d in stage for k in d.entries]
-    plain = not (p.segment_keys or p.chained or p.pivot or p.post)
-    return plain and sum(len(k) > 1 for k in keys) <= NATIVE_KEYS and not any(_SPLIT.search(k) for k in keys)
+    """Whether a program goes into expressions, which give the same text as the Arrow UDF but pay for every key.
+
+    It must have no segments, pivot, chain or hook, no noncharacters, keys that no separator cuts, and few of them.
+    """
+    tables = [d for stage in p.stages for d in stage]
+    plain = not (p.segment_keys or p.chained or p.pivot or p.post) and not any(_SPLIT.search(k) for d in tables for k in d.entries)
+    tables += p.normalize
+    held = sum(len(k) > 1 or len(e.target) != 1 for d in tables for k, e in d.entries.items())
+    return plain and held <= NATIVE_KEYS and not any(_NONCHARACTER.search(k + e.target) for d in tables for k, e in d.entries.items())
 
 
 def convert(text: Column, p: Program) -> Column:
@@ -110,9 +115,7 @@ def convert(text: Column, p: Program) -> Column:
         return text
     if not fits_natively(p):
         return in_arrow(text, p)
-    steps = native_steps(p)
-    marked = any(kind != "translate" for kind, *_ in steps)
-    return _run_steps(F.regexp_replace(text, RESERVED, "") if marked else text, steps)
+    return _run_steps(text, native_steps(p))
 
 
 # ---- in an Arrow UDF -------------------------------------------------------------------------------------

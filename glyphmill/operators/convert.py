@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,18 +67,27 @@ def ambiguous_counts(events: DataFrame) -> DataFrame:
     return events.filter("ambiguous").groupBy(F.lit("ambiguous_character_fallback").alias("kind"), "source", "target").agg(F.count("*").alias("hits"))
 
 
-def char_positions(df: DataFrame, id_column: str, column: str, chars: str) -> DataFrame:
-    """(id, i, char) of every occurrence of some characters, i from 0; only those are exploded."""
-    marked = F.regexp_replace(column, f"[^{chars}]", "")
-    has = df.filter(F.length(marked) > 0)
-    return has.select(id_column, column, F.posexplode(F.split(column, "")).alias("i", "char")).filter(F.col("char").rlike(f"^[{chars}]$"))
+def char_positions(df: DataFrame, id_column: str, column: str, chars: str, around: int = 0) -> DataFrame:
+    """(id, i, char, context) of every occurrence of some characters, i from 0, with what stands around it.
+
+    Only occurrences leave the UDF; null texts have none.
+    """
+    wanted = re.compile(f"[{re.escape(chars)}]")
+    kind = pa.list_(pa.struct([("i", pa.int32()), ("char", pa.string()), ("context", pa.string())]))
+
+    def find(text: str) -> list[dict]:
+        return [{"i": (i := m.start()), "char": m[0], "context": text[max(0, i - around) : i + around + 1]} for m in wanted.finditer(text)]
+
+    @F.arrow_udf("array<struct<i:int,char:string,context:string>>")
+    def found(values: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else find(v) for v in values.to_pylist()], type=kind)
+
+    return df.select(id_column, F.explode(found(F.col(column))).alias("_hit")).select(id_column, "_hit.*")
 
 
 def mixed_script(df: DataFrame, id_column: str, column: str, traditional_only: str, around: int = 6) -> DataFrame:
     """(id, i, char, context) of traditional characters in text that is to be simplified."""
-    found = char_positions(df, id_column, column, traditional_only)
-    start = F.greatest(F.col("i") - around, F.lit(0))
-    return found.select(id_column, "i", "char", F.substring(F.col(column), start + 1, F.col("i") + around + 1 - start).alias("context"))
+    return char_positions(df, id_column, column, traditional_only, around)
 
 
 def first_distinct(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
@@ -85,7 +97,11 @@ def first_distinct(df: DataFrame, keys: list[str], order: list[str], n: int) ->
 
 
 def merged_spans(spans: DataFrame, by: list[str], start: str = "source_start", end: str = "source_end") -> DataFrame:
-    """Neighbouring spans of one kind, dictionary, ambiguity and changed state joined: gaps and islands."""
+    """Neighbouring spans of one kind, dictionary, ambiguity and changed state joined: gaps and islands.
+
+    Spans without source and target are left out.
+    """
+    spans = spans.filter("source <> '' OR target <> ''")
     w = Window.partitionBy(*by).orderBy(start)
     state = F.struct("kind", "dictionary", "ambiguous", (F.col("source") == F.col("target")).alias("same"))
     breaks = F.when((F.lag(end).over(w) == F.col(start)) & F.lag(state).over(w).eqNullSafe(state), 0).otherwise(1)
@@ -110,7 +126,19 @@ def conversion_statistics(df: DataFrame, by: list[str], text: str, after: str, s
     return df.groupBy(*by).agg(*aggregates)
 
 
-def time_codes(df: DataFrame, code: str, order: list[str]) -> DataFrame:
-    """Time codes with _2, _3 and so on where they repeat, in the given order."""
+def time_codes(df: DataFrame, code: str, order: list[str], used: DataFrame | None = None) -> DataFrame:
+    """Time codes with _2, _3 and so on where they repeat, in the given order; used (column code) are passed over.
+
+    A code with used forms gets the free numbers from the smallest on.
+    """
     n = F.row_number().over(Window.partitionBy(code).orderBy(*order))
-    return df.withColumn(code, F.when(n == 1, F.col(code)).otherwise(F.concat_ws("_", F.col(code), n.cast("string"))))
+    numbered = df.withColumn("_n", n)
+    if used is not None:
+        base, number = F.regexp_replace("code", "_[0-9]{1,6}$", ""), F.regexp_extract("code", "_([0-9]{1,6})$", 1)
+        whole = used.select(F.col("code").alias("_base"), F.lit(1).alias("_taken"))
+        tailed = used.filter(number != "").select(base.alias("_base"), number.cast("int").alias("_taken"))
+        taken = whole.unionByName(tailed).groupBy("_base").agg(F.sort_array(F.collect_set("_taken")).alias("_used"))
+        # The n-th free number is n and the used numbers that do not lie above it.
+        free = F.aggregate("_used", F.col("_n"), lambda at, u: F.when(u <= at, at + 1).otherwise(at))
+        numbered = numbered.join(taken, F.col(code) == F.col("_base"), "left").withColumn("_n", F.coalesce(free, F.col("_n"))).drop("_base", "_used")
+    return numbered.withColumn(code, F.when(F.col("_n") == 1, F.col(code)).otherwise(F.concat_ws("_", F.col(code), F.col("_n").cast("string")))).drop("_n")

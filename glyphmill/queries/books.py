@@ -38,10 +38,11 @@ def page_previews(spark, sf_dir):
 
 
 def lang_attributes(spark, sf_dir):
-    """Start tags of pages with their language attributes rewritten."""
-    tag = F.regexp_extract("html", "(?i)<html[^>]*>", 0)
-    chinese = F.replace(F.replace(tag, F.lit('lang="en"'), F.lit('lang="zh-TW"')), F.lit('lang="fr"'), F.lit('LANG="ZH-Latn-x"'))
-    return spread(read_table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", T.rewrite_lang(chinese, "zh-Hans-CN").alias("tag"))
+    """Every start tag of each page with its language attributes rewritten, joined."""
+    tags = F.regexp_extract_all("html", F.lit("<[A-Za-z][^>]*>"), F.lit(0))
+    chinese = lambda tag: F.replace(F.replace(tag, F.lit('lang="en"'), F.lit('lang="zh-TW"')), F.lit('lang="fr"'), F.lit('LANG="ZH-Latn-x"'))
+    found = F.transform(tags, lambda tag: T.rewrite_lang(chinese(tag), "zh-Hans-CN"))
+    return spread(read_table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", F.array_join(found, "").alias("tags"))
 
 
 def title_sanitize(spark, sf_dir):
@@ -72,9 +73,9 @@ def span_merge(spark, sf_dir):
 
 
 def _rows(spark, sf_dir):
-    """Parts as dictionary rows: the name is the key, the words of the type its candidates."""
+    """Parts as dictionary rows: the name, which many share, is the key, the words of the type its candidates."""
     parts = read_table(spark, sf_dir, "part")
-    return parts.select(F.col("p_brand").alias("dict_name"), F.substring("p_name", 1, 12).alias("key"), F.split("p_type", " ").alias("candidates"), F.col("p_partkey").alias("line_no"))
+    return parts.select(F.col("p_brand").alias("dict_name"), F.col("p_name").alias("key"), F.split("p_type", " ").alias("candidates"), F.col("p_partkey").alias("line_no"))
 
 
 def dictionary_rows(spark, sf_dir):
@@ -89,7 +90,7 @@ def reverse_dictionary(spark, sf_dir):
 
 def dictionary_conflicts(spark, sf_dir):
     """Projections that come from several keys."""
-    rows = _rows(spark, sf_dir).withColumn("projection", F.substring("key", 1, 6))
+    rows = _rows(spark, sf_dir).withColumn("projection", F.substring_index("key", " ", 1))
     return D.conflicts(rows, "projection")
 
 
@@ -148,7 +149,7 @@ def font_families(spark, sf_dir):
     """Families that style sheets name, case aside, and the sheets of each."""
     css = F.concat(F.lit("p{font-family: '"), F.col("p_brand"), F.lit("', serif, "), F.upper("p_brand"), F.lit("} h1 {Font-Family:\""), F.substring_index("p_type", " ", 1), F.lit("\"}"))
     sheets = read_table(spark, sf_dir, "part").select(F.explode(T.font_families(css)).alias("family"))
-    return sheets.groupBy("family").agg(F.count("*").alias("sheets"))
+    return sheets.groupBy(F.lower("family").alias("family")).agg(F.min("family").alias("shown"), F.count("*").alias("sheets"))
 
 
 _CODE = "(['" + "', '".join(CODES) + "'])[(doc_id {0})::INT % 10 + 1]"
@@ -158,10 +159,12 @@ _KIND = (
     " WHEN {0} IN ('ja','jpn','jap') OR {0} LIKE 'ja-%' THEN 'japanese' ELSE 'other' END"
 )
 _SUPPORT = "CASE WHEN {0} IN ('chinese','japanese') OR {1} IN ('chinese','japanese') THEN 'supported' WHEN {0} = 'other' OR {1} = 'other' THEN 'unsupported' ELSE 'unknown' END"
-_MODES = ", ".join(f"({k}, {s}, {t}, '{m}', {str(p).upper()})" for k, s, t, m, p in P.MODE_TABLE)
+#: What each direction and pair of regions converts by, written out beside the code that it checks.
+_MODES = """(1,0,0,'t2s',false),(1,0,3,'t2jp',false),(1,1,0,'hk2s',true),(1,2,0,'tw2s',true),(2,0,0,'s2t',false),(2,0,1,'s2hk',true),(2,0,2,'s2tw',true),(2,3,0,'jp2t',false),
+(3,0,0,'no_conversion',false),(3,0,1,'t2hk',false),(3,0,2,'t2tw',false),(3,1,0,'hk2t',false),(3,1,1,'no_conversion',false),(3,1,2,'hk2tw',false),(3,2,0,'tw2t',false),(3,2,1,'tw2hk',false),(3,2,2,'no_conversion',false)"""
 _TARGET = "CASE WHEN l = 1 THEN '繁體中文_香港' WHEN l = 2 THEN '繁體中文_台灣' WHEN l = 3 THEN '日文汉字' WHEN k = 1 THEN '简体中文' WHEN k IN (2, 3) THEN '繁体中文' ELSE '中文转换' END"
 _DURATION = "CASE WHEN {0} >= 3600 THEN ({0} // 3600)::VARCHAR || ':' || lpad((({0} % 3600) // 60)::VARCHAR, 2, '0') ELSE ({0} // 60)::VARCHAR END || ':' || lpad(({0} % 60)::VARCHAR, 2, '0')"
-_ROWS = "rows AS (SELECT p_brand AS dict_name, substr(p_name, 1, 12) AS key, string_split(p_type, ' ') AS candidates, p_partkey AS line_no FROM part)"
+_ROWS = "rows AS (SELECT p_brand AS dict_name, p_name AS key, string_split(p_type, ' ') AS candidates, p_partkey AS line_no FROM part)"
 
 QUERIES = {
     f.__name__: f
@@ -184,8 +187,9 @@ WITH b AS (SELECT page_id, CASE WHEN regexp_matches(html, '(?is)<body\b[^>]*>.*?
 t AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(body, '(?is)<style\b[^>]*>.*?</style>|<script\b[^>]*>.*?</script>', ' ', 'g'), '<[^>]+>', '', 'g'), '[\s\x0B\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{3000}]+', ' ', 'g')) AS t FROM b)
 SELECT page_id, CASE WHEN length(t) > 200 THEN substr(t, 1, 200) || '…' ELSE t END AS preview FROM t""",
     "lang_attributes": r"""
-WITH t AS (SELECT page_id, replace(replace(regexp_extract(html, '(?i)<html[^>]*>'), 'lang="en"', 'lang="zh-TW"'), 'lang="fr"', 'LANG="ZH-Latn-x"') AS t FROM pages)
-SELECT page_id, CASE WHEN regexp_matches(t, '(?i)lang="zh-(Latn|Cyrl|Bopo|Mong)') THEN t ELSE regexp_replace(t, '(?i)lang="zh(-[-\w+]+)?"', 'lang="zh-Hans-CN"', 'g') END AS tag FROM t""",
+WITH t AS (SELECT page_id, unnest(list_concat(regexp_extract_all(html, '<[A-Za-z][^>]*>'), [''])) AS raw, unnest(range(len(regexp_extract_all(html, '<[A-Za-z][^>]*>')) + 1)) AS i FROM pages),
+u AS (SELECT page_id, i, replace(replace(raw, 'lang="en"', 'lang="zh-TW"'), 'lang="fr"', 'LANG="ZH-Latn-x"') AS t FROM t)
+SELECT page_id, string_agg(CASE WHEN regexp_matches(t, '(?i)lang="zh-(Latn|Cyrl|Bopo|Mong)') THEN t ELSE regexp_replace(t, '(?i)lang="zh(-[-\w+]+)?"', 'lang="zh-Hans-CN"', 'g') END, '' ORDER BY i) AS tags FROM u GROUP BY page_id""",
     "title_sanitize": f"""
 SELECT o_orderkey, regexp_replace(trim(' Order ' || o_orderkey || (['{"', '".join(_SUFFIXES)}'])[o_orderkey::INT % 6 + 1]), '({T.TITLE_SUFFIX}\\s*)+$', '') AS title FROM orders""",
     "title_suffixes": f"""
@@ -201,7 +205,7 @@ SELECT l_orderkey, min(a) AS source_start, max(b) AS source_end, string_agg(sour
 WITH {_ROWS}, last AS (SELECT * FROM rows QUALIFY row_number() OVER (PARTITION BY dict_name, key ORDER BY line_no DESC) = 1)
 SELECT dict_name, key, array_to_string(candidates, ' ') AS candidates, line_no FROM last QUALIFY row_number() OVER (PARTITION BY key ORDER BY dict_name) = 1""",
     "reverse_dictionary": f"WITH {_ROWS}, e AS (SELECT unnest(candidates) AS value, key, line_no FROM rows), g AS (SELECT value, string_agg(key, ' ' ORDER BY line_no, key) AS keys FROM e GROUP BY value) SELECT value, md5(keys) AS digest, length(keys) AS chars FROM g",
-    "dictionary_conflicts": f"WITH {_ROWS} SELECT substr(key, 1, 6) AS projected, count(DISTINCT key) AS sources FROM rows WHERE length(substr(key, 1, 6)) >= 3 GROUP BY 1 HAVING count(DISTINCT key) > 1",
+    "dictionary_conflicts": f"WITH {_ROWS} SELECT split_part(key, ' ', 1) AS projected, count(DISTINCT key) AS sources FROM rows WHERE length(split_part(key, ' ', 1)) >= 3 GROUP BY 1 HAVING count(DISTINCT key) > 1",
     "dictionary_lengths": f"WITH {_ROWS} SELECT dict_name, max(length(key)) AS longest, count(*) AS keys FROM rows GROUP BY 1",
     "only_targets": f"WITH {_ROWS} SELECT DISTINCT value FROM (SELECT unnest(candidates) AS value FROM rows) WHERE value NOT IN (SELECT key FROM rows)",
     "job_decisions": f"""
@@ -219,7 +223,14 @@ SELECT l_orderkey, {_DURATION.format('took')} AS took, {_DURATION.format('remain
     "work_units": """
 WITH p AS (SELECT p_brand, (['t', 'c', 'i', 'f', 'f', 'x'])[p_partkey::INT % 6 + 1] AS m, (['.xhtml', '.css', '.png', '.woff', '.bin', '.ttf', '.txt'])[p_partkey::INT % 7 + 1] AS e FROM part)
 SELECT p_brand, count(*) FILTER (m = 't') AS texts, count(*) FILTER (m = 'c') AS styles, count(*) FILTER (m = 'i') AS images, count(*) FILTER (m = 'f' OR e IN ('.woff', '.ttf')) AS fonts, greatest(1, count(*) FILTER (m = 't') + 1) AS units FROM p GROUP BY 1""",
+    "recognized_text": r"""
+WITH d AS (SELECT doc_id, (['丷 ', '·· ', 'Detected text: ', '', '__ '])[doc_id::INT % 5 + 1] || translate(lower(text), 'aeiot', '后面系范卷') || '松' || ([' 46 个 ×', '', ' 7 個 × ', ' and a long tail in plain Latin letters'])[doc_id::INT % 4 + 1] AS t FROM documents),
+a AS (SELECT doc_id, trim(regexp_replace(coalesce(t, ''), '[\s\x0B\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS t FROM d),
+b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '^[^㐀-鿿]*Detected[^㐀-鿿]*([㐀-鿿])', '\1'), '\s+\d+\s*[个個]\s*×\s*$', '') AS t FROM a),
+c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '^[^\p{L}\p{M}\p{N}]+', ''), '^([丷丶丨〡-〥•·●○◆◇■□▲△▼▽★☆※] *)+', '') AS t FROM b),
+e AS (SELECT doc_id, t, trim(regexp_extract(t, '[㐀-鿿]([^㐀-鿿]*)$', 1)) AS tail FROM c)
+SELECT doc_id, CASE WHEN length(tail) >= 24 AND length(regexp_replace(tail, '[^A-Za-z\s.,;:!?''()\-]', '', 'g')) >= 0.85 * length(tail) THEN regexp_replace(t, '[^㐀-鿿]*$', '') ELSE t END AS clean FROM e""",
     "font_families": """
 WITH p AS (SELECT p_brand AS b, split_part(p_type, ' ', 1) AS t FROM part),
-f AS (SELECT b AS family FROM p UNION ALL SELECT t FROM p WHERE lower(t) <> lower(b)) SELECT family, count(*) AS sheets FROM f GROUP BY 1""",
+f AS (SELECT b AS family FROM p UNION ALL SELECT t FROM p WHERE lower(t) <> lower(b)) SELECT lower(family) AS family, min(family) AS shown, count(*) AS sheets FROM f GROUP BY 1""",
 }

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import text as T
 from glyphmill.functions.rewrite import convert, counted_events, details, in_arrow
-from glyphmill.functions.segment import SEPARATOR, UNIT, alternation, forward_segments
+from glyphmill.functions.segment import SEPARATOR, SPACES, UNIT, alternation, forward_segments
 from glyphmill.operators import convert as C
+from glyphmill.plans.program import SEPARATORS
 from glyphmill.sources.tables import read_table, spread
 from glyphmill.queries.samples import CHARACTER_PROGRAM, HAN_SQL, PHRASE_PROGRAM, PHRASES, REGIONAL, SIMPLIFIED, TRADITIONAL, han, phrase_sql
 
@@ -32,11 +33,12 @@ def phrase_convert_arrow(spark, sf_dir):
 
 
 def phrase_spans(spark, sf_dir):
-    """Spans of short documents: their number, and whether they cover the text and the result."""
-    docs = _documents(spark, sf_dir).filter(F.length("text") <= 1000).select("doc_id", han(F.col("text")).alias("h"))
+    """Spans of whole documents: their cover, what they give, and the characters that lie in changed ones."""
+    docs = _documents(spark, sf_dir).select("doc_id", han(F.col("text")).alias("h"))
     found = docs.select("doc_id", "h", details(F.col("h"), PHRASE_PROGRAM).alias("d")).select("doc_id", "h", "d.*")
     joined = lambda f: F.array_join(F.transform("spans", lambda x: x[f]), "")
-    return found.select("doc_id", (joined("source") == F.col("h")).alias("covers"), (joined("target") == F.col("text")).alias("gives"), F.col("text").alias("converted"))
+    changed = F.aggregate(F.filter("spans", lambda x: x["source"] != x["target"]), F.lit(0).cast("long"), lambda a, x: a + x["source_end"] - x["source_start"])
+    return found.select("doc_id", (joined("source") == F.col("h")).alias("covers"), F.md5(joined("target").cast("binary")).alias("gives"), F.col("text").alias("converted"), changed.alias("changed"))
 
 
 def changed_documents(spark, sf_dir):
@@ -81,9 +83,11 @@ def restyled(spark, sf_dir):
 
 
 def unit_split(spark, sf_dir):
-    """Units and separators of each document."""
-    count = lambda pattern: F.regexp_count("text", F.lit(pattern)).cast("long")
-    return _documents(spark, sf_dir).select("doc_id", count(UNIT).alias("units"), count(SEPARATOR).alias("separators"))
+    """Units and separators of each document, in one pass: pieces, and those of them that a separator begins."""
+    pieces = F.regexp_extract_all("text", F.lit(f"{UNIT}|{SEPARATOR}"), F.lit(0))
+    marks = F.lit(SPACES + SEPARATORS)
+    found = _documents(spark, sf_dir).select("doc_id", pieces.alias("p")).withColumn("s", F.size(F.filter("p", lambda x: F.contains(marks, F.substring(x, 1, 1)))).cast("long"))
+    return found.select("doc_id", (F.size("p") - F.col("s")).cast("long").alias("units"), F.col("s").alias("separators"))
 
 
 def forward_match(spark, sf_dir):
@@ -104,8 +108,9 @@ def script_votes(spark, sf_dir):
     """Script of each document by counts, by quotes first, and by its first marker."""
     mixed = F.translate(han(F.col("text")), "面斗'\"", "麵鬥「”")
     docs = _documents(spark, sf_dir).select("doc_id", mixed.alias("t"))
-    t = F.col("t")
-    return docs.select("doc_id", T.script_vote(t, SIMPLIFIED, TRADITIONAL).alias("by_count"), T.quote_vote(t, SIMPLIFIED, TRADITIONAL).alias("by_quotes"), T.first_marker(t, SIMPLIFIED, TRADITIONAL).alias("by_first"))
+    c = F.col("c")
+    counted = docs.select("doc_id", T.script_counts(F.col("t"), SIMPLIFIED, TRADITIONAL).alias("c"))
+    return counted.select("doc_id", T.script_vote(c).alias("by_count"), T.quote_vote(c).alias("by_quotes"), T.first_marker(c).alias("by_first"))
 
 
 def conversion_statistics(spark, sf_dir):
@@ -153,8 +158,9 @@ counts AS (SELECT lang, source, target, sum(n)::BIGINT AS hits FROM found GROUP
 
 _ONLY = "".join(t for t in TRADITIONAL if t not in SIMPLIFIED)
 _FULL = "translate(text, '\"''(),;:?!', '“‘（），；：？！')"
-_PAIRS = list(zip(T.HORIZONTAL, T.VERTICAL))
-_DOWN = f"translate(translate(f, '“”‘’', '「」『』'), '{T.HORIZONTAL}', '{T.VERTICAL}')"
+#: Marks and their vertical forms as the queries' texts have them, written out beside the code that they check.
+_ACROSS, _BELOW = "（），；：？！「」『』…—", "︵︶︐︔︓︖︕﹁﹂﹃﹄︙︱"
+_DOWN = f"translate(translate(f, '“”‘’', '「」『』'), '{_ACROSS}', '{_BELOW}')"
 _VOTE = lambda s, t: f"CASE WHEN {s} > {t} THEN 'simplified' WHEN {t} > {s} THEN 'traditional' END"
 _COUNT = lambda chars: f"length(regexp_replace(t, '[^{chars}]', '', 'g'))"
 QUERIES = {
@@ -165,17 +171,24 @@ QUERIES = {
     )
 }
 _PHRASE = phrase_sql("h")[2]
+_MASKED = phrase_sql("h")[0]
+_SORTED = sorted(PHRASES.items(), key=lambda p: (-len(p[0]), p[0]))
+_FINAL = {a: REGIONAL.get(b, b) for a, b in zip(SIMPLIFIED, TRADITIONAL)}
+_CHANGED = " + ".join(
+    [f"{len(k)} * (length(m) - length(replace(m, chr({57344 + i}), '')))" for i, (k, v) in enumerate(_SORTED) if k != v]
+    + [f"(length(m) - length(translate(m, '{''.join(a for a, b in _FINAL.items() if a != b)}', '')))"]
+)
 ORACLE_SQL = {
     "char_convert": f"SELECT doc_id, translate({HAN_SQL}, '{SIMPLIFIED}', '{TRADITIONAL}') AS converted FROM documents",
     "phrase_convert": f"SELECT doc_id, {_PHRASE} AS converted FROM (SELECT doc_id, {HAN_SQL} AS h FROM documents)",
     "phrase_convert_arrow": f"SELECT doc_id, {_PHRASE} AS converted FROM (SELECT doc_id, {HAN_SQL} AS h FROM documents)",
-    "phrase_spans": f"SELECT doc_id, TRUE AS covers, TRUE AS gives, {_PHRASE} AS converted FROM (SELECT doc_id, {HAN_SQL} AS h FROM documents WHERE length(text) <= 1000)",
+    "phrase_spans": f"SELECT doc_id, h = {HAN_SQL} AS covers, md5({_PHRASE}) AS gives, {_PHRASE} AS converted, {_CHANGED} AS changed FROM (SELECT doc_id, text, h, {_MASKED} AS m FROM (SELECT doc_id, text, {HAN_SQL} AS h FROM documents))",
     "changed_documents": f"SELECT doc_id, length(h) AS chars_before, length(a) AS chars_after FROM (SELECT doc_id, h, {_PHRASE} AS a FROM (SELECT doc_id, {HAN_SQL} AS h FROM documents)) WHERE h IS DISTINCT FROM a",
     "replacement_counts": _char_sql("corpus"),
     "top_replacements": _char_sql("") + " ORDER BY hits DESC, source, target LIMIT 20",
     "phrase_counts": f"WITH {_phrase_count_sql()} SELECT * FROM counts",
     "replacement_totals": f"WITH {_phrase_count_sql()}, summed AS (SELECT source, target, sum(hits) AS hits FROM counts GROUP BY ALL) SELECT sum(hits)::BIGINT AS hits, count(*) AS pairs, sum(length(source) * hits)::BIGINT AS chars_converted FROM summed",
-    "restyled": f"SELECT doc_id, v AS vertical, translate(translate(v, '{T.VERTICAL}', '{T.HORIZONTAL}'), '「」『』', '“”‘’') AS horizontal FROM (SELECT doc_id, {_DOWN} AS v FROM (SELECT doc_id, {_FULL} AS f FROM documents))",
+    "restyled": f"SELECT doc_id, v AS vertical, translate(translate(v, '{_BELOW}', '{_ACROSS}'), '「」『』', '“”‘’') AS horizontal FROM (SELECT doc_id, {_DOWN} AS v FROM (SELECT doc_id, {_FULL} AS f FROM documents))",
     "unit_split": f"SELECT doc_id, len(regexp_extract_all(text, '{UNIT}')) AS units, len(regexp_extract_all(text, '{SEPARATOR}')) AS separators FROM documents",
     "forward_match": f"""
 WITH h AS (SELECT doc_id, {HAN_SQL} AS h FROM documents),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glyphmill.queries import books, conversion
+from glyphmill.queries import books, conversion, markup
 
-QUERIES = conversion.QUERIES | books.QUERIES
-ORACLE_SQL: dict[str, str] = conversion.ORACLE_SQL | books.ORACLE_SQL
+QUERIES = conversion.QUERIES | books.QUERIES | markup.QUERIES
+ORACLE_SQL: dict[str, str] = conversion.ORACLE_SQL | books.ORACLE_SQL | markup.ORACLE_SQL
