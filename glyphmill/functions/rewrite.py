@@ -106,11 +106,14 @@ def fits_natively(p: Program) -> bool:
     return plain and held <= NATIVE_KEYS and not any(_NONCHARACTER.search(k + e.target) for d in tables for k, e in d.entries.items())
 
 
-def convert(text: Column, p: Program) -> Column:
+def convert(text: Column, p: Program, segmenter: Callable[[str], list[str]] | None = None) -> Column:
     """text converted by a program; null stays null.
 
-    Small programs run in expressions, large ones in the Arrow UDF.
+    Small programs run in expressions, large ones in the Arrow UDF. A segmenter cuts every unit, also of programs without
+    segmentation of their own.
     """
+    if segmenter:
+        return in_arrow(text, p, segmenter)
     if not (p.stages or p.normalize or p.chained or p.pivot or p.post):
         return text
     if not fits_natively(p):
@@ -189,8 +192,8 @@ class Runner:
         self.quick = [self._quick(tables) for tables in [*self.normalize, *self.stages]]
         self.known: dict[str, str] = {}
         self.counted: dict[str, Counter] = {}
-        self.chained = [Runner(q) for q in p.chained]
-        self.pivot = Runner(p.pivot) if p.pivot else None
+        self.chained = [Runner(q, segmenter) for q in p.chained]
+        self.pivot = Runner(p.pivot, segmenter) if p.pivot else None
         self.longest = max(map(len, p.segment_keys or ()), default=0)
         self.segmenter = segmenter
 
@@ -365,9 +368,9 @@ def _arrow_udf(kind: T.DataType | str, p: Program, each: Callable, segmenter: Ca
     return run
 
 
-def in_arrow(text: Column, p: Program) -> Column:
+def in_arrow(text: Column, p: Program, segmenter: Callable[[str], list[str]] | None = None) -> Column:
     """text converted by the Arrow UDF; null stays null."""
-    return _arrow_udf(T.StringType(), p, lambda runner, v: runner.text(v))(text)
+    return _arrow_udf(T.StringType(), p, lambda runner, v: runner.text(v), segmenter)(text)
 
 
 def details(text: Column, p: Program, segmenter: Callable[[str], list[str]] | None = None) -> Column:

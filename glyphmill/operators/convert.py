@@ -63,8 +63,9 @@ def replacement_totals(counts: DataFrame) -> DataFrame:
 
 
 def ambiguous_counts(events: DataFrame) -> DataFrame:
-    """(kind, source, target, hits) of events that had several candidates."""
-    return events.filter("ambiguous").groupBy(F.lit("ambiguous_character_fallback").alias("kind"), "source", "target").agg(F.count("*").alias("hits"))
+    """(kind, source, target, hits) of events (counted or one by one) that had several candidates."""
+    hits = F.sum("hits") if "hits" in events.columns else F.count("*")
+    return events.filter("ambiguous").groupBy(F.lit("ambiguous_character_fallback").alias("kind"), "source", "target").agg(hits.alias("hits"))
 
 
 def char_positions(df: DataFrame, id_column: str, column: str, chars: str, around: int = 0) -> DataFrame:

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphmill.plans.program import Dictionary, Program, from_config
+from glyphmill.plans.wiki import Tables
+from glyphmill.plans.words import Words, unknown_words
 
 MISSING = ("error", "skip")
 
@@ -79,6 +81,20 @@ def read_json(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
+def word_model(spark: SparkSession, words: str, unknown: str | None = None, user: str | None = None) -> Words:
+    """A word model of a dictionary file, a JSON model of unknown words, and a file of user words, if given."""
+    rows = read_segmenter_words(spark, words).select("word", "freq").toLocalIterator()
+    model = Words.of(((r["word"], r["freq"]) for r in rows), unknown_words(read_json(spark, unknown)) if unknown else None)
+    for r in read_user_words(spark, user).collect() if user else ():
+        model = model.add(r["word"], r["freq"])
+    return model
+
+
+def locale_tables(spark: SparkSession, path: str) -> Tables:
+    """Conversion tables of a JSON file by name; markers of scripts in it are other entries."""
+    return Tables({k: v for k, v in read_json(spark, path).items() if isinstance(v, dict)})
+
+
 TEXT_LINES = T.StructType([T.StructField("value", T.StringType())])
 
 
