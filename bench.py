@@ -14,6 +14,7 @@ from glyphmill.registry import QUERIES
 HEADLINE = (
     "char_convert", "phrase_convert", "phrase_convert_arrow", "replacement_counts", "top_replacements", "phrase_counts",
     "restyled", "unit_split", "forward_match", "mixed_script", "script_votes", "page_previews", "span_merge", "job_decisions",
+    "modes_forward", "markup_convert", "word_counts", "locale_convert", "epub_round_trip",
 )
 
 

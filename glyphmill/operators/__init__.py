@@ -1 +1 @@
-"""DataFrame operators: conversion, statistics, segmentation, markup and book parts."""
+"""DataFrame operators: conversion, statistics, dictionaries, words, markup tokens and books."""

@@ -37,8 +37,14 @@ def conflicts(rows: DataFrame, projected: str, least: int = 3) -> DataFrame:
 
 
 def projected(rows: DataFrame, p: Program, least: int = 3) -> DataFrame:
-    """(key, value): phrases converted by a program, back to themselves, in order; short ones are left out."""
-    return rows.select(convert(F.col("key"), p).alias("projection"), "key").filter(F.length("projection") >= least).orderBy("projection", "key")
+    """(key, value): phrases converted by a program, back to themselves, in order; short ones are left out.
+
+    Fails where several phrases have one projection, and names the first of those.
+    """
+    found = rows.select(convert(F.col("key"), p).alias("projection"), "key").filter(F.length("projection") >= least).distinct()
+    if clash := conflicts(found, "projection", least).orderBy("projected").first():
+        raise ValueError(f"{clash['sources']} phrases become {clash['projected']}")
+    return found.select(F.col("projection").alias("key"), F.col("key").alias("value")).orderBy("key")
 
 
 def key_lengths(rows: DataFrame) -> DataFrame:

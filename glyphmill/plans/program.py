@@ -161,3 +161,17 @@ def program(mode: str, catalog: Catalog, force_pivot: bool = False, post: Callab
         stages = [to_region(REGIONS[target])]
     pivot = program(PIVOTS[mode], catalog) if force_pivot and mode in PIVOTS else None
     return Program(mode, tuple(stages), (compatibility_ideographs(),), keys, pivot=pivot, post=post)
+
+
+def without_tofu(config: dict | list | str) -> dict | list | str | None:
+    """A configuration of compiled dictionaries as one of text files; items that may give missing glyphs are left out (None)."""
+    if isinstance(config, list):
+        return [y for y in map(without_tofu, config) if y is not None]
+    if not isinstance(config, dict):
+        return config
+    if config.get("may_output_tofu"):
+        return None
+    kept = {k: y for k, v in config.items() if (y := without_tofu(v)) is not None}
+    if config.get("type") == "ocd2":
+        kept |= {"type": "txt", "file": config["file"].replace(".ocd2", ".txt")}
+    return kept

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from glyphmill.functions import notes as N
+from glyphmill.functions import styles as S
 from glyphmill.functions import text as T
+from glyphmill.functions.markup import per_text
+from glyphmill.operators import books as B
 from glyphmill.operators import convert as C
 from glyphmill.operators import dictionaries as D
 from glyphmill.plans import decisions as P
+from glyphmill.sources import epub
 from glyphmill.sources.tables import read_table, spread
 
 CODES = ("zh_TW", "zh-Latn", "cmn", "ja-JP", "en", "", "YUE", "zh-hant-hk", "zh_cyrl_x", " jpn ")
@@ -125,16 +131,18 @@ def job_progress(spark, sf_dir):
 
 
 def work_units(spark, sf_dir):
-    """Parts by kind, and each brand's units of work."""
+    """Parts by kind, and each brand's units of work for a job that converts, turns, recognizes and strips fonts."""
     parts = read_table(spark, sf_dir, "part")
-    mime = _pick(("application/xhtml+xml", "text/css", "image/png", "Font/woff", "application/x-font-opentype", "text/plain"), F.col("p_partkey"))
+    mime = _pick(("application/xhtml+xml", "text/css", "image/png", "Font/woff", "application/x-font-ttf", "text/plain"), F.col("p_partkey"))
     name = F.concat(F.col("p_name"), _pick((".xhtml", ".css", ".png", ".woff", ".bin", ".TTF", ".txt"), F.col("p_partkey")))
-    kinds = parts.select("p_brand", mime.alias("mime"), name.alias("name"))
+    kinds = parts.select(F.col("p_brand").alias("book"), mime.alias("mime"), name.alias("name"))
     total = lambda c: F.sum(c.cast("long"))
-    return kinds.groupBy("p_brand").agg(
+    counts = kinds.groupBy("book").agg(
         total(F.col("mime") == "application/xhtml+xml").alias("texts"), total(F.col("mime") == "text/css").alias("styles"), total(T.is_image(F.col("mime"))).alias("images"),
-        total(T.is_font(F.col("mime"), F.col("name"))).alias("fonts"), F.greatest(F.lit(1), total(F.col("mime") == "application/xhtml+xml") + 1).alias("units"),
+        total(T.is_font(F.col("mime"), F.col("name"))).alias("fonts"),
     )
+    yes, no = F.lit(True), F.lit(False)
+    return counts.join(B.work_units(kinds, yes, yes, F.lit(2), yes, yes, no), "book").withColumnRenamed("book", "p_brand")
 
 
 def recognized_text(spark, sf_dir):
@@ -145,6 +153,41 @@ def recognized_text(spark, sf_dir):
     return docs.select("doc_id", T.clean_recognized(F.concat(head, F.translate(F.lower("text"), "aeiot", "后面系范卷"), F.lit("松"), tail)).alias("clean"))
 
 
+def epub_round_trip(spark, sf_dir):
+    """Pages as parts of forty books, made into files and read again: digest and size of each part."""
+    pages = read_table(spark, sf_dir, "pages")
+    given = pages.select(F.concat(F.lit("b"), F.col("page_id") % 40).alias("book"), F.concat(F.lit("t/"), F.col("page_id"), F.lit(".xhtml")).alias("part_name"), F.lit("").alias("mime"), F.encode("html", "utf-8").alias("content"))
+    found = epub.text_parts(epub.parts(epub.books(given)))
+    return found.select("book", "part_name", F.md5("content").alias("digest"), F.octet_length("content").cast("long").alias("bytes"))
+
+
+def suggested_styles(spark, sf_dir):
+    """Quotes, punctuation, defaults and languages in images that go with each job."""
+    jobs = read_table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 4).alias("k"), (F.col("o_custkey") % 4).alias("s"), (F.floor(F.col("o_custkey") / 4) % 4).alias("t"), (F.col("o_orderkey") % 3).alias("o"))
+    k, s, t, o = (F.col(c) for c in "ksto")
+    language = P.interface_language(_pick(("zh_TW", "zh-HK", "zh_CN", "de"), F.col("o_orderkey")))
+    locales = P.default_locales(language, k)
+    return jobs.select(
+        "o_orderkey", P.suggested_quotes(k, s, t, o).alias("quotes"), P.suggested_punctuation(k, s, t, o).alias("punctuation"), language.alias("language"),
+        P.default_orientation(language).alias("orientation"), locales["source"].alias("source"), locales["target"].alias("target"), F.element_at(P.recognized_languages(s), 1).alias("first"),
+    )
+
+
+def comments_cleaned(spark, sf_dir):
+    """Comments with the note of an earlier conversion below a rule, which is replaced by a new one."""
+    turns = read_table(spark, sf_dir, "conversations")
+    own = F.translate("text", "\n\r", "  ")
+    earlier = F.concat(own, F.lit("\n\n----\nConverted by Chinese Conversion\n\n转换信息"))
+    return turns.select("conv_id", "turn", N.with_note(earlier, F.lit("new note")).alias("comments"))
+
+
+def sheet_rules(spark, sf_dir):
+    """Style sheets with the rule of a vertical body: added to those that lack it, changed in the others."""
+    css = F.concat(F.lit("p{color:"), F.lower("p_type"), F.lit("}"), F.when(F.col("p_partkey") % 2 == 0, F.lit("\nbody.calibre-chinese_text{writing-mode:x;top:1}")).otherwise(F.lit("")))
+    run = per_text(lambda: lambda text: S.with_direction(text, 2), "string", pa.string())
+    return read_table(spark, sf_dir, "part").select("p_partkey", run(css).alias("css"))
+
+
 def font_families(spark, sf_dir):
     """Families that style sheets name, case aside, and the sheets of each."""
     css = F.concat(F.lit("p{font-family: '"), F.col("p_brand"), F.lit("', serif, "), F.upper("p_brand"), F.lit("} h1 {Font-Family:\""), F.substring_index("p_type", " ", 1), F.lit("\"}"))
@@ -171,6 +214,7 @@ QUERIES = {
     for f in (
         language_classes, unsupported_languages, page_previews, lang_attributes, title_sanitize, title_suffixes, time_code_sequence, span_merge, dictionary_rows,
         reverse_dictionary, dictionary_conflicts, dictionary_lengths, only_targets, job_decisions, job_progress, work_units, recognized_text, font_families,
+        epub_round_trip, suggested_styles, comments_cleaned, sheet_rules,
     )
 }
 ORACLE_SQL = {
@@ -222,7 +266,7 @@ n AS (SELECT *, (e * 60)::BIGINT AS took, CASE WHEN d < 5 THEN floor(e * (5 - d)
 SELECT l_orderkey, {_DURATION.format('took')} AS took, {_DURATION.format('remains')} AS remains, 'Part */*' AS stage FROM n""",
     "work_units": """
 WITH p AS (SELECT p_brand, (['t', 'c', 'i', 'f', 'f', 'x'])[p_partkey::INT % 6 + 1] AS m, (['.xhtml', '.css', '.png', '.woff', '.bin', '.ttf', '.txt'])[p_partkey::INT % 7 + 1] AS e FROM part)
-SELECT p_brand, count(*) FILTER (m = 't') AS texts, count(*) FILTER (m = 'c') AS styles, count(*) FILTER (m = 'i') AS images, count(*) FILTER (m = 'f' OR e IN ('.woff', '.ttf')) AS fonts, greatest(1, count(*) FILTER (m = 't') + 1) AS units FROM p GROUP BY 1""",
+SELECT p_brand, count(*) FILTER (m = 't') AS texts, count(*) FILTER (m = 'c') AS styles, count(*) FILTER (m = 'i') AS images, count(*) FILTER (m = 'f' OR e IN ('.woff', '.ttf')) AS fonts, 4 + count(*) FILTER (m = 't') + count(*) FILTER (m = 'i') AS units FROM p GROUP BY 1""",
     "recognized_text": r"""
 WITH d AS (SELECT doc_id, (['丷 ', '·· ', 'Detected text: ', '', '__ '])[doc_id::INT % 5 + 1] || translate(lower(text), 'aeiot', '后面系范卷') || '松' || ([' 46 个 ×', '', ' 7 個 × ', ' and a long tail in plain Latin letters'])[doc_id::INT % 4 + 1] AS t FROM documents),
 a AS (SELECT doc_id, trim(regexp_replace(coalesce(t, ''), '[\s\x0B\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS t FROM d),
@@ -230,6 +274,16 @@ b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '^[^㐀-鿿]*Detected[^㐀
 c AS (SELECT doc_id, regexp_replace(regexp_replace(t, '^[^\p{L}\p{M}\p{N}]+', ''), '^([丷丶丨〡-〥•·●○◆◇■□▲△▼▽★☆※] *)+', '') AS t FROM b),
 e AS (SELECT doc_id, t, trim(regexp_extract(t, '[㐀-鿿]([^㐀-鿿]*)$', 1)) AS tail FROM c)
 SELECT doc_id, CASE WHEN length(tail) >= 24 AND length(regexp_replace(tail, '[^A-Za-z\s.,;:!?''()\-]', '', 'g')) >= 0.85 * length(tail) THEN regexp_replace(t, '[^㐀-鿿]*$', '') ELSE t END AS clean FROM e""",
+    "epub_round_trip": "SELECT 'b' || page_id % 40 AS book, 't/' || page_id || '.xhtml' AS part_name, md5(html) AS digest, octet_length(encode(html))::BIGINT AS bytes FROM pages",
+    "suggested_styles": """
+WITH j AS (SELECT o_orderkey, o_orderkey % 4 AS k, o_custkey % 4 AS s, (o_custkey // 4) % 4 AS t, o_orderkey % 3 AS o, (['zh_tw', 'zh_hk', 'zh_cn', 'en'])[o_orderkey::INT % 4 + 1] AS l FROM orders),
+p AS (SELECT *, (o = 1 AND t = 0 AND (k = 1 OR s IN (1, 2))) OR (o = 2 AND t IN (1, 2) AND (k = 2 OR s = 0)) AS punctuation, CASE WHEN l = 'zh_hk' THEN 1 ELSE 2 END AS own FROM j)
+SELECT o_orderkey, CASE WHEN k = 1 THEN 1 WHEN k = 2 THEN 2 WHEN punctuation THEN CASE WHEN o = 1 THEN 1 ELSE 2 END ELSE 0 END AS quotes, punctuation, l AS language,
+       CASE l WHEN 'zh_tw' THEN 2 WHEN 'en' THEN NULL ELSE 1 END AS orientation, CASE k WHEN 1 THEN own WHEN 2 THEN 0 WHEN 3 THEN own ELSE -1 END AS source,
+       CASE k WHEN 1 THEN 0 WHEN 2 THEN own WHEN 3 THEN 3 - own ELSE -1 END AS target, CASE s WHEN 0 THEN 'zh-Hans' WHEN 3 THEN 'ja-JP' ELSE 'zh-Hant' END AS first FROM p""",
+    "comments_cleaned": "SELECT conv_id, turn, CASE WHEN trim(translate(text, chr(10) || chr(13), '  ')) = '' THEN 'new note' ELSE trim(translate(text, chr(10) || chr(13), '  ')) || chr(10) || '----' || chr(10) || 'new note' END AS comments FROM conversations",
+    "sheet_rules": """SELECT p_partkey, 'p{color:' || lower(p_type) || '}' || chr(10) || 'body.calibre-chinese_text{' || CASE WHEN p_partkey % 2 = 0 THEN 'writing-mode:vertical-rl;top:1;-epub' ELSE 'writing-mode:vertical-rl;-epub' END
+ || '-writing-mode:vertical-rl;-webkit-writing-mode:vertical-rl;line-break:normal;-webkit-line-break:normal}' || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE chr(10) END AS css FROM part""",
     "font_families": """
 WITH p AS (SELECT p_brand AS b, split_part(p_type, ' ', 1) AS t FROM part),
 f AS (SELECT b AS family FROM p UNION ALL SELECT t FROM p WHERE lower(t) <> lower(b)) SELECT lower(family) AS family, min(family) AS shown, count(*) AS sheets FROM f GROUP BY 1""",

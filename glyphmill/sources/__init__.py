@@ -1 +1 @@
-"""Readers of dictionaries, configurations, books and corpora."""
+"""Readers of dictionaries, configurations, word models, corpora and books, and the sink of books."""
