@@ -18,10 +18,9 @@ def convert(text: Column, tables: Tables, locale: str, rules: Mapping[str, str]
     if locale == "zh" or locale not in FALLBACKS:
         return text
     found = wiki.matcher(tables, locale, rules)
-    if all(len(k) == 1 == len(v) for d in (found.table, found.rules) for k, v in d.items()):
-        both = {**found.table, **found.rules}
-        return F.translate(text, "".join(both), "".join(both.values())) if both else text
-    return per_text(lambda: lambda v: "".join(found.pieces(v)), "string", pa.string())(text)
+    if all(len(k) == 1 == len(v) for k, v in found.table.items()):
+        return F.translate(text, "".join(found.table), "".join(found.table.values())) if found.table else text
+    return per_text(lambda: found.run, "string", pa.string())(text)
 
 
 def convert_markup(text: Column, tables: Tables, locale: str, rules: Mapping[str, str] | None = None) -> Column:
@@ -32,7 +31,7 @@ def convert_markup(text: Column, tables: Tables, locale: str, rules: Mapping[str
 def tokens(text: Column, tables: Tables, locale: str, rules: Mapping[str, str] | None = None) -> Column:
     """array<string> of matched keys and single characters; null for null."""
     found = wiki.matcher(tables, locale, rules)
-    return per_text(lambda: lambda v: found.pieces(v, keep=True), "array<string>", pa.list_(pa.string()))(text)
+    return per_text(lambda: found.tokens, "array<string>", pa.list_(pa.string()))(text)
 
 
 def chosen(texts: Column, locale: str) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 #: The locales that each one falls back to, and what its table is made of.
@@ -46,26 +46,39 @@ class Matcher:
     """Forward maximum matching over a table, and over rules that come before it."""
 
     def __init__(self, table: Mapping[str, str], rules: Mapping[str, str] | None = None):
-        rules = rules or {}
-        self.table, self.rules = table, rules
-        self.longest: dict[str, list[int]] = {}
-        for key in (*table, *rules):
-            if key:
-                sizes = self.longest.setdefault(key[0], [])
-                if len(key) not in sizes:
-                    sizes.append(len(key))
-        for sizes in self.longest.values():
-            sizes.sort(reverse=True)
-
-    def pieces(self, text: str, keep: bool = False) -> list[str]:
-        """What each longest match, or single character, becomes; keep: the matches themselves."""
+        self.table = {k: v for k, v in {**table, **(rules or {})}.items() if k}
+        self.singles = {ord(k): v for k, v in self.table.items() if len(k) == 1}
+        self.lengths: dict[str, list[int]] = {}
+        for key in sorted(self.table, key=len, reverse=True):
+            sizes = self.lengths.setdefault(key[0], []) if len(key) > 1 else []
+            if len(key) not in sizes:
+                sizes.append(len(key))
+        self.starts = re.compile(f"[{''.join(map(re.escape, self.lengths))}]") if self.lengths else None
+
+    def places(self, text: str) -> Iterator[tuple[int, int]]:
+        """(start, end) of the keys of several characters that match, from left to right, the longest at each place."""
+        at = 0
+        for hit in self.starts.finditer(text) if self.starts else ():
+            start = hit.start()
+            if start >= at and (n := next((n for n in self.lengths[text[start]] if text[start : start + n] in self.table), 0)):
+                at = start + n
+                yield start, at
+
+    def run(self, text: str) -> str:
+        """The text with every match replaced."""
         out, at = [], 0
-        while at < len(text):
-            piece = next((p for n in self.longest.get(text[at], ()) if len(p := text[at : at + n]) == n and (p in self.rules or p in self.table)), None)
-            own = text[at] if piece is None else piece
-            out.append(own if piece is None or keep else self.rules.get(own, self.table.get(own)))
-            at += len(own)
-        return out
+        for start, end in self.places(text):
+            out += [text[at:start].translate(self.singles), self.table[text[start:end]]]
+            at = end
+        return "".join([*out, text[at:].translate(self.singles)])
+
+    def tokens(self, text: str) -> list[str]:
+        """The matches and the single characters between them."""
+        out, at = [], 0
+        for start, end in self.places(text):
+            out += [*text[at:start], text[start:end]]
+            at = end
+        return [*out, *text[at:]]
 
 
 def matcher(tables: Tables, locale: str, rules: Mapping[str, str] | None = None) -> Matcher:
@@ -76,12 +89,12 @@ def converted(text: str, tables: Tables, locale: str, rules: Mapping[str, str] |
     """Text by a locale's table; rules win over it at equal length; zh and unknown locales leave it as it is."""
     if locale == "zh" or locale not in FALLBACKS:
         return text
-    return "".join(matcher(tables, locale, rules).pieces(text))
+    return matcher(tables, locale, rules).run(text)
 
 
 def tokenized(text: str, tables: Tables, locale: str, rules: Mapping[str, str] | None = None) -> list[str]:
     """The keys that conversion would match, and single characters between them."""
-    return matcher(tables, locale, rules).pieces(text, keep=True)
+    return matcher(tables, locale, rules).tokens(text)
 
 
 Rule = dict[str, str]
