@@ -308,10 +308,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def _keep_clean(lm: list, model: tuple[float, dict[str, float]], column: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple[str, ...]] = {}
+        nothing = score("", lm, model, known)  # what a text without known words gets
         for batch in batches:
             keep = []
             for text in batch.column(column).to_pylist():
-                keep.append(score(text or "", lm, model, known) < ACCEPT)
+                found = score(text or "", lm, model, known)
+                keep.append(found < ACCEPT or found <= nothing)
                 if len(known) > REMEMBERED:
                     known.clear()
             yield batch.filter(pa.array(keep, type=pa.bool_()))
@@ -320,7 +322,11 @@ def _keep_clean(lm: list, model: tuple[float, dict[str, float]], column: int):
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs whose score is under ACCEPT, unchanged, with whatever columns they have."""
+    """The rows of docs whose score is under ACCEPT, unchanged, with whatever columns they have.
+
+    Rows that no known word speaks against stay even where so many labels are toxic that the prior alone is at ACCEPT.
+    Null and empty texts, null ids and repeated rows are kept or go by the same rule; an empty table stays empty.
+    """
     lm, model = fit(docs, labels)
     return docs.mapInArrow(_keep_clean(lm, model, docs.columns.index("text")), docs.schema)
 
