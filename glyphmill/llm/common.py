@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _WRITTEN: list[tuple[object, str]] = []
+#: Ids that a join by doc_id broadcasts at most: 16 MB of longs, some 100 MB as a table in memory. More are shuffled.
+BROADCAST_IDS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,6 +63,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def by_ids(docs: DataFrame, ids: DataFrame, how: str, most: int = BROADCAST_IDS) -> DataFrame:
+    """Rows of docs whose doc_id is among ids (how left_semi) or is not (left_anti); null ids are among none.
+
+    ids, a staged table or little work to count, has the one column doc_id; repeats do no harm. Up to `most` ids are
+    broadcast, so that texts stay where they are; beyond that both sides are shuffled, with the same rows.
+    """
+    return docs.join(F.broadcast(ids) if ids.count() <= most else ids, "doc_id", how)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from glyphmill.llm.common import shuffle_partitions, staged, text_or_empty
+from glyphmill.llm.common import by_ids, shuffle_partitions, staged, text_or_empty
 from glyphmill.llm.components import component_roots
 
 SEED = 42
@@ -219,16 +219,15 @@ def keep_one_per_component(docs: DataFrame, components: Callable[[DataFrame], Da
     a doc_id cannot be named and stay. Only ids are joined to the texts, and only those that go.
     """
     found = staged(components(docs).filter("doc_id IS NOT NULL"), "dedup-decisions")
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = by_ids(docs, found.filter("doc_id <> component_id").select("doc_id"), "left_anti").select(*docs.columns)
     repeated = found.filter("doc_id = component_id").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     if repeated.isEmpty():
         return kept
     rest = F.to_json(F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")], F.lit(0)))
-    packed = kept.join(repeated, "doc_id", "left_semi").select("doc_id", "text", rest.alias("_rest"), F.struct("*").alias("_row"))
+    packed = by_ids(kept, repeated, "left_semi").select("doc_id", "text", rest.alias("_rest"), F.struct("*").alias("_row"))
     order = Window.partitionBy("doc_id").orderBy("text", "_rest")
     again = packed.withColumn("_place", F.row_number().over(order)).filter("_place = 1").select("_row.*")
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(again)
+    return by_ids(kept, repeated, "left_anti").select(*docs.columns).unionByName(again)
 
 
 def op9_simhash_dedup(spark, sf_dir):
