@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from glyphmill.llm.digest import op8_quartile_digest
+from glyphmill.llm.histogram import op13_planned_pack
 from glyphmill.llm.langid import op6_language_crf
+from glyphmill.llm.lloyd import OP12_SQL, op12_lloyd
 from glyphmill.llm.media import op2_webp_lossless
 from glyphmill.llm.mixing import OP4_SQL, op4_mix
+from glyphmill.llm.negatives import OP11_SQL, op11_hard_negatives
 from glyphmill.llm.packing import op10_pack
 from glyphmill.llm.pii import op1_pii_weak_supervision
 from glyphmill.llm.quality import op3_quality_qda
@@ -24,5 +27,8 @@ QUERIES = {
     "op8_quartile_digest": op8_quartile_digest,
     "op9_simhash_dedup": op9_simhash_dedup,
     "op10_pack": op10_pack,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_lloyd": op12_lloyd,
+    "op13_planned_pack": op13_planned_pack,
 }
-ORACLE_SQL: dict[str, str] = {"op4_mix": OP4_SQL, "op7_warc": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_mix": OP4_SQL, "op7_warc": OP7_SQL, "op11_hard_negatives": OP11_SQL, "op12_lloyd": OP12_SQL}

@@ -42,6 +42,10 @@ def odd_tables(odd, tmp_path_factory):
         at = str(tmp_path_factory.mktemp(name))
         docs.write.parquet(f"{at}/documents.parquet")
         docs.sparkSession.createDataFrame([(3, 1, 0), (4, 0, 0), (8, 1, 1), (None, 1, 1), (6, None, None)], "doc_id long, quality int, toxic int").limit(99 if name == "odd" else 0).write.parquet(f"{at}/labels.parquet")
+        long, nan = [0.5] * 64, float("nan")
+        vectors = [(k, [((k * 37 + i * i) % 101 - 50) / 100 for i in range(64)], k % 3) for k in range(1, 240)]
+        vectors += [(100, long, 1), (100, long, 1), (300, None, 2), (400, long, None), (500, [*long[1:], None], 1), (600, [*long[1:], nan], 1), (700, long[1:], 1), (None, long, 1), (800, [], 2), (900, long, 2)]
+        docs.sparkSession.createDataFrame([(*v, "x", "y") for v in vectors if name == "odd"], "vec_id long, embedding array<float>, label int, q string, cluster string").write.parquet(f"{at}/embeddings.parquet")
         docs.select(docs.doc_id.alias("page_id"), docs.source.alias("url"), docs.text.alias("html"), "size").write.parquet(f"{at}/pages.parquet")
         out.append(at)
     return out
