@@ -22,54 +22,68 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphmill.llm.common import BROADCAST_IDS, staged, text_or_empty
+from glyphmill.llm.packing import LETTERS
 
 WINDOW = 2048
 END_ID = b"\0\0\0\0"
 #: Bytes of words and ids that a worker remembers, and the longest word it does.
-REMEMBERED_BYTES, LONGEST = 64 << 20, 64
+REMEMBERED_BYTES, LONGEST = 128 << 20, 64
 _MARKS = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 
 
-class WordTokenizer:
-    """Ids of texts by a tokenizer that drops white space and never joins what stands around it; words are remembered.
-
-    Where such a pre-tokenizer also cuts between a letter and marks behind it, a word and its marks are tokenized apart.
-    """
+class _Words(dict):
+    """Ids of words as bytes; a word that is not there is tokenized. Of what is held, the older half goes when it is full."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.special = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
+        self.older: dict[str, bytes] = {}
         self.held = 0
 
-    def _exact(self, text: str) -> bytes:
+    def exact(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _word(self, word: str) -> bytes:
+    def __missing__(self, word: str) -> bytes:
+        if not word:
+            return b""
         if len(word) > LONGEST or "<" in word and any(s in word for s in self.special):
-            return self._exact(word)
-        bare = word.rstrip(_MARKS)
-        if bare and len(bare) < len(word) and bare[-1].isalpha():
-            found = self._remembered(bare) + self._remembered(word[len(bare) :])
-        else:
-            found = self._exact(word)
-        if self.held > REMEMBERED_BYTES:
-            self.known.clear()
-            self.held = 0
-        self.held += 200 + len(word) * 4 + len(found)
-        self.known[word] = found
+            return self.exact(word)
+        if (found := self.older.get(word)) is None:
+            found = self._new(word)
+        self.held += 200 + 2 * len(word) + len(found)
+        if self.held > REMEMBERED_BYTES // 2:
+            self.older, self.held = dict(self), 0
+            self.clear()
+        self[word] = found
         return found
 
-    def _remembered(self, word: str) -> bytes:
-        found = self.known.get(word)
-        return self._word(word) if found is None else found
+    def _new(self, word: str) -> bytes:
+        if word.isalpha() and max(word) < "\u0250" and "\u0130" not in word:  # one run of letters, composed as they are
+            lower = word.lower()
+            if lower != word:
+                return self[lower]
+            return array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(LETTERS))]).tobytes()
+        bare = word.rstrip(_MARKS)
+        if len(bare) < len(word) and bare[-1:].isalpha():
+            return self[bare] + self[word[len(bare) :]]
+        return self.exact(word)
+
+
+class WordTokenizer:
+    """Ids of texts by a lower-casing byte-level tokenizer that drops white space and never joins what stands around it.
+
+    It must cut between a letter and marks behind it too, so words and their marks are tokenized apart, and remembered.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.known = _Words(Tokenizer.from_file(path))
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of a whole text."""
-        words = text.replace("\n", " ").split(" ")
-        return b"".join([self._remembered(w) for w in words if w])
+        return b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @cache

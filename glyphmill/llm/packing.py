@@ -60,7 +60,7 @@ def _byte_letters() -> str:
     return "".join(chr(b if b in plain else next(late)) for b in range(256))
 
 
-_LETTERS = _byte_letters()
+LETTERS = _byte_letters()
 
 
 _MARKS = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
@@ -93,7 +93,7 @@ class _Known(_Exact):
         elif len(word) < len(chunk) and word[-1:].isalpha() and word[-1] < "\u0250":
             found = self[word] + self[chunk[len(word) :]]
         elif chunk[chunk[0] == " " :].isalpha() and max(chunk) < "\u0250":
-            found = array("I", [t.id for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(_LETTERS))]).tobytes()
+            found = array("I", [t.id for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(LETTERS))]).tobytes()
         else:
             return super().__missing__(chunk)
         self[chunk] = found

@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 from glyphmill.llm.histogram import WordTokenizer, op13_planned_pack, pack_planned, plan
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
+ITSELF, OURS = Tokenizer.from_file(PATH), WordTokenizer(PATH)
 
 
 def fills(slots, histogram, window):
@@ -64,21 +65,20 @@ TEXTS = ["", "Don't stop, it's fine... (really)!", "ÀÉ ﬁ naïve é 文字
 
 @pytest.mark.parametrize("text", TEXTS)
 def test_words_give_the_tokenizers_ids(text):
-    assert WordTokenizer(PATH).encode(text) == array("I", Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids).tobytes()
+    assert OURS.encode(text) == array("I", ITSELF.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 @settings(deadline=None, max_examples=300)
 @given(st.text(st.sampled_from("aB'st ,.<|>endofxé́Σς1\n\t 文"), max_size=40))
 def test_any_text_gives_the_tokenizers_ids(text):
-    assert WordTokenizer(PATH).encode(text) == array("I", Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids).tobytes()
+    assert OURS.encode(text) == array("I", ITSELF.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 def check(rows, texts, window):
     """Every document's ids in whole pieces, every sequence gapless; texts: (doc_id, text)."""
-    tokenizer = Tokenizer.from_file(PATH)
     want, places = Counter(), defaultdict(list)
     for doc_id, text in texts:
-        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        ids = [*ITSELF.encode(text or "", add_special_tokens=False).ids, 0]
         for piece, at in enumerate(range(0, len(ids), window)):
             own = ids[at : at + window]
             want[doc_id, piece, at, len(own), zlib.crc32(array("I", own).tobytes())] += 1
