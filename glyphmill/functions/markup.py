@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from bisect import bisect_left, bisect_right
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from html import escape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -29,27 +32,99 @@ ANNOTATION_RULES = {
 }
 FONT_STYLE_ID = "ctc-cjk-font-style"
 
-_ATTRIBUTES = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
-#: One alternative for every kind of token, in the order in which they are tried; together they match any text.
-TOKEN = re.compile(
-    rf"""(?s)<!--(?P<comment>.*?)--!?>|<!(?P<declaration>[^>]*)>|<\?(?P<instruction>[^>]*)>
-    |</(?P<end>[A-Za-z][^\s/>]*)[^>]*>|<(?P<start>[A-Za-z][^\s/>]*){_ATTRIBUTES}>
-    |&(?P<entity>\#[0-9]+|\#[xX][0-9A-Fa-f]+|[A-Za-z][-.A-Za-z0-9]*);?|(?P<text>[^<&]+|[<&])""",
+#: The beginning of every kind of token; together the alternatives begin any text.
+_OPEN = re.compile(
+    r"""(?P<text>[^<&]+)|&(?P<entity>\#[0-9]+|\#[xX][0-9A-Fa-f]+|[A-Za-z][-.A-Za-z0-9]*);?
+    |<(?:(?P<comment>!--)|(?P<declaration>!)|(?P<instruction>\?)|/(?P<end>[A-Za-z])|(?P<start>[A-Za-z]))|(?P<stray>[<&])""",
     re.VERBOSE,
 )
+_START = re.compile(r"""<([A-Za-z][^\s/>]*+)(?:[^>"']|"[^"]*"|'[^']*')*+>""")
+_COMMENT_END, _NAME_END, _SPECIAL = re.compile("--!?>"), re.compile(r"[\s/>]|\Z"), re.compile("""[>"']""")
 _OPAQUE = {tag: re.compile(rf"(?i)</{tag}(?=[\s/>])|\Z") for tag in ("style", "script")}
 _FOREIGN = re.compile("(?i)lang=\"(?:" + "|".join(NOT_CHINESE) + ")")
 _CHINESE = re.compile(r'(?i)lang="zh(?:-[-\w+]+)?"')
 _CLASS = re.compile(r"""(class=)(["'])(.*?)\2""")
 
 
+class _Ahead:
+    """What closes tags and comments further on in a text, found once: places are asked for from left to right."""
+
+    def __init__(self, html: str):
+        self.html, self.comments, self.last = html, True, html.rfind(">")
+        self.name = (0, 0)
+        self.special: list[int] | None = None
+        self.quotes: dict[str, list[int]] = {}
+        self.hopeless: set[int] = set()
+
+    def comment(self, at: int) -> re.Match[str] | None:
+        found = _COMMENT_END.search(self.html, at) if self.comments else None
+        self.comments = found is not None
+        return found
+
+    def name_end(self, at: int) -> int:
+        """End of a tag's name; names that begin within another have its end."""
+        start, end = self.name
+        if not start <= at < end:
+            self.name = at, end = at, _NAME_END.search(self.html, at).start()
+        return end
+
+    def start_end(self, at: int) -> int:
+        """End of the start tag at a place, outside of quotes; 0 without one."""
+        if at > self.last:
+            return 0
+        if self.special is None:
+            if found := _START.match(self.html, at):
+                return found.end()
+            self.special = [m.start() for m in _SPECIAL.finditer(self.html, at)]  # a tag has no end: look more closely from now on
+            for i in self.special:
+                self.quotes.setdefault(self.html[i], []).append(i)
+        seen, place = [], self.name_end(at + 1)
+        while True:
+            k = bisect_left(self.special, place)
+            if k in self.hopeless or k == len(self.special):
+                break
+            seen.append(k)
+            if self.html[self.special[k]] == ">":
+                return self.special[k] + 1
+            same = self.quotes[self.html[self.special[k]]]
+            close = bisect_right(same, self.special[k])
+            if close == len(same):
+                break
+            place = same[close] + 1
+        self.hopeless.update(seen)
+        return 0
+
+
 def tokens(html: str) -> Iterator[tuple[str, str, str]]:
-    """(kind, name, raw) of a document, in order; raw joined is the document. Style and script hold one opaque token."""
-    at = 0
-    while at < len(html):
-        found = TOKEN.match(html, at)
-        kind, raw, at = found.lastgroup, found[0], found.end()
-        name = found[kind].lower() if kind in ("start", "end") else found[kind]
+    """(kind, name, raw) of a document, in order; raw joined is the document. Style and script hold one opaque token.
+
+    Text takes time in proportion to its length, also where tags, comments or quotes never end: their openings are text.
+    """
+    at, size, ahead = 0, len(html), _Ahead(html)
+    while at < size:
+        found = _OPEN.match(html, at)
+        kind, begun = found.lastgroup, found.end()
+        if kind == "text" or kind == "entity":
+            yield kind, found[kind], found[0]
+            at = begun
+            continue
+        end = 0
+        if kind == "comment":
+            if close := ahead.comment(begun):
+                name, end = html[begun : close.start()], close.end()
+            else:
+                kind, begun = "declaration", at + 2
+        if kind == "start":
+            if end := ahead.start_end(at):
+                name = html[at + 1 : ahead.name_end(at + 1)].lower()
+        elif kind not in ("comment", "stray") and begun <= ahead.last:
+            end = html.index(">", begun) + 1
+            name = html[at + 2 : ahead.name_end(at + 2)].lower() if kind == "end" else html[begun : end - 1]
+        if not end:
+            yield "text", html[at], html[at]
+            at += 1
+            continue
+        raw, at = html[at:end], end
         yield ("empty" if kind == "start" and raw.endswith("/>") else kind), name, raw
         if kind == "start" and name in _OPAQUE and not raw.endswith("/>"):
             end = _OPAQUE[name].search(html, at).start()
@@ -62,14 +137,13 @@ def tokens(html: str) -> Iterator[tuple[str, str, str]]:
 
 
 def _valid(original: str, converted: str, spans: list[tuple] | None) -> list[tuple[str, str]] | None:
-    """(source, target) of spans that cover the original without gaps and give the converted text; else None."""
-    at, pairs = 0, []
-    for start, end, source, target, *_ in spans or ():
-        if start != at or end < start or original[start:end] != source:
-            return None
-        pairs.append((source, target))
-        at = end
-    return pairs if pairs and at == len(original) and "".join(t for _, t in pairs) == converted else None
+    """(source, target) of spans, if end to end they give the original and the converted text; else None."""
+    if not spans:
+        return None
+    starts, ends, sources, targets = list(zip(*spans))[:4]
+    bounds = list(accumulate(map(len, sources), initial=0))
+    fits = [*starts] == bounds[:-1] and [*ends] == bounds[1:] and "".join(sources) == original and "".join(targets) == converted
+    return list(zip(sources, targets)) if fits else None
 
 
 def _annotated(source: str, target: str) -> str:
@@ -98,35 +172,123 @@ def annotate(original: str, converted: str, spans: list[tuple] | None = None, mo
     return "".join(out)
 
 
-def _element(tag: str, name: str, inner: str) -> str:
-    """A pattern of an element with a class among others, and of what is inside."""
-    return rf"""<{tag}\b(?=[^>]*\bclass\s*=\s*["'](?:[^"']*\s)?{name}["'\s])[^>]*>{inner}</{tag}>"""
+_CLASSES = re.compile(r"""(?i)\bclass\s*=\s*(?:"([^"]*)"|'([^']*)')""")
+_IDS = re.compile(r"""(?i)\bid\s*=\s*(?:"([^"]*)"|'([^']*)')""")
 
 
-_ANNOTATIONS = tuple(
-    re.compile(rf"(?is){pattern}")
-    for pattern in (
-        _element("ruby", "ctc-bi", _element("rb", "ctc-bi-main", ".*?") + _element("rt", "ctc-bi-rt", "(.*?)") + r"\s*"),
-        _element("span", "ctc-bi-pair", _element("span", "ctc-bi-main", ".*?") + r"\s*" + _element("span", "ctc-bi-rt", "(.*?)") + r"\s*"),
-        _element("span", "ctc-bi", r"(?:<span\b[^>]*\bctc-bi-main\b[^>]*>)?[^<]*(?:</span>)?" + _element("span", "ctc-bi-rt", "(.*?)") + r"\s*"),
-    )
-)
+def _values(pattern: re.Pattern[str], raw: str) -> list[str]:
+    found = pattern.search(raw)
+    return (found[1] or found[2] or "").split() if found else []
+
+
+def without_styles(found: Iterable[tuple[str, str, str]], ids: tuple[str, ...]) -> Iterator[tuple[str, str, str]]:
+    """Tokens without style elements of the given ids and the white space that follows them."""
+    inside = after = False
+    for kind, name, raw in found:
+        if not inside and kind == "start" and name == "style" and any(i in ids for i in _values(_IDS, raw)):
+            inside = True
+        elif inside:
+            inside = not (kind == "end" and name == "style")
+            after = True
+        else:
+            if after and kind == "text":
+                raw = raw.lstrip()
+            after = after and kind == "text" and not raw
+            if raw:
+                yield kind, name, raw
 
 
-def style_block(style_id: str) -> re.Pattern[str]:
-    return re.compile(rf"""(?is)<style\b[^>]*\bid\s*=\s*["']{re.escape(style_id)}["'][^>]*>.*?</style>\s*""")
+#: Pieces of text in order, nested.
+Pieces = list
+
+
+@dataclass
+class _Open:
+    """An element that is open: its tag, what it is of an annotation, its start tag, and its content so far.
+
+    Content is (role, all of it, what it holds inside of its tags).
+    """
+
+    tag: str
+    role: str
+    raw: str
+    content: list[tuple[str, Pieces, Pieces]]
+
+
+_ROLES = {
+    ("ruby", "ctc-bi"): "ruby", ("span", "ctc-bi-pair"): "pair", ("span", "ctc-bi"): "pair", ("rb", "ctc-bi-main"): "main",
+    ("span", "ctc-bi-main"): "main", ("rt", "ctc-bi-rt"): "below", ("span", "ctc-bi-rt"): "below",
+}
+_TRACKED = frozenset(tag for tag, _ in _ROLES)
+
+
+def _original(element: _Open) -> Pieces | None:
+    """The original text of an annotation: main text, then the original, and nothing else; None for other elements."""
+    if element.role not in ("ruby", "pair"):
+        return None
+    said = [part for part in element.content if part[0] != "text" or not all(isinstance(p, str) and p.isspace() for p in part[1])]
+    roles = [part[0] for part in said]
+    plain = element.role == "pair" and roles == ["text", "below"] and not any(isinstance(p, str) and p.startswith("<") for p in said[0][1])
+    return said[-1][2] if plain or roles == ["main", "below"] else None
+
+
+def _flat(pieces: Pieces) -> str:
+    out, waiting = [], [iter(pieces)]
+    while waiting:
+        for piece in waiting[-1]:
+            if isinstance(piece, list):
+                waiting.append(iter(piece))
+                break
+            out.append(piece)
+        else:
+            waiting.pop()
+    return "".join(out)
 
 
 def without_annotations(html: str) -> str:
-    """Markup of an earlier annotated conversion taken out until nothing changes; the original text stays."""
+    """Markup of earlier annotated conversions taken out, of all layers; the original text stays.
+
+    One pass with a stack of open elements. An annotation is an element of its class that holds main text and original
+    text in elements of theirs, and white space; everything else stays as it is, also what is not closed.
+    """
     if "ctc-bi" not in html:
         return html
-    html, before = style_block(ANNOTATION_STYLE_ID).sub("", html), None
-    while before != html:
-        before = html
-        for pattern in _ANNOTATIONS:
-            html = pattern.sub(r"\1", html)
-    return html
+    stack, opened = [_Open("", "", "", [])], Counter()
+
+    def text(piece: str | Pieces) -> None:
+        content = stack[-1].content
+        if content and content[-1][0] == "text":
+            content[-1][1].append(piece)
+        else:
+            content.append(("text", [piece], []))
+
+    def leave(end: str | None) -> None:
+        """Takes the top element off, closed by a tag or not at all."""
+        element = stack.pop()
+        opened[element.tag] -= 1
+        inner = [whole for _, whole, _ in element.content]
+        original = None if end is None else _original(element)
+        if original is not None:
+            text(original)
+        elif end is not None and element.role in ("main", "below"):
+            stack[-1].content.append((element.role, [element.raw, inner, end], inner))
+        else:
+            text([element.raw, inner, end or ""])
+
+    for kind, name, raw in without_styles(tokens(html), (ANNOTATION_STYLE_ID,)):
+        if kind == "start" and name in _TRACKED:
+            roles = (_ROLES.get((name, c)) for c in sorted(_values(_CLASSES, raw), key=len, reverse=True)) if "ctc-bi" in raw else ()
+            stack.append(_Open(name, next(filter(None, roles), ""), raw, []))
+            opened[name] += 1
+        elif kind == "end" and opened[name]:
+            while stack[-1].tag != name:
+                leave(None)
+            leave(raw)
+        else:
+            text(raw)
+    while len(stack) > 1:
+        leave(None)
+    return _flat([whole for _, whole, _ in stack[0].content])
 
 
 # ---- conversion of a part --------------------------------------------------------------------------------
@@ -204,11 +366,8 @@ def rewriter(m: Markup) -> Callable[[str], str]:
         return _CHINESE.sub(f'lang="{m.language}"', raw)
 
     def run(html: str) -> str:
-        html = without_annotations(html)
-        if FONT_STYLE_ID in html:
-            html = style_block(FONT_STYLE_ID).sub("", html)
         active, waiting, out = m.source != "selection", "".join(styles), []
-        for kind, name, raw in tokens(html):
+        for kind, name, raw in without_styles(tokens(without_annotations(html)), (FONT_STYLE_ID,)):
             if kind == "text":
                 out.append(text_node(raw, active))
             elif kind == "entity":

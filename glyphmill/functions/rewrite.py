@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -398,12 +400,131 @@ def convert_array(values: Column, p: Program) -> Column:
     return _arrow_udf("array<string>", p, lambda runner, xs: [None if x is None else runner.text(x) for x in xs])(values)
 
 
+# ---- alignment of a text with its conversion -------------------------------------------------------------
+
+#: Longest strings that are compared character by character with all others, and gaps between anchors that are.
+SHORT, GAP = 256, 64
+#: Sum of the products of lengths that one alignment compares so; beyond it gaps are compared place by place.
+COMPARED = 10_000_000
+#: Lengths of the anchors, pieces that occur once on both sides, in the order in which they are sought.
+ANCHORS = (8, 3, 1)
+
+Block = tuple[int, int, int]
+
+
+def _anchored(a: np.ndarray, b: np.ndarray, width: int) -> list[Block]:
+    """Runs (start in a, start in b, length) of pieces of `width` that occur once in each and keep their order."""
+    if min(len(a), len(b)) < width:
+        return []
+    once = []
+    for codes in (a, b):
+        whole = np.zeros(len(codes) - width + 1, dtype=np.uint64)
+        for i in range(width):
+            whole = whole * np.uint64(0x9E3779B97F4A7C15) + codes[i : len(codes) - width + 1 + i]
+        values, places, times = np.unique(whole, return_index=True, return_counts=True)
+        once.append((values[times == 1], places[times == 1]))
+    _, left, right = np.intersect1d(once[0][0], once[1][0], assume_unique=True, return_indices=True)
+    i, j = once[0][1][left], once[1][1][right]
+    same = np.ones(len(i), dtype=bool)
+    for k in range(width):  # hashes may agree by chance
+        same &= a[i + k] == b[j + k]
+    order = np.argsort(i[same])
+    i, j = i[same][order], j[same][order]
+    if len(j) and not (np.diff(j) > 0).all():
+        keep = _rising(j.tolist())
+        i, j = i[keep], j[keep]
+    if not len(i):
+        return []
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(j - i) != 0) | (np.diff(i) > width)]))
+    last = np.append(first[1:], len(i)) - 1
+    out, end_a, end_b = [], 0, 0
+    for x, y, n in zip(i[first].tolist(), j[first].tolist(), (i[last] - i[first] + width).tolist()):
+        if (cut := max(end_a - x, end_b - y, 0)) < n:
+            out.append((x + cut, y + cut, n - cut))
+            end_a, end_b = x + n, y + n
+    return out
+
+
+def _rising(values: list[int]) -> list[int]:
+    """Places of a longest rising run of values, not all of them neighbours."""
+    tails: list[int] = []
+    at: list[int] = []
+    before = []
+    for k, v in enumerate(values):
+        n = bisect_left(tails, v)
+        before.append(at[n - 1] if n else -1)
+        tails[n : n + 1], at[n : n + 1] = [v], [k]
+    out, k = [], at[-1] if at else -1
+    while k >= 0:
+        out.append(k)
+        k = before[k]
+    return out[::-1]
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> list[Block]:
+    """Runs of equal characters at equal places."""
+    n = min(len(a), len(b))
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], a[:n] == b[:n], [False]]).astype(np.int8)))
+    return [(x, x, y - x) for x, y in edges.reshape(-1, 2).tolist()]
+
+
+def _blocks(original: str, converted: str) -> list[Block]:
+    """Equal blocks of two strings, in order: (start in original, start in converted, length).
+
+    Short strings are compared as difflib does. In longer ones pieces that occur once on both sides are anchors, sought in
+    falling lengths; gaps between them are compared like short strings while COMPARED lasts, else place by place. So
+    memory is in proportion to the lengths, and time too but for sorting.
+    """
+    left = COMPARED
+    out: list[Block] = []
+    waiting = [(0, len(original), 0, len(converted), 0)]
+    a, b = (_codes(original), _codes(converted)) if max(len(original), len(converted)) > SHORT else (None, None)
+    while waiting:
+        i, i_end, j, j_end, level = waiting.pop()
+        n, m = i_end - i, j_end - j
+        if level < 0:  # a block that is known
+            out.append((i, j, n))
+        elif not (n and m):
+            continue
+        elif max(n, m) <= (GAP if level else SHORT) and (cost := n * m) <= left:
+            left -= cost
+            matcher = SequenceMatcher(None, original[i:i_end], converted[j:j_end], autojunk=False)
+            out += [(i + x, j + y, k) for x, y, k in matcher.get_matching_blocks() if k]
+        elif level == len(ANCHORS):
+            out += [(i + x, j + y, k) for x, y, k in _alike(a[i:i_end], b[j:j_end])]
+        else:
+            parts, x, y = [], i, j
+            for p, q, k in _anchored(a[i:i_end], b[j:j_end], ANCHORS[level]):
+                parts += [(x, i + p, y, j + q, level + 1), (i + p, i + p + k, j + q, j + q + k, -1)]
+                x, y = i + p + k, j + q + k
+            waiting += reversed([*parts, (x, i_end, y, j_end, level + 1)])
+    return out
+
+
 def aligned(original: str, converted: str) -> list[tuple[str, str]]:
     """(source, target) pieces of two strings; what is put in joins the piece before it."""
     pieces: list[tuple[str, str]] = []
-    for tag, a, b, c, d in SequenceMatcher(None, original, converted, autojunk=False).get_opcodes():
-        if tag == "insert" and pieces:
-            pieces[-1] = (pieces[-1][0], pieces[-1][1] + converted[c:d])
+
+    def put(source: str, target: str) -> None:
+        if not source and target and pieces:
+            pieces[-1] = (pieces[-1][0], pieces[-1][1] + target)
+        elif source or target:
+            pieces.append((source, target))
+
+    whole: list[Block] = []
+    for i, j, n in _blocks(original, converted):
+        x, y, k = whole[-1] if whole else (0, 0, 0)
+        if whole and (x + k, y + k) == (i, j):
+            whole[-1] = (x, y, k + n)
         else:
-            pieces.append((original[a:b], converted[c:d]))
+            whole.append((i, j, n))
+    x = y = 0
+    for i, j, n in [*whole, (len(original), len(converted), 0)]:
+        put(original[x:i], converted[y:j])
+        put(original[i : i + n], original[i : i + n])
+        x, y = i + n, j + n
     return pieces

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glyphmill.functions.markup import SELECTION_END, SELECTION_START, Markup, convert_markup, strip_annotations
+from glyphmill.functions.markup import ANNOTATION_RULES, ANNOTATION_STYLE_ID, BODY_CLASS, SELECTION_END, SELECTION_START, Markup, convert_markup, strip_annotations
 from glyphmill.operators import markup as M
 from glyphmill.plans.program import Dictionary, Program
 from glyphmill.queries.samples import LATIN, TRADITIONAL
@@ -54,12 +54,13 @@ def markup_selected_convert(spark, sf_dir):
 
 
 def markup_annotated(spark, sf_dir):
-    """Pages annotated with their original text, and freed from that again: what comes back is the page."""
+    """Digests of pages annotated with their original text, of what is left without that, and of the pages as they were."""
     annotated = _pages(spark, sf_dir).select("page_id", "html", convert_markup(F.col("html"), Markup(LETTERS, annotation="full")).alias("a"))
     plain = convert_markup(F.col("html"), Markup())
-    found = annotated.select("page_id", F.contains("a", F.lit("ctc-bi-rt")).alias("annotated"), strip_annotations(F.col("a")).alias("back"), plain.alias("plain"))
+    found = annotated.select("page_id", "a", strip_annotations(F.col("a")).alias("back"), plain.alias("plain"))
     bare = lambda c: F.regexp_replace(c, f' class="{"calibre-chinese_text"}"', "")
-    return found.select("page_id", "annotated", F.md5(bare(F.col("back")).cast("binary")).alias("back"), F.md5(F.col("plain").cast("binary")).alias("plain"))
+    digest = lambda c: F.md5(c.cast("binary"))
+    return found.select("page_id", digest(F.col("a")).alias("annotated"), digest(bare(F.col("back"))).alias("back"), digest(F.col("plain")).alias("plain"))
 
 
 QUERIES = {f.__name__: f for f in (markup_convert, markup_tokens, markup_selection, markup_selected_convert, markup_annotated)}
@@ -73,6 +74,10 @@ _LIST = lambda html: f"SELECT page_id, unnest(regexp_extract_all(h, '{_SPLIT}'))
 _MARKED = f"""replace(replace({_HTML}, '<p>', '<p><!--{SELECTION_START}-->'), '</p>', '<!-- {SELECTION_END} --></p>')"""
 _FLAGGED = f"""t AS ({_LIST(_MARKED)}),
 f AS (SELECT page_id, i, t, coalesce(last_value(CASE WHEN t = '<!--{SELECTION_START}-->' THEN TRUE WHEN t = '<!-- {SELECTION_END} -->' THEN FALSE END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY i ROWS UNBOUNDED PRECEDING), FALSE) AS inside FROM t)"""
+_ESCAPED = lambda x: f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_STYLE = f'<style type="text/css" id="{ANNOTATION_STYLE_ID}">' + "".join(f"{k}{{{v}}}" for k, v in ANNOTATION_RULES.items()) + "</style>"
+_CHANGED = f"translate(r, '{LATIN}', '{TRADITIONAL[: len(LATIN)]}')"
+_RUBY = f"""'<ruby class="ctc-bi"><rb class="ctc-bi-main">' || {_ESCAPED(_CHANGED)} || '</rb><rt class="ctc-bi-rt">' || {_ESCAPED('r')} || '</rt></ruby>'"""
 _ENTITY = "WHEN t LIKE '&%' AND t <> '&' THEN rtrim(t, ';') || ';'"
 ORACLE_SQL = {
     "markup_convert": f"WITH t AS ({_LIST(_HTML)}) SELECT page_id, string_agg({_DONE}, '' ORDER BY i) AS html FROM t GROUP BY page_id",
@@ -83,5 +88,9 @@ SELECT page_id, sum((regexp_matches(t, '^<[A-Za-z]'))::INT)::BIGINT AS starts, s
        sum(CASE WHEN t = '&' OR NOT regexp_matches(t, '^[<&]') THEN length(t) ELSE 0 END)::BIGINT AS text_chars FROM k GROUP BY page_id""",
     "markup_selection": rf"WITH {_FLAGGED} SELECT page_id, sum(inside::INT)::BIGINT AS inside, sum((NOT inside)::INT)::BIGINT AS outside FROM f WHERE (t = '&' OR NOT regexp_matches(t, '^[<&]')) AND NOT regexp_matches(t, '^\s+$') GROUP BY page_id",
     "markup_selected_convert": f"WITH {_FLAGGED}, j AS (SELECT page_id, string_agg(CASE WHEN t LIKE '<%' THEN t {_ENTITY} WHEN inside THEN translate(t, '{LATIN}', '{TRADITIONAL[: len(LATIN)]}') ELSE t END, '' ORDER BY i) AS h FROM f GROUP BY page_id) SELECT page_id, md5(h) AS digest, length(h) AS chars FROM j",
-    "markup_annotated": f"WITH t AS ({_LIST(_HTML)}), j AS (SELECT page_id, string_agg(CASE {_ENTITY} ELSE t END, '' ORDER BY i) AS h FROM t GROUP BY page_id) SELECT page_id, regexp_matches(h, '>[^<]*[a-y]') AS annotated, md5(h) AS back, md5(h) AS plain FROM j",
+    "markup_annotated": rf"""WITH t AS ({_LIST(_HTML)}),
+j AS (SELECT page_id, string_agg(CASE {_ENTITY} ELSE t END, '' ORDER BY i) AS h, string_agg(CASE {_ENTITY} WHEN t LIKE '</head>' THEN '{_STYLE}</head>' WHEN t LIKE '<body>' THEN '<body class="{BODY_CLASS}">'
+    WHEN t LIKE '<%' OR t = '&' OR NOT regexp_matches(t, '[a-y]') THEN t
+    ELSE array_to_string(list_transform(regexp_extract_all(t, '[a-y]+|[^a-y]+'), lambda r: {_RUBY}), '') END, '' ORDER BY i) AS a FROM t GROUP BY page_id)
+SELECT page_id, md5(a) AS annotated, md5(h) AS back, md5(h) AS plain FROM j""",
 }
