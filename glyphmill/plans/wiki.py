@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator, Mapping
+from collections import ChainMap
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 
 #: The locales that each one falls back to, and what its table is made of.
@@ -34,6 +35,7 @@ class Tables:
 
     tables: Mapping[str, Mapping[str, str]]
     _known: dict[str, dict[str, str]] = field(default_factory=dict, compare=False, repr=False)
+    _ready: dict[str, Matcher] = field(default_factory=dict, compare=False, repr=False)
 
     def of(self, locale: str) -> dict[str, str]:
         """A locale's table: that of its script, overlaid by that of its region; empty for other locales."""
@@ -41,20 +43,35 @@ class Tables:
             self._known[locale] = {k: v for name in TABLES.get(locale, ()) for k, v in self.tables.get(name, {}).items()}
         return self._known[locale]
 
+    def matcher(self, locale: str) -> Matcher:
+        if locale not in self._ready:
+            self._ready[locale] = Matcher(self.of(locale))
+        return self._ready[locale]
+
 
 class Matcher:
-    """Forward maximum matching over a table, and over rules that come before it."""
+    """Forward maximum matching over a table, and over rules that come before it; the table is made ready once."""
 
-    def __init__(self, table: Mapping[str, str], rules: Mapping[str, str] | None = None):
-        self.table = {k: v for k, v in {**table, **(rules or {})}.items() if k}
+    def __init__(self, table: Mapping[str, str]):
+        self.table = {k: v for k, v in table.items() if k}
         self.singles = {ord(k): v for k, v in self.table.items() if len(k) == 1}
-        self.lengths: dict[str, list[int]] = {}
-        for key in sorted(self.table, key=len, reverse=True):
-            sizes = self.lengths.setdefault(key[0], []) if len(key) > 1 else []
-            if len(key) not in sizes:
-                sizes.append(len(key))
+        self.lengths = _lengths(self.table)
         self.starts = re.compile(f"[{''.join(map(re.escape, self.lengths))}]") if self.lengths else None
 
+    def ruled(self, rules: Mapping[str, str] | None) -> Matcher:
+        """The same with rules first; costs what the rules and the table's first characters cost, not the table."""
+        if not rules or not any(rules):
+            return self
+        out = Matcher.__new__(Matcher)
+        own = {k: v for k, v in rules.items() if k}
+        out.table = ChainMap(own, self.table)
+        out.singles = self.singles | {ord(k): v for k, v in own.items() if len(k) == 1}
+        out.lengths = dict(self.lengths)
+        for start, sizes in _lengths(own).items():
+            out.lengths[start] = sorted({*sizes, *out.lengths.get(start, ())}, reverse=True)
+        out.starts = re.compile(f"[{''.join(map(re.escape, out.lengths))}]") if out.lengths else None
+        return out
+
     def places(self, text: str) -> Iterator[tuple[int, int]]:
         """(start, end) of the keys of several characters that match, from left to right, the longest at each place."""
         at = 0
@@ -81,8 +98,17 @@ class Matcher:
         return [*out, *text[at:]]
 
 
+def _lengths(keys: Iterable[str]) -> dict[str, list[int]]:
+    """Lengths of the keys of several characters by their first, the longest first."""
+    found: dict[str, set[int]] = {}
+    for key in keys:
+        if len(key) > 1:
+            found.setdefault(key[0], set()).add(len(key))
+    return {start: sorted(sizes, reverse=True) for start, sizes in found.items()}
+
+
 def matcher(tables: Tables, locale: str, rules: Mapping[str, str] | None = None) -> Matcher:
-    return Matcher(tables.of(locale), rules)
+    return tables.matcher(locale).ruled(rules)
 
 
 def converted(text: str, tables: Tables, locale: str, rules: Mapping[str, str] | None = None) -> str:
@@ -101,109 +127,223 @@ Rule = dict[str, str]
 
 
 def choice(rule: Mapping[str, str], tables: Tables, locale: str) -> str:
-    """A rule's text in a locale: the first that it falls back to, else any of them, converted."""
-    for name in FALLBACKS[locale]:
+    """A rule's text in a locale: the first that it falls back to, else any of them, converted; empty without any."""
+    for name in FALLBACKS.get(locale, ()):
         if name in rule:
             return rule[name]
-    return converted(next(iter(rule.values())), tables, locale)
+    return converted(next(iter(rule.values()), ""), tables, locale)
 
 
-def rule_table(rules: list[Rule], tables: Tables, locale: str, given: Mapping[str, str] | None = None) -> dict[str, str]:
-    """Conversions that rules ask for in a locale, over given ones.
+def _asked(rule: Rule, tables: Tables, locale: str) -> dict[str, str]:
+    """Conversions that one rule asks for in a locale.
 
     One-way rules count only where they name the locale; in the plain scripts so do all; else a rule's texts become that
     of the first locale fallen back to.
     """
+    if ONE_WAY in rule:
+        return {rule[ONE_WAY]: rule[locale]} if locale in rule else {}
+    if locale not in ("zh-hans", "zh-hant"):
+        return dict.fromkeys(rule.values(), choice(rule, tables, locale))
+    return dict.fromkeys(rule.values(), rule[locale]) if locale in rule else {}
+
+
+def rule_table(rules: Iterable[Rule], tables: Tables, locale: str, given: Mapping[str, str] | None = None) -> dict[str, str]:
+    """Conversions that rules ask for in a locale, over given ones; later rules win."""
     out = dict(given or {})
     for rule in rules:
-        if ONE_WAY in rule:
-            if locale in rule:
-                out[rule[ONE_WAY]] = rule[locale]
-        elif locale not in ("zh-hans", "zh-hant"):
-            out |= dict.fromkeys(rule.values(), choice(rule, tables, locale))
-        elif locale in rule:
-            out |= dict.fromkeys(rule.values(), rule[locale])
+        out |= _asked(rule, tables, locale)
     return out
 
 
-def _limited(rules: list[Rule], tables: Tables, locale: str, flags: set[str], given: Mapping[str, str]) -> dict[str, str]:
+def _limited(rules: Iterable[Rule], tables: Tables, locale: str, flags: set[str], given: Mapping[str, str]) -> dict[str, str]:
     """Conversions for a passage that names its locales: only texts of those that the locale falls back to."""
     out = dict(given)
     for rule in rules:
         if ONE_WAY in rule:
             out |= {rule[ONE_WAY]: rule[locale]} if locale in rule else {}
             continue
-        wanted = next((rule[name] for name in FALLBACKS[locale] if name in rule and name in flags), None)
+        wanted = next((rule[name] for name in FALLBACKS.get(locale, ()) if name in rule and name in flags), None)
         out |= {word: wanted or converted(word, tables, locale) for word in rule.values()}
     return out
 
 
-def _parsed(body: str, inner: Callable[[str, str], str]) -> tuple[set[str] | None, list[Rule], str]:
-    """(flags, rules, text) of what stands between the brackets; inner converts a rule's text for its locale."""
-    parts = re.split(r"\s*\|\s*", body.strip(_BLANKS))
-    flags = None if len(parts) == 1 else set(re.split(r"\s*;\s*", parts[0].strip(_BLANKS)))
-    text = parts[0] if flags is None else parts[1]
-    rules: list[Rule] = []
-    rule: Rule = {}
-    for item in re.split(r"\s*;\s*", text):
-        origin, arrow, rest = (x.strip() for x in item.partition("=>"))
-        if arrow:
-            if rule:
-                rules.append(rule)
-                rule = {}
-            rule[ONE_WAY] = origin
-        pair = re.split(r"\s*:\s*", rest if arrow else item)
-        locale, value = ("zh", pair[0]) if len(pair) == 1 else pair[:2]
-        rule[locale] = inner(value, locale)
-    return flags, [*rules, rule], text
+# ---- inline rules: a tree of brackets, evaluated with an explicit stack -----------------------------------
+
+#: Passages within passages that are read; what nests deeper is text. Each level may convert its text once more.
+DEEPEST = 500
+
+
+@dataclass(eq=False)
+class Passage:
+    """What stands between two brackets: strings and inner passages, and where it starts and ends in the whole text."""
+
+    start: int
+    parts: list[str | Passage] = field(default_factory=list)
+    end: int = 0
+
+
+def passages(text: str) -> tuple[list[str | Passage], str, bool]:
+    """(strings and passages of a text, the text with closing brackets added, whether the last passage lacked its own).
+
+    Closing brackets without an opening one are text, and so is everything within DEEPEST passages.
+    """
+    top: list[str | Passage] = []
+    open_: list[Passage] = []
+    at = 0
+    pieces = _BRACKETS.split(text)
+    depth = deeper = 0
+    for piece in pieces:
+        depth += 1 if piece == "-{" else -1 if piece == "}-" and depth else 0
+    for piece in [*pieces, *["}-"] * depth]:
+        into = open_[-1].parts if open_ else top
+        if piece == "-{" and len(open_) < DEEPEST:
+            open_.append(Passage(at + 2))
+            into.append(open_[-1])
+        elif piece == "}-" and open_ and not deeper:
+            open_.pop().end = at
+        elif piece:
+            deeper += 1 if piece == "-{" else -1 if piece == "}-" and deeper else 0
+            into.append(piece)
+        at += len(piece)
+    return top, text + "}-" * depth, depth > 0
+
+
+Parts = list  # strings and passages with the place where each starts: (place, part)
+
+
+def _placed(start: int, parts: list[str | Passage]) -> Parts:
+    out = []
+    for part in parts:
+        out.append((start, part))
+        start = part.end + 2 if isinstance(part, Passage) else start + len(part)
+    return out
+
+
+def _trimmed(parts: Parts, blanks: str | None) -> Parts:
+    """Without blanks at both ends."""
+    parts = list(parts)
+    if parts and isinstance(parts[0][1], str):
+        kept = parts[0][1].lstrip(blanks)
+        parts[0] = (parts[0][0] + len(parts[0][1]) - len(kept), kept)
+    if parts and isinstance(parts[-1][1], str):
+        parts[-1] = (parts[-1][0], parts[-1][1].rstrip(blanks))
+    return parts
+
+
+def _split(parts: Parts, by: str, most: int = -1) -> list[Parts]:
+    """Parts cut at a mark that stands outside of inner passages, white space around it taken off."""
+    out: list[Parts] = [[]]
+    for place, part in parts:
+        if not isinstance(part, str):
+            out[-1].append((place, part))
+            continue
+        for k, piece in enumerate(part.split(by, most - len(out) + 1 if most >= 0 else -1)):
+            if k:
+                if out[-1] and isinstance(out[-1][-1][1], str):
+                    out[-1][-1] = (out[-1][-1][0], out[-1][-1][1].rstrip())
+                out.append([])
+            kept = piece.lstrip() if len(out) > 1 and not out[-1] else piece
+            out[-1].append((place + len(piece) - len(kept), kept))
+            place += len(piece) + len(by)
+    return out
+
+
+class _Scope:
+    """Rules seen so far in a text or a rule's value, and the conversions that they ask for."""
+
+    def __init__(self, tables: Tables, locale: str, given: Mapping[str, str]):
+        self.tables, self.locale, self.given = tables, locale, given
+        self.rules: dict[tuple, Rule] = {}
+        self.now = given
+        self._matcher: Matcher | None = None
+
+    def convert(self, text: str) -> str:
+        if self.locale == "zh" or self.locale not in FALLBACKS:
+            return text
+        if self._matcher is None:
+            self._matcher = matcher(self.tables, self.locale, self.now)
+        return self._matcher.run(text)
+
+    def change(self, added: list[Rule], taken: list[Rule]) -> None:
+        """Rules added after the others, where they are new, and others taken back."""
+        key = lambda r: frozenset(r.items())
+        fresh = {k: r for r in added if (k := key(r)) not in self.rules}
+        gone = [k for k in map(key, taken) if k in self.rules or k in fresh]
+        self.rules |= fresh
+        for k in gone:
+            self.rules.pop(k, None)
+        if gone:
+            self.now = rule_table(self.rules.values(), self.tables, self.locale, self.given)
+        elif fresh:
+            self.now = rule_table(fresh.values(), self.tables, self.locale, self.now)
+        if gone or fresh:
+            self._matcher = None
+
+
+def _shown(scope: _Scope, flags: set[str] | None, rules: list[Rule], passage: str) -> str:
+    """What a passage shows; its rules come into the scope."""
+    tables, locale = scope.tables, scope.locale
+    if not flags or flags == {""}:
+        return choice(rules[0], tables, locale)
+    if not flags & set("ATRD-HN"):
+        return converted(passage, tables, locale, _limited(scope.rules.values(), tables, locale, flags, scope.given))
+    scope.change(rules if flags & {"A", "H"} else [], rules if "-" in flags else [])
+    if "A" not in flags:
+        return ""
+    if ONE_WAY in rules[-1]:
+        return rules[-1].get(locale, converted(rules[-1][ONE_WAY], tables, locale))
+    return choice(rules[0], tables, locale)
+
+
+def _evaluated(text: str, parts: list[str | Passage], scope: _Scope):
+    """Text of parts. Asks for each rule's value by (parts, locale, conversions so far), and is sent its text."""
+    out = []
+    for part in parts:
+        if isinstance(part, str):
+            out.append(scope.convert(part))
+            continue
+        fields = _split(_trimmed(_placed(part.start, part.parts), _BLANKS), "|")
+        raw = lambda some: text[some[0][0] : some[-1][1].end + 2 if isinstance(some[-1][1], Passage) else some[-1][0] + len(some[-1][1])] if some else ""
+        flags = None if len(fields) == 1 else {raw(x) for x in _split(_trimmed(fields[0], _BLANKS), ";")}
+        said = fields[0] if flags is None else fields[1]
+        rules: list[Rule] = []
+        rule: Rule = {}
+        for item in _split(said, ";"):
+            sides = _split(item, "=>", 1)
+            if len(sides) > 1:
+                if rule:
+                    rules.append(rule)
+                rule = {ONE_WAY: raw(sides[0]).strip()}
+            pair = _split(sides[-1], ":")
+            name = "zh" if len(pair) == 1 else raw(pair[0])
+            rule[name] = yield [p for _, p in pair[0 if len(pair) == 1 else 1]], name, scope.now
+        out.append(_shown(scope, flags, [*rules, rule], raw(said)))
+    return "".join(out)
 
 
 def convert_markup(text: str, tables: Tables, locale: str, given: Mapping[str, str] | None = None) -> str:
     """Text with inline rules -{flags|rules}- applied, the rest converted by table and the rules seen so far.
 
     Without flags a rule stands for its text in the locale; A adds it and shows it, H adds it unseen, - takes it back; T,
-    R, D and N show nothing; other flags name locales that the passage is converted for. Brackets nest; open ones are
-    closed at the end, and closing ones without an opening one are text.
+    R, D and N show nothing; other flags name locales that the passage is converted for. Brackets nest, and marks between
+    inner ones belong to those; open ones are closed at the end, and closing ones without an opening one are text.
+    Every passage is read once and none is recursed into; passages within DEEPEST others are text.
     """
-    given = dict(given or {})
-    rules: list[Rule] = []
-    now, out, block, depth = dict(given), [], "", 0
-
-    def closed(body: str) -> str:
-        nonlocal now
-        flags, found, passage = _parsed(body, lambda value, name: convert_markup(value, tables, name, now))
-        if not flags or flags == {""}:
-            return choice(found[0], tables, locale)
-        if not flags & set("ATRD-HN"):
-            return converted(passage, tables, locale, _limited(rules, tables, locale, flags, given))
-        shown = ""
-        if flags & {"A", "H"}:
-            rules.extend(r for r in found if r not in rules)
-        if "A" in flags:
-            last = found[-1]
-            one_way = ONE_WAY in last
-            shown = last.get(locale, converted(last[ONE_WAY], tables, locale)) if one_way else choice(found[0], tables, locale)
-        if "-" in flags:
-            rules[:] = [r for r in rules if r not in found]
-        now = rule_table(rules, tables, locale, given)
-        return shown
-
-    for piece in _BRACKETS.split(text):
-        if piece == "-{":
-            depth += 1
-            block += piece
-        elif piece == "}-" and not depth:
-            out.append(piece)
-        elif piece == "}-":
-            depth -= 1
-            block += piece
-            if not depth:
-                out.append(closed(block[2:-2]))
-                block = ""
-        elif depth:
-            block += piece
-        else:
-            out.append(converted(piece, tables, locale, now))
-    if depth:
-        out.append(convert_markup(block + "}-" * depth, tables, locale, now))
-    return "".join(out)
+    parts, whole, unclosed = passages(text)
+    top = _Scope(tables, locale, dict(given or {}))
+    last = parts.pop() if unclosed else None
+    done = []
+    for some in [parts] if last is None else [parts, [last]]:
+        if some is not parts:  # what is not closed sees the conversions so far as given ones
+            top = _Scope(tables, locale, top.now)
+        running, answer = [_evaluated(whole, some, top)], None
+        while running:
+            try:
+                inner, name, now = running[-1].send(answer)
+                running.append(_evaluated(whole, inner, _Scope(tables, name, now)))
+                answer = None
+            except StopIteration as end:
+                answer = end.value
+                running.pop()
+        done.append(answer)
+    return "".join(done)

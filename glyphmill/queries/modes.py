@@ -111,9 +111,19 @@ def locale_convert(spark, sf_dir):
     )
 
 
+_RULE_MARKS = ";:|{}=>-"
+
+
 def locale_markup(spark, sf_dir):
-    """Texts with an inline rule for the locale, one that only adds, and one taken back."""
-    rules = F.concat(F.lit("-{H|后=>zh-tw:Q}-"), F.col("h"), F.lit("-{zh-cn:甲;zh-tw:乙;}--{-|后=>zh-tw:Q}-后-{原文}-"))
+    """Texts among inline rules of every kind: for the locale, unseen, taken back, shown, mere descriptions, by locales.
+
+    A whole text stands between rules, and once more within a rule's value, there without the marks of rules.
+    """
+    bare = F.translate("h", _RULE_MARKS, "")
+    rules = F.concat(
+        F.lit("-{H|后=>zh-tw:Q}-"), F.col("h"), F.lit("-{zh-cn:甲;zh-tw:乙;}--{-|后=>zh-tw:Q}-后-{原文}--{A|zh-cn:丙丙;zh-tw:丁}-丙丙"),
+        F.lit("-{T|题}--{R|后}--{D|后}--{N|zh-tw}--{zh-hk|后台}--{zh-cn:戊-{己}-;zh-hant:"), bare, F.lit("-{庚}-;}-}-"),
+    )
     return _texts(spark, sf_dir).select("doc_id", _digest(wiki.convert_markup(rules, LOCALES, "zh-tw")).alias("digest"))
 
 
@@ -154,6 +164,8 @@ SELECT 'ambiguous_character_fallback' AS kind, c AS source, t AS target, sum(len
     "locale_convert": f"""WITH h AS MATERIALIZED ({_DOCS})
 SELECT doc_id, md5({_stage('h', rows=[{'后斗里': '後斗裏', '谷松': '穀鬆子', **dict(zip(SIMPLIFIED, TRADITIONAL)), '斗': '鬭'}])}) AS tw, md5({_stage('h', rows=[{'谷松': '穀鬆子', **dict(zip(SIMPLIFIED, TRADITIONAL)), '卷': '捲起'}])}) AS hk,
        md5({_stage('h', rows=[{'后斗里': '後斗裏', '谷松': '穀鬆子', **dict(zip(SIMPLIFIED, TRADITIONAL)), '斗': 'X'}])}) AS ruled, TRUE AS plain FROM h""",
-    "locale_markup": f"""WITH h AS MATERIALIZED ({_DOCS})
-SELECT doc_id, md5({_stage('h', rows=[{'后斗里': '後斗裏', '谷松': '穀鬆子', **dict(zip(SIMPLIFIED, TRADITIONAL)), '斗': '鬭', '后': 'Q'}])} || '乙' || '後' || '原文') AS digest FROM h""",
+    "locale_markup": f"""WITH h AS MATERIALIZED ({_DOCS}), b AS MATERIALIZED (SELECT doc_id, h, ltrim(translate(h, '{_RULE_MARKS}', ''), ' 	
+') AS b FROM h)
+SELECT doc_id, md5({_stage('h', rows=[{'后斗里': '後斗裏', '谷松': '穀鬆子', **dict(zip(SIMPLIFIED, TRADITIONAL)), '斗': '鬭', '后': 'Q'}])} || '乙後原文丁丁後臺'
+    || {_stage('b', rows=[{'谷松': '穀鬆子', **dict(zip(SIMPLIFIED, TRADITIONAL))}])} || '庚}}-') AS digest FROM b""",
 }

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 from math import log
 
 import pytest
@@ -119,3 +120,32 @@ def test_rules_become_tables():
     assert wiki.rule_table(rules, NONE, "zh-cn") == {"列斯": "利兹", "利兹": "利兹", "巨集": "宏", "里茲": "利兹"}
     assert wiki.tokenized("学习汉字", SMALL, "zh-tw") == ["学习", "汉", "字"]
     assert wiki.converted("学习不计", SMALL, "zh-tw", {"不计": "不论"}) == "學習不论"
+
+
+NESTED = [
+    ("长度，-{zh-hans:台湾作-{公厘}-或-{公分}-;zh-hant:港澳作-{毫米}-（软件）;zh-hk:台灣作-{公釐}-;}-。", "zh-tw", "长度，港澳作毫米（軟件）。"),
+    ("-{zh-hans:台湾作-{公厘}-;zh-hk:台灣作-{公釐}-或-{公厘", "zh-hk", "台灣作公釐或公厘"),
+    ("-{zh-cn:a-{zh-cn:x;zh-tw:y}-b;zh-tw:c-{zh-cn:x;zh-tw:y}-d}-", "zh-tw", "cyd"),
+    ("-{zh-cn:a-{zh-cn:x;zh-tw:y}-b;zh-tw:c-{zh-cn:x;zh-tw:y}-d}-", "zh-cn", "axb"),
+    ("-{zh-hant:;\nzh-cn:}-", "zh-tw", ""), ("{{Col}}--&gt;}-", "zh-tw", "{{Col}}--&gt;}-"), ("a-{}-b", "zh-tw", "ab"),
+]
+
+
+@pytest.mark.parametrize("text, locale, want", NESTED)
+def test_nested_rules(text, locale, want):
+    tables = wiki.Tables({"zh2Hant": {"软件": "軟件"}, "zh2TW": {"软件": "軟體"}, "zh2HK": {}, "zh2Hans": {}, "zh2CN": {}, "zh2SG": {}})
+    assert wiki.convert_markup(text, tables, locale) == want
+
+
+@pytest.mark.parametrize("unit", ["-{", "-{a", "}-", "-{zh-cn:a-{zh-tw:后", "-{A|后=>zh-tw:x", "-{}-", "-{;|:=>", "-{ " + " " * 50])
+@pytest.mark.parametrize("closed", [False, True])
+def test_brackets_without_end_take_time_by_their_length(unit, closed):
+    text = unit * 100_000 + "}-" * (100_000 * closed)
+    before = time.process_time()
+    wiki.convert_markup(text, SMALL, "zh-tw")
+    assert time.process_time() - before < 30
+
+
+def test_many_rules_of_a_page():
+    text = "".join(f"-{{H|词{i}字=>zh-tw:w{i};}}-词{i}字" for i in range(3000))
+    assert wiki.convert_markup(text, SMALL, "zh-tw") == "".join(f"w{i}" for i in range(3000))
