@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from glyphmill.functions.rewrite import convert, counted_events
+from glyphmill.functions.words import segmenter, words_of
 from glyphmill.operators import convert as C
 from glyphmill.operators import words as W
 from glyphmill.plans.program import Dictionary, Program, program, union
 from glyphmill.plans.wiki import Tables
 from glyphmill.functions import wiki
-from glyphmill.plans.words import Words
+from glyphmill.plans.words import NEVER, Unknown, Words
 from glyphmill.queries.samples import HAN_SQL, PHRASES, SIMPLIFIED, TRADITIONAL, han
 from glyphmill.sources.tables import read_table, spread
 
@@ -111,6 +112,34 @@ def locale_convert(spark, sf_dir):
     )
 
 
+_SCORES = {"B": (1.0, 5, 0.31), "M": (2.0, 3, 0.53), "E": (1.0, 7, 0.23), "S": (1.6, 4, 0.41)}
+UNKNOWN = Unknown(
+    {"B": -0.3, "S": -1.4, "M": NEVER, "E": NEVER},
+    {"B": {"E": -0.5, "M": -0.9}, "M": {"E": -0.3, "M": -1.3}, "E": {"B": -0.6, "S": -0.8}, "S": {"B": -0.7, "S": -0.7}},
+    {state: {c: -first - i % turn * step for i, c in enumerate(SIMPLIFIED)} for state, (first, turn, step) in _SCORES.items()},
+)
+#: The words with a model of unknown ones; a longer word holds shorter ones, and one is always cut.
+MODELLED = Words.of([*WORDS.frequency.items(), ("系斗台面", 3000), ("斗台", 30), ("只面后", 200)], UNKNOWN).delete("云台")
+
+
+def word_full(spark, sf_dir):
+    """How often each word of several characters occurs at all, also within others: full mode over all texts."""
+    known = [w for w in WORDS.frequency if len(w) > 1]
+    return W.word_counts(_texts(spark, sf_dir).select("h"), "h", WORDS, "full").filter(F.col("word").isin(known))
+
+
+def word_modes(spark, sf_dir):
+    """Digests of every text cut by each mode, with the model of unknown words; words joined by a bar."""
+    cut = lambda mode: _digest(F.array_join(words_of(F.col("h"), MODELLED, mode), "|")).alias(mode)
+    return _texts(spark, sf_dir).select("doc_id", *map(cut, ("accurate", "full", "search")))
+
+
+def modes_segmented(spark, sf_dir):
+    """Digests of a mode whose units are cut into words first, so that no phrase is found across words."""
+    p, words = program("s2t", catalog), segmenter(MODELLED)
+    return _texts(spark, sf_dir).select("doc_id", _digest(convert(F.col("h"), p, words)).alias("digest"))
+
+
 _RULE_MARKS = ";:|{}=>-"
 
 
@@ -127,7 +156,7 @@ def locale_markup(spark, sf_dir):
     return _texts(spark, sf_dir).select("doc_id", _digest(wiki.convert_markup(rules, LOCALES, "zh-tw")).alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (modes_forward, modes_back, modes_pivot, union_ties, ambiguous_hits, word_counts, word_places, locale_convert, locale_markup)}
+QUERIES = {f.__name__: f for f in (modes_forward, modes_back, modes_pivot, union_ties, ambiguous_hits, word_counts, word_places, word_full, word_modes, modes_segmented, locale_convert, locale_markup)}
 
 
 # ---- SQL: every key of a stage becomes a private-use character in turn, and those become the targets -------
@@ -161,11 +190,17 @@ SELECT doc_id, md5({_S2T('s')}) AS pivot, md5(replace({_S2T('m')}, '後', '[後]
     "ambiguous_hits": f"""WITH h AS ({_DOCS}), m AS (SELECT {_stage('h', rows=[dict.fromkeys([*_BOTH[0]], '_')])} AS m FROM h)
 SELECT 'ambiguous_character_fallback' AS kind, c AS source, t AS target, sum(length(m) - length(replace(m, c, '')))::BIGINT AS hits FROM m, (VALUES ('干', '乾'), ('里', '裡')) AS v(c, t) GROUP BY ALL""",
     "word_counts": f"""WITH w AS (SELECT unnest(regexp_extract_all(h, '{'|'.join(k for k in _MULTI if k != '谷松')}|谷松')) AS word FROM (SELECT replace(h, '谷松曲', '谷 松曲') AS h FROM ({_DOCS}))) SELECT word, count(*) AS hits FROM w GROUP BY 1""",
+    "word_places": f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(g, '(?s){'|'.join(_MULTI)}|.')) AS w, unnest(range(len(regexp_extract_all(g, '(?s){'|'.join(_MULTI)}|.')))) AS i FROM (SELECT doc_id, replace(h, '谷松曲', chr(1) || '松曲') AS g FROM ({_DOCS}))),
+p AS (SELECT doc_id, w, sum(length(w)) OVER (PARTITION BY doc_id ORDER BY i) - length(w) AS place FROM t)
+SELECT doc_id, sum((length(w) > 1)::INT)::INT::BIGINT AS words, sum(CASE WHEN length(w) > 1 THEN place ELSE 0 END)::BIGINT AS places, TRUE AS fits FROM p GROUP BY doc_id""",
+    "word_full": f"""WITH h AS MATERIALIZED ({_DOCS})
+SELECT word, sum((length(h) - length(replace(h, word, ''))) // length(word))::BIGINT AS hits FROM h, (VALUES {', '.join(f"('{w}')" for w in _MULTI)}) AS v(word) GROUP BY word HAVING hits > 0""",
     "locale_convert": f"""WITH h AS MATERIALIZED ({_DOCS})
 SELECT doc_id, md5({_stage('h', rows=[{'后斗里': '後斗裏', '谷松': '穀鬆子', **dict(zip(SIMPLIFIED, TRADITIONAL)), '斗': '鬭'}])}) AS tw, md5({_stage('h', rows=[{'谷松': '穀鬆子', **dict(zip(SIMPLIFIED, TRADITIONAL)), '卷': '捲起'}])}) AS hk,
        md5({_stage('h', rows=[{'后斗里': '後斗裏', '谷松': '穀鬆子', **dict(zip(SIMPLIFIED, TRADITIONAL)), '斗': 'X'}])}) AS ruled, TRUE AS plain FROM h""",
     "locale_markup": f"""WITH h AS MATERIALIZED ({_DOCS}), b AS MATERIALIZED (SELECT doc_id, h, ltrim(translate(h, '{_RULE_MARKS}', ''), ' 	
-') AS b FROM h)
+
+') AS b FROM h)
 SELECT doc_id, md5({_stage('h', rows=[{'后斗里': '後斗裏', '谷松': '穀鬆子', **dict(zip(SIMPLIFIED, TRADITIONAL)), '斗': '鬭', '后': 'Q'}])} || '乙後原文丁丁後臺'
     || {_stage('b', rows=[{'谷松': '穀鬆子', **dict(zip(SIMPLIFIED, TRADITIONAL))}])} || '庚}}-') AS digest FROM b""",
 }

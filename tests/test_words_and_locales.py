@@ -1,19 +1,22 @@
 """Words against all routes and all state paths; locale tables and inline rules against pairs that state what is right."""
 
+import hashlib
 import itertools
 import random
+import re
 import time
 from math import log
 
 import pytest
 from pyspark.sql import functions as F
 
-from glyphmill.functions.rewrite import convert
+from glyphmill.functions.rewrite import Runner, convert
 from glyphmill.functions.words import Segmenter, placed_words, segmenter, words_of
 from glyphmill.operators.words import word_counts, word_samples
 from glyphmill.plans import wiki
-from glyphmill.plans.program import Dictionary, Program
+from glyphmill.plans.program import SEPARATORS, Dictionary, Program, program
 from glyphmill.plans.words import BEFORE, NEVER, Unknown, Words
+from glyphmill.queries import modes
 from glyphmill.sources.dictionaries import word_model
 
 RNG = random.Random(8)
@@ -149,3 +152,82 @@ def test_brackets_without_end_take_time_by_their_length(unit, closed):
 def test_many_rules_of_a_page():
     text = "".join(f"-{{H|词{i}字=>zh-tw:w{i};}}-词{i}字" for i in range(3000))
     assert wiki.convert_markup(text, SMALL, "zh-tw") == "".join(f"w{i}" for i in range(3000))
+
+
+# ---- whole texts against plain programs ------------------------------------------------------------------
+
+
+def plainly_cut(block, model):
+    """Words of a block by the best sum of logarithms to its end, runs of single characters by the best path of states."""
+    total, n = log(model.total), len(block)
+    best = [(0.0, n)] * (n + 1)
+    longest = max(map(len, model.frequency))
+    for i in range(n - 1, -1, -1):
+        ends = [j for j in range(i + 1, min(n, i + longest) + 1) if model.frequency.get(block[i:j])] or [i + 1]
+        best[i] = max((log(model.frequency.get(block[i:j]) or 1) - total + best[j][0], j) for j in ends)
+    at, run = 0, ""
+    while at < n or run:
+        word = block[at : best[at][1]] if at < n else ""
+        if len(word) == 1:
+            run, at = run + word, at + 1
+            continue
+        if run:
+            yield from plain_run(run, model)
+            run = ""
+        if word:
+            yield word
+            at += len(word)
+
+
+def plain_run(run, model):
+    if len(run) == 1 or model.frequency.get(run):
+        yield from run
+        return
+    for part in re.findall(r"[\u4e00-\u9fd5]+|[^\u4e00-\u9fd5]+", run):
+        if not "\u4e00" <= part[0] <= "\u9fd5":
+            yield from (x for x in re.split(r"([a-zA-Z0-9]+(?:\.\d+)?%?)", part) if x)
+            continue
+        ways = {s: (model.unknown.start[s] + model.unknown.characters[s].get(part[0], NEVER), s) for s in "BEMS"}
+        for c in part[1:]:
+            seen = lambda s, c=c: model.unknown.characters[s].get(c, NEVER)
+            # equal ways: that of the later letter
+            best = {s: max((ways[b][0] + model.unknown.moves[b].get(s, NEVER) + seen(s), b) for b in BEFORE[s]) for s in "BEMS"}
+            ways = {s: (value, ways[b][1] + s) for s, (value, b) in best.items()}
+        path = ways[max("ES", key=lambda s: (ways[s][0], s))][1]
+        word = ""
+        for c, s in zip(part, path):
+            word += c
+            if s in "ES":
+                yield from word if word in model.cut else [word]
+                word = ""
+        yield from [word] if word else []
+
+
+def test_word_modes_over_whole_texts(spark):
+    folder = "/root/testdata/sf0.001"
+    model, texts = modes.MODELLED, {r["doc_id"]: r["h"] for r in modes._texts(spark, folder).select("doc_id", "h").collect()}
+    digest = lambda words: hashlib.md5("|".join(words).encode()).hexdigest()
+    got = {r["doc_id"]: r for r in modes.word_modes(spark, folder).collect()}
+    assert got.keys() == texts.keys()
+    several = 0
+    for doc_id, text in texts.items():
+        words = []
+        for k, block in enumerate(re.split(r"([\u4e00-\u9fd5a-zA-Z0-9+#&._%\-]+)", text)):
+            words += plainly_cut(block, model) if k % 2 else list(block)
+        assert got[doc_id]["accurate"] == digest(words)
+        inner = lambda w: [p for n in (2, 3) if len(w) > n for p in (w[i : i + n] for i in range(len(w) - n + 1)) if model.frequency.get(p)]
+        assert got[doc_id]["search"] == digest([x for w in words for x in (*inner(w), w)])
+        several += sum(len(w) > 1 and not model.frequency.get(w) for w in words)
+    assert several > 100  # words that only the model knows
+
+
+def test_segmented_modes_find_no_phrase_across_words(spark):
+    folder = "/root/testdata/sf0.001"
+    own, p = Segmenter(modes.MODELLED), Runner(program("s2t", modes.catalog))
+    texts = {r["doc_id"]: r["h"] for r in modes._texts(spark, folder).select("doc_id", "h").collect()}
+    got = {r["doc_id"]: r["digest"] for r in modes.modes_segmented(spark, folder).collect()}
+    assert len(got) == len(texts)
+    for doc_id, text in texts.items():
+        units = re.split(rf"(\s+|[{re.escape(SEPARATORS)}])", text)
+        want = "".join(u if k % 2 else "".join(p.text(w) for w in own.words(u)) for k, u in enumerate(units))
+        assert got[doc_id] == hashlib.md5(want.encode()).hexdigest()
