@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +60,32 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Remembered(dict):
+    """What a worker has worked out, by string, within some bytes: when half of them are full, the older half goes.
+
+    make(key) gives what is not there yet; size(value) is a value's bytes, about. Keys of over `longest` characters are
+    worked out each time.
+    """
+
+    def __init__(self, make: Callable[[str], object], size: Callable[[object], int], most: int, longest: int = 64):
+        super().__init__()
+        self.make, self.size, self.most, self.longest = make, size, most, longest
+        self.older: dict[str, object] = {}
+        self.held = 0
+
+    def __missing__(self, key: str) -> object:
+        if len(key) > self.longest:
+            return self.make(key)
+        if (found := self.older.get(key)) is None:
+            found = self.make(key)
+        self.held += 200 + 2 * len(key) + self.size(found)
+        if self.held > self.most // 2:
+            self.older, self.held = dict(self), 0
+            self.clear()
+        self[key] = found
+        return found
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphmill.llm.common import BROADCAST_IDS, staged, text_or_empty
+from glyphmill.llm.common import BROADCAST_IDS, Remembered, staged, text_or_empty
 from glyphmill.llm.packing import LETTERS
 
 WINDOW = 2048
@@ -31,34 +31,22 @@ REMEMBERED_BYTES, LONGEST = 128 << 20, 64
 _MARKS = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 
 
-class _Words(dict):
-    """Ids of words as bytes; a word that is not there is tokenized. Of what is held, the older half goes when it is full."""
+class _Words(Remembered):
+    """Ids of words as bytes; a word that is not there is tokenized."""
 
     def __init__(self, tokenizer):
-        super().__init__()
+        super().__init__(self._new, len, REMEMBERED_BYTES, LONGEST)
         self.tokenizer, self.model = tokenizer, tokenizer.model
         self.special = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
-        self.older: dict[str, bytes] = {}
-        self.held = 0
 
     def exact(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, word: str) -> bytes:
+    def _new(self, word: str) -> bytes:
         if not word:
             return b""
         if len(word) > LONGEST or "<" in word and any(s in word for s in self.special):
             return self.exact(word)
-        if (found := self.older.get(word)) is None:
-            found = self._new(word)
-        self.held += 200 + 2 * len(word) + len(found)
-        if self.held > REMEMBERED_BYTES // 2:
-            self.older, self.held = dict(self), 0
-            self.clear()
-        self[word] = found
-        return found
-
-    def _new(self, word: str) -> bytes:
         if word.isalpha() and max(word) < "\u0250" and "\u0130" not in word:  # one run of letters, composed as they are
             lower = word.lower()
             if lower != word:

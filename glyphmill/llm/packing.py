@@ -20,16 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphmill.llm.common import staged, text_or_empty
+from glyphmill.llm.common import Remembered, staged, text_or_empty
 
 WINDOW = 1024
 OPEN_WINDOWS = 128
 #: Partitions whose open windows one task merges: at most this many times OPEN_WINDOWS rows.
 MERGE_PARTITIONS = 64
 END_ID = b"\0\0\0\0"
-#: Characters tokenized at once, and chunks whose ids a worker remembers.
+#: Characters tokenized at once, and bytes of chunks and ids that a worker remembers of usual texts and of others.
 SEGMENT_CHARS = 1 << 20
-REMEMBERED = 400_000
+REMEMBERED_BYTES = 96 << 20, 16 << 20
 
 #: Unicode white space besides space and line feed; texts that hold any are cut by pattern.
 _OTHER_SPACES = "\t\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -66,17 +66,16 @@ LETTERS = _byte_letters()
 _MARKS = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
 
 
-class _Exact(dict):
+class _Exact(Remembered):
     """Ids of chunks as bytes; a chunk that is not there yet is tokenized as it stands."""
 
-    def __init__(self, tokenizer):
-        super().__init__()
+    def __init__(self, tokenizer, most: int = REMEMBERED_BYTES[1]):
+        super().__init__(self._new, len, most)
         self.tokenizer = tokenizer
         self.model = tokenizer.model
 
-    def __missing__(self, chunk: str) -> bytes:
-        found = self[chunk] = array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
-        return found
+    def _new(self, chunk: str) -> bytes:
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
 
 
 class _Known(_Exact):
@@ -86,18 +85,15 @@ class _Known(_Exact):
     the marks that end the chunk; a word of Latin letters goes to the model itself.
     """
 
-    def __missing__(self, chunk: str) -> bytes:
+    def _new(self, chunk: str) -> bytes:
         word = chunk.rstrip(_MARKS)
         if "\n" in chunk and len(chunk) > 1 and "\n\n" not in chunk:
-            found = self["\n"].join([self[part] if part else b"" for part in chunk.split("\n")])
-        elif len(word) < len(chunk) and word[-1:].isalpha() and word[-1] < "\u0250":
-            found = self[word] + self[chunk[len(word) :]]
-        elif chunk[chunk[0] == " " :].isalpha() and max(chunk) < "\u0250":
-            found = array("I", [t.id for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(LETTERS))]).tobytes()
-        else:
-            return super().__missing__(chunk)
-        self[chunk] = found
-        return found
+            return self["\n"].join([self[part] if part else b"" for part in chunk.split("\n")])
+        if len(word) < len(chunk) and word[-1:].isalpha() and word[-1] < "\u0250":
+            return self[word] + self[chunk[len(word) :]]
+        if chunk[chunk[0] == " " :].isalpha() and max(chunk) < "\u0250":
+            return array("I", [t.id for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(LETTERS))]).tobytes()
+        return super()._new(chunk)
 
 
 class ChunkTokenizer:
@@ -112,17 +108,13 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known, self.exact = _Known(self.tokenizer), _Exact(self.tokenizer)
+        self.known, self.exact = _Known(self.tokenizer, REMEMBERED_BYTES[0]), _Exact(self.tokenizer)
 
     def _segment(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if not text:
             return b""
-        for kept in (self.known, self.exact):
-            if len(kept) > REMEMBERED:  # frequent chunks are short
-                for chunk in [c for c in kept if len(c) > 5]:
-                    del kept[chunk]
         if "  " in text or "\n " in text or any(c in text for c in _OTHER_SPACES):
             chunks = _CHUNK.findall(text)
             return b"".join(map(self.exact.__getitem__, chunks))
