@@ -190,7 +190,7 @@ SELECT doc_id, md5({_S2T('s')}) AS pivot, md5(replace({_S2T('m')}, '後', '[後]
     "ambiguous_hits": f"""WITH h AS ({_DOCS}), m AS (SELECT {_stage('h', rows=[dict.fromkeys([*_BOTH[0]], '_')])} AS m FROM h)
 SELECT 'ambiguous_character_fallback' AS kind, c AS source, t AS target, sum(length(m) - length(replace(m, c, '')))::BIGINT AS hits FROM m, (VALUES ('干', '乾'), ('里', '裡')) AS v(c, t) GROUP BY ALL""",
     "word_counts": f"""WITH w AS (SELECT unnest(regexp_extract_all(h, '{'|'.join(k for k in _MULTI if k != '谷松')}|谷松')) AS word FROM (SELECT replace(h, '谷松曲', '谷 松曲') AS h FROM ({_DOCS}))) SELECT word, count(*) AS hits FROM w GROUP BY 1""",
-    "word_places": f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(g, '(?s){'|'.join(_MULTI)}|.')) AS w, unnest(range(len(regexp_extract_all(g, '(?s){'|'.join(_MULTI)}|.')))) AS i FROM (SELECT doc_id, replace(h, '谷松曲', chr(1) || '松曲') AS g FROM ({_DOCS}))),
+    "word_places": f"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(g, '(?s){'|'.join(_MULTI)}|[a-zA-Z0-9]+|.')) AS w, unnest(range(len(regexp_extract_all(g, '(?s){'|'.join(_MULTI)}|[a-zA-Z0-9]+|.')))) AS i FROM (SELECT doc_id, replace(h, '谷松曲', chr(1) || '松曲') AS g FROM ({_DOCS}))),
 p AS (SELECT doc_id, w, sum(length(w)) OVER (PARTITION BY doc_id ORDER BY i) - length(w) AS place FROM t)
 SELECT doc_id, sum((length(w) > 1)::INT)::INT::BIGINT AS words, sum(CASE WHEN length(w) > 1 THEN place ELSE 0 END)::BIGINT AS places, TRUE AS fits FROM p GROUP BY doc_id""",
     "word_full": f"""WITH h AS MATERIALIZED ({_DOCS})
