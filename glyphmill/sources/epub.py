@@ -6,6 +6,7 @@ import io
 import posixpath
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from html import unescape
 from urllib.parse import unquote
@@ -40,10 +41,18 @@ def first_formats(library: DataFrame) -> DataFrame:
     return library.filter(path.isNotNull()).select("*", path.alias("path"), kind.alias("fmt"))
 
 
+def member(zf: zipfile.ZipFile, name: str) -> bytes | None:
+    """A member's bytes; null if it is not there, damaged, encrypted, or packed in an unknown way."""
+    try:
+        return zf.read(name)
+    except (KeyError, zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError, pa.ArrowInvalid):
+        return None
+
+
 def package_name(zf: zipfile.ZipFile) -> str | None:
     """The package document that a container names, else the first one by name."""
     names = zf.namelist()
-    container = zf.read("META-INF/container.xml").decode("utf-8", "replace") if "META-INF/container.xml" in names else ""
+    container = (member(zf, "META-INF/container.xml") or b"").decode("utf-8", "replace")
     named = re.search(r"""<(?:\w+:)?rootfile\b[^>]*\bfull-path\s*=\s*["']([^"']*)["']""", container)
     return unescape(named[1]) if named else next((n for n in sorted(names) if n.lower().endswith(".opf")), None)
 
@@ -55,15 +64,23 @@ _ATTRIBUTE = re.compile(r"""([\w:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)')""")
 def _types(zf: zipfile.ZipFile) -> dict[str, str]:
     """Media types by part of a book's manifest, which need not be well-formed."""
     package = package_name(zf)
-    if not package or package not in zf.namelist():
+    if not package or (text := member(zf, package)) is None:
         return {}
     found, folder = {}, posixpath.dirname(package)
-    for item in _ITEM.findall(zf.read(package).decode("utf-8", "replace")):
+    for item in _ITEM.findall(text.decode("utf-8", "replace")):
         own = {k: unescape(a or b) for k, a, b in _ATTRIBUTE.findall(item)}
         found[posixpath.normpath(posixpath.join(folder, unquote(own.get("href", ""))))] = own.get("media-type", "")
     return found
 
 
+def member_types(zf: zipfile.ZipFile) -> Iterator[tuple[str, str]]:
+    """(name, media type) of a book's members: by its manifest, else by extension."""
+    types = _types(zf)
+    for name in zf.namelist():
+        if not name.endswith("/"):
+            yield name, types.get(name) or TYPES.get(posixpath.splitext(name)[1].lower(), "application/octet-stream")
+
+
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
@@ -73,12 +90,11 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             except zipfile.BadZipFile:
                 continue
             with zf:
-                types = _types(zf)
-                for name in zf.namelist():
-                    if not name.endswith("/"):
-                        kind = types.get(name) or TYPES.get(posixpath.splitext(name)[1].lower(), "application/octet-stream")
-                        row = (book, name, kind, zf.read(name))
-                        yield pa.RecordBatch.from_arrays([pa.array([x], type=t) for x, t in zip(row, (pa.string(), pa.string(), pa.string(), pa.binary()))], names=["book", "part_name", "mime", "content"])
+                for name, kind in member_types(zf):
+                    row = (book, name, kind, member(zf, name))
+                    if row[3] is None:
+                        continue
+                    yield pa.RecordBatch.from_arrays([pa.array([x], type=t) for x, t in zip(row, (pa.string(), pa.string(), pa.string(), pa.binary()))], names=["book", "part_name", "mime", "content"])
 
 
 def parts(books: DataFrame) -> DataFrame:
