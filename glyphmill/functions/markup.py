@@ -50,7 +50,7 @@ class _Ahead:
     """What closes tags and comments further on in a text, found once: places are asked for from left to right."""
 
     def __init__(self, html: str):
-        self.html, self.comments, self.last = html, True, html.rfind(">")
+        self.html, self.comments, self.cdata, self.last = html, True, True, html.rfind(">")
         self.name = (0, 0)
         self.special: list[int] | None = None
         self.quotes: dict[str, list[int]] = {}
@@ -95,9 +95,11 @@ class _Ahead:
         return 0
 
 
-def tokens(html: str) -> Iterator[tuple[str, str, str]]:
+def tokens(html: str, xml: bool = False) -> Iterator[tuple[str, str, str]]:
     """(kind, name, raw) of a document, in order; raw joined is the document. Style and script hold one opaque token.
 
+    xml: names keep their case, no element is opaque, and there are cdata tokens.
+
     Text takes time in proportion to its length, also where tags, comments or quotes never end: their openings are text.
     """
     at, size, ahead = 0, len(html), _Ahead(html)
@@ -109,6 +111,12 @@ def tokens(html: str) -> Iterator[tuple[str, str, str]]:
             at = begun
             continue
         end = 0
+        if xml and kind == "declaration" and ahead.cdata and html.startswith("<![CDATA[", at):
+            ahead.cdata = (close := html.find("]]>", at + 9)) >= 0
+            if ahead.cdata:
+                yield "cdata", html[at + 9 : close], html[at : close + 3]
+                at = close + 3
+                continue
         if kind == "comment":
             if close := ahead.comment(begun):
                 name, end = html[begun : close.start()], close.end()
@@ -116,16 +124,20 @@ def tokens(html: str) -> Iterator[tuple[str, str, str]]:
                 kind, begun = "declaration", at + 2
         if kind == "start":
             if end := ahead.start_end(at):
-                name = html[at + 1 : ahead.name_end(at + 1)].lower()
+                name = html[at + 1 : ahead.name_end(at + 1)]
+                name = name if xml else name.lower()
         elif kind not in ("comment", "stray") and begun <= ahead.last:
             end = html.index(">", begun) + 1
-            name = html[at + 2 : ahead.name_end(at + 2)].lower() if kind == "end" else html[begun : end - 1]
+            name = html[at + 2 : ahead.name_end(at + 2)] if kind == "end" else html[begun : end - 1]
+            name = name.lower() if kind == "end" and not xml else name
         if not end:
             yield "text", html[at], html[at]
             at += 1
             continue
         raw, at = html[at:end], end
         yield ("empty" if kind == "start" and raw.endswith("/>") else kind), name, raw
+        if xml:
+            continue
         if kind == "start" and name in _OPAQUE and not raw.endswith("/>"):
             end = _OPAQUE[name].search(html, at).start()
             if at < end:

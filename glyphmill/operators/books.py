@@ -80,11 +80,34 @@ def _rewrite(o: BookOptions):
     return run
 
 
+#: Rows of names that a join broadcasts at most; beyond it the parts that need something are shuffled.
+BROADCAST_ROWS = 500_000
+
+
+def part_links(parts: DataFrame) -> DataFrame:
+    """(book, part_name, target): the parts that text, style, package and contents parts point to, each once."""
+
+    @F.arrow_udf("array<string>")
+    def targets(names: pa.Array, contents: pa.Array) -> pa.Array:
+        found = [sorted(P.links((c or b"").decode("utf-8", "replace"), n)) for n, c in zip(names.to_pylist(), contents.to_pylist())]
+        return pa.array(found, type=pa.list_(pa.string()))
+
+    written = parts.filter(F.col("mime").isin(*TEXT_TYPES, *STYLE_TYPES, *TITLES, PACKAGE))
+    return written.select("book", "part_name", F.explode(targets("part_name", "content")).alias("target"))
+
+
+def dead_links(parts: DataFrame, gone: DataFrame) -> DataFrame:
+    """(book, part_name, target) of links to parts that are gone (book, part_name). Names alone are joined."""
+    return part_links(parts).join(gone.select("book", F.col("part_name").alias("target")), ["book", "target"], "left_semi").select("book", "part_name", "target")
+
+
 def convert_books(parts: DataFrame, o: BookOptions) -> DataFrame:
     """(book, part_name, mime, content, changed): parts rewritten; parts that are taken out are left out.
 
     Resources are taken out only of whole books (markup.source "book"); links to them go from every part of their book.
-    A direction's rule is added to all sheets of a book only if none has one. Only names and flags are shuffled by book.
+    A direction's rule is added to all sheets of a book only if none has one. What a part needs to know of others, its
+    dead links and whether its book has that rule, is a small table by part: broadcast while it is small, so that contents
+    stay where they are; beyond that contents are shuffled by part, never by book.
     """
     whole = o.markup.source == "book"
     out = F.lit(False)
@@ -92,11 +115,23 @@ def convert_books(parts: DataFrame, o: BookOptions) -> DataFrame:
         out = out | is_font(F.col("mime"), F.col("part_name"))
     if whole and o.strip_images:
         out = out | is_image(F.col("mime"))
-    has_rule = F.col("mime").isin(*STYLE_TYPES) & F.decode("content", "utf-8").rlike(r"body\.calibre-chinese_text\s*[,{]")
-    by_book = parts.select("book", F.when(out, F.col("part_name")).alias("n"), has_rule.alias("r")).groupBy("book").agg(F.array_sort(F.collect_list("n")).alias("gone"), F.max("r").alias("has_rule"))
-    kept = parts.filter(~out).join(by_book, "book", "left")
-    rewritten = kept.select("book", "part_name", "mime", "content", "gone", "has_rule").mapInArrow(_rewrite(o), f"{PARTS}, changed boolean")
-    return rewritten
+    kept = parts.filter(~out)
+    needs = None
+    if whole and (o.strip_fonts or o.strip_images):
+        dead = dead_links(kept, parts.filter(out).select("book", "part_name"))
+        needs = dead.groupBy("book", "part_name").agg(F.array_sort(F.collect_set("target")).alias("gone"), F.lit(False).alias("has_rule"))
+    if o.markup.orientation:
+        sheets = kept.filter(F.col("mime").isin(*STYLE_TYPES))
+        rule = F.decode("content", "utf-8").rlike(r"body\.calibre-chinese_text\s*[,{]")
+        ruled = sheets.filter(rule).select("book").distinct()
+        ruled = sheets.select("book", "part_name").join(ruled, "book", "left_semi").select("book", "part_name", F.array().cast("array<string>").alias("gone"), F.lit(True).alias("has_rule"))
+        needs = ruled if needs is None else needs.unionByName(ruled).groupBy("book", "part_name").agg(F.flatten(F.collect_list("gone")).alias("gone"), F.max("has_rule").alias("has_rule"))
+    if needs is None:
+        known = kept.select("*", F.lit(None).cast("array<string>").alias("gone"), F.lit(False).alias("has_rule"))
+    else:
+        needs = needs.persist()
+        known = kept.join(F.broadcast(needs) if needs.count() <= BROADCAST_ROWS else needs, ["book", "part_name"], "left")
+    return known.select("book", "part_name", "mime", "content", "gone", "has_rule").mapInArrow(_rewrite(o), f"{PARTS}, changed boolean")
 
 
 def changed_books(converted: DataFrame, given: DataFrame) -> DataFrame:
@@ -151,19 +186,21 @@ def image_references(parts: DataFrame) -> DataFrame:
         return pa.array(out, type=kind)
 
     each = parts.filter(F.col("mime").isin(*TEXT_TYPES)).select("book", "part_name", F.posexplode(links("part_name", "content")).alias("seq", "l")).select("book", "part_name", "seq", "l.*")
-    names = parts.select("book", F.col("part_name").alias("image"))
-    near = each.join(names.withColumnRenamed("image", "a"), (each["book"] == names["book"]) & (F.col("near") == F.col("a")), "left").drop(names["book"])
-    plain = names.select(F.col("book").alias("_book"), F.col("image").alias("b"))
-    both = near.join(plain, (F.col("book") == F.col("_book")) & (F.col("plain") == F.col("b")), "left")
-    return both.select("book", "part_name", "seq", "link", F.coalesce("a", "b").alias("image"))
+    names = lambda book, name: parts.select(F.col("book").alias(book), F.col("part_name").alias(name))
+    near = each.join(names("_near_book", "_near"), (F.col("book") == F.col("_near_book")) & (F.col("near") == F.col("_near")), "left")
+    both = near.join(names("_plain_book", "_plain"), (F.col("book") == F.col("_plain_book")) & (F.col("plain") == F.col("_plain")), "left")
+    return both.select("book", "part_name", "seq", "link", F.coalesce("_near", "_plain").alias("image"))
 
 
 def label_images(parts: DataFrame, recognized: DataFrame) -> DataFrame:
     """parts with recognized texts (book, image, text) put into the tags of their images; each image is recognized once.
 
-    A book's texts go to its text parts as one map. Images without text stay as they are.
+    Each text part gets the texts of its own images; they are broadcast while their parts are few, else parts are shuffled.
+    Images without text stay as they are.
     """
-    texts = recognized.filter("text <> ''").groupBy("book").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("image", "text")))).alias("_texts"))
+    wanted = image_references(parts).filter("image IS NOT NULL").select("book", "part_name", "image").distinct()
+    texts = wanted.join(recognized.filter("text <> ''").groupBy("book", "image").agg(F.min("text").alias("text")), ["book", "image"])
+    texts = texts.groupBy("book", "part_name").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("image", "text")))).alias("_texts")).persist()
 
     @F.arrow_udf("binary")
     def put(names: pa.Array, contents: pa.Array, maps: pa.Array) -> pa.Array:
@@ -173,7 +210,7 @@ def label_images(parts: DataFrame, recognized: DataFrame) -> DataFrame:
         return pa.array(out, type=pa.binary())
 
     is_text = F.col("mime").isin(*TEXT_TYPES)
-    others, pages = parts.filter(~is_text | F.col("mime").isNull()), parts.filter(is_text).join(texts, "book", "left")
+    others, pages = parts.filter(~is_text | F.col("mime").isNull()), parts.filter(is_text).join(F.broadcast(texts) if texts.count() <= BROADCAST_ROWS else texts, ["book", "part_name"], "left")
     return others.unionByName(pages.withColumn("content", put("part_name", "content", "_texts")).select(*parts.columns))
 
 

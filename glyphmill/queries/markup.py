@@ -70,26 +70,26 @@ _SPLIT = r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--
 _HTML = """replace(html, 'lang="en"', 'lang="zh-TW"')"""
 _DONE = f"""CASE WHEN t LIKE '<%' THEN (CASE WHEN regexp_matches(t, '(?i)lang="zh-(Latn|Cyrl|Bopo|Mong)') THEN t ELSE regexp_replace(t, 'lang="zh-TW"', 'lang="zh-Hans-CN"', 'g') END)
  WHEN t LIKE '&%' AND t <> '&' THEN rtrim(t, ';') || ';' ELSE translate(t, '{LATIN}', '{TRADITIONAL[: len(LATIN)]}') END"""
-_LIST = lambda html: f"SELECT page_id, unnest(regexp_extract_all(h, '{_SPLIT}')) AS t, unnest(range(len(regexp_extract_all(h, '{_SPLIT}')))) AS i FROM (SELECT page_id, {html} AS h FROM pages)"
+token_list = lambda html: f"SELECT page_id, unnest(regexp_extract_all(h, '{_SPLIT}')) AS t, unnest(range(len(regexp_extract_all(h, '{_SPLIT}')))) AS i FROM (SELECT page_id, {html} AS h FROM pages)"
 _MARKED = f"""replace(replace({_HTML}, '<p>', '<p><!--{SELECTION_START}-->'), '</p>', '<!-- {SELECTION_END} --></p>')"""
-_FLAGGED = f"""t AS ({_LIST(_MARKED)}),
+_FLAGGED = f"""t AS ({token_list(_MARKED)}),
 f AS (SELECT page_id, i, t, coalesce(last_value(CASE WHEN t = '<!--{SELECTION_START}-->' THEN TRUE WHEN t = '<!-- {SELECTION_END} -->' THEN FALSE END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY i ROWS UNBOUNDED PRECEDING), FALSE) AS inside FROM t)"""
 _ESCAPED = lambda x: f"replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 _STYLE = f'<style type="text/css" id="{ANNOTATION_STYLE_ID}">' + "".join(f"{k}{{{v}}}" for k, v in ANNOTATION_RULES.items()) + "</style>"
 _CHANGED = f"translate(r, '{LATIN}', '{TRADITIONAL[: len(LATIN)]}')"
 _RUBY = f"""'<ruby class="ctc-bi"><rb class="ctc-bi-main">' || {_ESCAPED(_CHANGED)} || '</rb><rt class="ctc-bi-rt">' || {_ESCAPED('r')} || '</rt></ruby>'"""
-_ENTITY = "WHEN t LIKE '&%' AND t <> '&' THEN rtrim(t, ';') || ';'"
+ENTITY = "WHEN t LIKE '&%' AND t <> '&' THEN rtrim(t, ';') || ';'"
 ORACLE_SQL = {
-    "markup_convert": f"WITH t AS ({_LIST(_HTML)}) SELECT page_id, string_agg({_DONE}, '' ORDER BY i) AS html FROM t GROUP BY page_id",
+    "markup_convert": f"WITH t AS ({token_list(_HTML)}) SELECT page_id, string_agg({_DONE}, '' ORDER BY i) AS html FROM t GROUP BY page_id",
     "markup_tokens": rf"""
-WITH t AS ({_LIST(_HTML)}), k AS (SELECT page_id, t, regexp_matches(t, '(?i)^<(script|style)\b') AS o FROM t)
+WITH t AS ({token_list(_HTML)}), k AS (SELECT page_id, t, regexp_matches(t, '(?i)^<(script|style)\b') AS o FROM t)
 SELECT page_id, sum((regexp_matches(t, '^<[A-Za-z]'))::INT)::BIGINT AS starts, sum((o OR t LIKE '</%')::INT)::BIGINT AS ends, sum((t LIKE '&%' AND t <> '&')::INT)::BIGINT AS entities,
        sum((t LIKE '<!--%')::INT)::BIGINT AS comments, sum((o AND NOT regexp_matches(t, '(?is)^<[^>]*></'))::INT)::BIGINT AS opaque,
        sum(CASE WHEN t = '&' OR NOT regexp_matches(t, '^[<&]') THEN length(t) ELSE 0 END)::BIGINT AS text_chars FROM k GROUP BY page_id""",
     "markup_selection": rf"WITH {_FLAGGED} SELECT page_id, sum(inside::INT)::BIGINT AS inside, sum((NOT inside)::INT)::BIGINT AS outside FROM f WHERE (t = '&' OR NOT regexp_matches(t, '^[<&]')) AND NOT regexp_matches(t, '^\s+$') GROUP BY page_id",
-    "markup_selected_convert": f"WITH {_FLAGGED}, j AS (SELECT page_id, string_agg(CASE WHEN t LIKE '<%' THEN t {_ENTITY} WHEN inside THEN translate(t, '{LATIN}', '{TRADITIONAL[: len(LATIN)]}') ELSE t END, '' ORDER BY i) AS h FROM f GROUP BY page_id) SELECT page_id, md5(h) AS digest, length(h) AS chars FROM j",
-    "markup_annotated": rf"""WITH t AS ({_LIST(_HTML)}),
-j AS (SELECT page_id, string_agg(CASE {_ENTITY} ELSE t END, '' ORDER BY i) AS h, string_agg(CASE {_ENTITY} WHEN t LIKE '</head>' THEN '{_STYLE}</head>' WHEN t LIKE '<body>' THEN '<body class="{BODY_CLASS}">'
+    "markup_selected_convert": f"WITH {_FLAGGED}, j AS (SELECT page_id, string_agg(CASE WHEN t LIKE '<%' THEN t {ENTITY} WHEN inside THEN translate(t, '{LATIN}', '{TRADITIONAL[: len(LATIN)]}') ELSE t END, '' ORDER BY i) AS h FROM f GROUP BY page_id) SELECT page_id, md5(h) AS digest, length(h) AS chars FROM j",
+    "markup_annotated": rf"""WITH t AS ({token_list(_HTML)}),
+j AS (SELECT page_id, string_agg(CASE {ENTITY} ELSE t END, '' ORDER BY i) AS h, string_agg(CASE {ENTITY} WHEN t LIKE '</head>' THEN '{_STYLE}</head>' WHEN t LIKE '<body>' THEN '<body class="{BODY_CLASS}">'
     WHEN t LIKE '<%' OR t = '&' OR NOT regexp_matches(t, '[a-y]') THEN t
     ELSE array_to_string(list_transform(regexp_extract_all(t, '[a-y]+|[^a-y]+'), lambda r: {_RUBY}), '') END, '' ORDER BY i) AS a FROM t GROUP BY page_id)
 SELECT page_id, md5(a) AS annotated, md5(h) AS back, md5(h) AS plain FROM j""",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glyphmill.queries import books, conversion, markup, modes
+from glyphmill.queries import books, conversion, library, markup, modes
 
-QUERIES = conversion.QUERIES | books.QUERIES | markup.QUERIES | modes.QUERIES
-ORACLE_SQL: dict[str, str] = conversion.ORACLE_SQL | books.ORACLE_SQL | markup.ORACLE_SQL | modes.ORACLE_SQL
+QUERIES = conversion.QUERIES | books.QUERIES | markup.QUERIES | modes.QUERIES | library.QUERIES
+ORACLE_SQL: dict[str, str] = conversion.ORACLE_SQL | books.ORACLE_SQL | markup.ORACLE_SQL | modes.ORACLE_SQL | library.ORACLE_SQL
