@@ -5,8 +5,9 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from difflib import SequenceMatcher
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +50,8 @@ DIGITS = "".join(map(chr, range(0xFDD5, 0xFDDF)))
 _NONCHARACTER = re.compile("[\ufdd0-\ufdef]")
 #: Largest number of phrase keys that go into expressions; each costs one of them.
 NATIVE_KEYS = 200
-#: Units whose conversions a worker remembers.
-REMEMBERED = 500_000
+#: Units whose conversions a worker remembers, and the longest of them.
+REMEMBERED, LONGEST_UNIT = 500_000, 64
 
 
 # ---- in expressions --------------------------------------------------------------------------------------
@@ -155,6 +156,27 @@ def claims(text: str, tables: list[list[Tier]]) -> tuple[list[tuple[int, int, En
     return sorted(found, key=lambda c: c[0]), gaps
 
 
+#: Up to so many first characters, what may follow each is looked for; beyond it what may follow any.
+FEW_STARTS = 64
+
+
+def possible_keys(keys: Iterable[str]) -> re.Pattern[str] | None:
+    """Finds something wherever one of the keys may be: a single key, or how longer ones begin and go on. None without keys."""
+    listed = lambda chars: f"[{''.join(map(re.escape, sorted(chars)))}]"
+    single, follow = set(), {}
+    for key in filter(None, keys):
+        if len(key) == 1:
+            single.add(key)
+        else:
+            follow.setdefault(key[0], set()).add(key[1])
+    if len(follow) > FEW_STARTS:
+        pairs = [listed(follow) + listed(set().union(*follow.values()))]
+    else:
+        pairs = [re.escape(first) + listed(seconds) for first, seconds in sorted(follow.items())]
+    either = ([listed(single)] if single else []) + pairs
+    return re.compile("|".join(either)) if either else None
+
+
 def forward_pieces(text: str, keys: frozenset[str], longest: int) -> Iterator[str]:
     """Forward maximum matching: keys, and runs of what no key starts."""
     start = at = 0
@@ -184,6 +206,15 @@ def merge_spans(spans: list[tuple]) -> list[tuple]:
     return out
 
 
+class Quick(NamedTuple):
+    """A stage made ready for text alone: tables, their last single characters, where longer keys may be, all single ones."""
+
+    tables: list[list[Tier]]
+    last: dict[int, str]
+    longer: re.Pattern[str] | None
+    singles: dict[int, str]
+
+
 class Runner:
     """A program made ready to run on strings, once for each worker."""
 
@@ -197,6 +228,7 @@ class Runner:
         self.chained = [Runner(q, segmenter) for q in p.chained]
         self.pivot = Runner(p.pivot, segmenter) if p.pivot else None
         self.longest = max(map(len, p.segment_keys or ()), default=0)
+        self.cutting = possible_keys(p.segment_keys or ())
         self.segmenter = segmenter
 
     def _stage(self, text: str, tables: list, events: list | None) -> tuple[str, list]:
@@ -210,23 +242,27 @@ class Runner:
         return "".join((*parts, text[at:])), found
 
     @staticmethod
-    def _quick(tables: list[list[Tier]]) -> tuple[list[list[Tier]], dict[int, str]]:
-        """A stage's tables without a last tier of single characters, and that tier to translate with."""
+    def _quick(tables: list[list[Tier]]) -> Quick:
+        """A stage's tables without a last tier of single characters, and that tier to translate with.
+
+        Where no longer key can be, all single characters together are translated, those of earlier tables first.
+        """
+        longer = possible_keys(k for tiers_ in tables for n, keys, _ in tiers_ if n > 1 for k in keys)
+        singles = {ord(k): e.target for tiers_ in reversed(tables) for n, keys, _ in tiers_ if n == 1 for k, e in keys.items()}
         last = tables[-1][-1:] if tables else []
         if not last or last[0][0] != 1:
-            return tables, {}
-        return [*tables[:-1], tables[-1][:-1]], {ord(k): e.target for k, e in last[0][1].items()}
+            return Quick(tables, {}, longer, singles)
+        return Quick([*tables[:-1], tables[-1][:-1]], {ord(k): e.target for k, e in last[0][1].items()}, longer, singles)
 
     @staticmethod
-    def _apply(text: str, quick: tuple[list[list[Tier]], dict[int, str]]) -> str:
-        tables, table = quick
-        if not any(tables):
-            return text.translate(table)
-        found, parts, at = claims(text, tables)[0], [], 0
+    def _apply(text: str, quick: Quick) -> str:
+        if quick.longer is None or not quick.longer.search(text):
+            return text.translate(quick.singles)
+        found, parts, at = claims(text, quick.tables)[0], [], 0
         for start, end, entry in found:
-            parts += [text[at:start].translate(table), entry.target]
+            parts += [text[at:start].translate(quick.last), entry.target]
             at = end
-        return "".join((*parts, text[at:].translate(table)))
+        return "".join((*parts, text[at:].translate(quick.last)))
 
     def _unit(self, unit: str) -> str:
         parts = []
@@ -253,7 +289,9 @@ class Runner:
                     if (found := known.get(unit)) is None:
                         if len(known) > REMEMBERED:
                             known.clear()
-                        found = known[unit] = self._unit(unit)
+                        found = self._unit(unit)
+                        if len(unit) <= LONGEST_UNIT:
+                            known[unit] = found
                     units[i] = found
             text = "".join(units)
         return self.p.post(text) if self.p.post else text
@@ -275,7 +313,9 @@ class Runner:
                 events = []
                 for segment in self._segments(unit):
                     self._segment(segment, 0, events)
-                found = self.counted[unit] = brief(events)
+                found = brief(events)
+                if len(unit) <= LONGEST_UNIT:
+                    self.counted[unit] = found
             for key, n in found.items():
                 total[key] += n * times
         return total
@@ -283,7 +323,9 @@ class Runner:
     def _segments(self, unit: str) -> list[str]:
         if self.segmenter:
             return self.segmenter(unit)
-        return list(forward_pieces(unit, self.p.segment_keys, self.longest)) if self.p.segment_keys else [unit]
+        if self.cutting is None or not self.cutting.search(unit):
+            return [unit]
+        return list(forward_pieces(unit, self.p.segment_keys, self.longest))
 
     def _segment(self, text: str, offset: int, events: list) -> tuple[str, list[tuple]]:
         if not self.stages:
@@ -355,6 +397,83 @@ class Runner:
         return out, spans
 
 
+class Several:
+    """Programs that run over the same texts: units are cut and remembered once, and stages that begin alike run once."""
+
+    def __init__(self, programs: Sequence[Program]):
+        self.runners = [Runner(p) for p in programs]
+        self.alone = [bool(p.chained or p.pivot) for p in programs]
+        together = [k for k, alone in enumerate(self.alone) if not alone]
+        self.groups: list[tuple[list[int], dict[str, tuple[str, ...]]]] = []  # of one normalization, with known units
+        for k in together:
+            own = next((g for g, _ in self.groups if programs[g[0]].normalize == programs[k].normalize), None)
+            if own is None:
+                self.groups.append(([k], {}))
+            else:
+                own.append(k)
+        #: For each program the number of its segmentation and of every beginning of its stages; equal ones have one number.
+        self.cuts = [next(j for j in range(k + 1) if programs[j].segment_keys == programs[k].segment_keys) for k in range(len(programs))]
+        begin = lambda k, n: next((j, n) for j in range(k + 1) if programs[j].stages[:n] == programs[k].stages[:n])
+        self.begins = [[begin(k, n) for n in range(1, len(p.stages) + 1)] for k, p in enumerate(programs)]
+
+    def _unit(self, unit: str, group: list[int]) -> tuple[str, ...]:
+        segments: dict[int, list[str]] = {}
+        done: dict[tuple, list[str]] = {}
+        out = []
+        for k in group:
+            runner, cut = self.runners[k], self.cuts[k]
+            if cut not in segments:
+                segments[cut] = runner._segments(unit)
+            now = segments[cut]
+            for begin, quick in zip(self.begins[k], runner.quick[len(runner.normalize) :]):
+                if (cut, begin) not in done:
+                    done[cut, begin] = [runner._apply(s, quick) for s in now]
+                now = done[cut, begin]
+            out.append("".join(now))
+        return tuple(out)
+
+    def texts(self, text: str) -> list[str]:
+        """The text by every program, in their order."""
+        out = [r.text(text) if alone else "" for r, alone in zip(self.runners, self.alone)]
+        for group, known in self.groups:
+            first, plain = self.runners[group[0]], text
+            for quick in first.quick[: len(first.normalize)]:
+                plain = first._apply(plain, quick)
+            units = _SPLIT.split(plain)
+            rows = []
+            for unit in units[::2]:
+                if (found := known.get(unit)) is None:
+                    if len(known) > REMEMBERED // len(group):
+                        known.clear()
+                    found = self._unit(unit, group)
+                    if len(unit) <= LONGEST_UNIT:
+                        known[unit] = found
+                rows.append(found)
+            for k, column in zip(group, zip(*rows)):
+                units[::2] = column
+                done = "".join(units)
+                post = self.runners[k].p.post
+                out[k] = post(done) if post else done
+        return out
+
+
+def convert_all(text: Column, programs: Sequence[Program]) -> Column:
+    """struct of a text by several programs, by their names, in one Arrow UDF; null fields for null."""
+    names = [p.name for p in programs]
+    kind = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    ready: list[Several] = []
+
+    @F.arrow_udf(kind)
+    def run(values: pa.Array) -> pa.Array:
+        if not ready:
+            ready.append(Several(programs))
+        none = [None] * len(names)
+        rows = [none if v is None else ready[0].texts(v) for v in values.to_pylist()]
+        return pa.StructArray.from_arrays([pa.array(c, type=pa.string()) for c in (zip(*rows) if rows else [[]] * len(names))], names=names)
+
+    return run(text)
+
+
 def _arrow_udf(kind: T.DataType | str, p: Program, each: Callable, segmenter: Callable[[str], list[str]] | None = None) -> Callable[[Column], Column]:
     """An Arrow UDF of one text column: each(runner, value) for every value that is not null."""
     out = T.DataType.fromDDL(kind) if isinstance(kind, str) else kind

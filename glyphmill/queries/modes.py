@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glyphmill.functions.rewrite import convert, counted_events
+from glyphmill.functions.rewrite import convert, convert_all, counted_events
 from glyphmill.functions.words import segmenter, words_of
 from glyphmill.operators import convert as C
 from glyphmill.operators import words as W
@@ -46,15 +46,21 @@ def _digest(text):
     return F.md5(text.cast("binary"))
 
 
+def _converted(given, text, modes):
+    """Digests of texts by several modes, which one UDF gives."""
+    found = given.select("doc_id", convert_all(F.col(text), [program(m, catalog) for m in modes]).alias("c"))
+    return found.select("doc_id", *[_digest(F.col("c")[m]).alias(m) for m in modes])
+
+
 def modes_forward(spark, sf_dir):
     """Digests of the texts in the traditional forms of each region, with and without regional phrases."""
-    return _texts(spark, sf_dir).select("doc_id", *[_digest(convert(F.col("h"), program(m, catalog))).alias(m) for m in FORWARD])
+    return _converted(_texts(spark, sf_dir), "h", FORWARD)
 
 
 def modes_back(spark, sf_dir):
     """Digests of Taiwan texts brought to simplified, Japanese and Hong Kong forms; the last is two modes in turn."""
     given = _texts(spark, sf_dir).select("doc_id", convert(F.col("h"), program("s2twp", catalog)).alias("t"))
-    return given.select("doc_id", *[_digest(convert(F.col("t"), program(m, catalog))).alias(m) for m in BACK])
+    return _converted(given, "t", BACK)
 
 
 def modes_pivot(spark, sf_dir):

@@ -7,8 +7,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from glyphmill.functions.rewrite import Runner, convert, fits_natively, in_arrow
+from glyphmill.functions.rewrite import Runner, Several, convert, convert_all, fits_natively, in_arrow
 from glyphmill.plans.program import MODES, SEPARATORS, Dictionary, Program, compatibility_ideographs, from_config, program, union
+from glyphmill.queries import modes as M
 from glyphmill.sources.dictionaries import catalog as read_catalog
 from glyphmill.sources.dictionaries import read_dictionaries
 
@@ -154,3 +155,17 @@ def test_dictionaries_and_configurations_are_read_from_files(spark, tmp_path):
     assert not read_catalog(spark, str(tmp_path), missing="skip")("Absent").entries
     rows = {(r["dict_name"], r["key"]): r for r in read_dictionaries(spark, str(tmp_path)).collect()}
     assert rows["Phrases", "亮氨酸"]["candidates"] == ["白胺酸", "亮胺酸"] and rows["Characters", "爲"]["key_len"] == 1
+
+
+def test_several_modes_at_once_are_the_modes_one_by_one(spark):
+    rng = random.Random(4)
+    chars = "后发干里面云台系谷松曲斗卷只这个 ，ab\n裡臺麵狀態中﨑"
+    texts = ["".join(rng.choice(chars) for _ in range(rng.randint(0, 60))) for _ in range(200)] + ["后" * 500, ""]
+    programs = [program(m, M.catalog) for m in MODES] + [program("s2t", M.catalog, force_pivot=True, post=lambda s: s[::-1])]
+    several, single = Several(programs), [Runner(p) for p in programs]
+    for text in texts * 2:
+        assert several.texts(text) == [r.text(text) for r in single]
+    df = spark.createDataFrame([(t,) for t in [*texts[:5], None]], "t string")
+    rows = df.select("t", convert_all(F.col("t"), programs[:4]).alias("c")).select("t", "c.*").collect()
+    for r in rows:
+        assert list(r)[1:] == ([None] * 4 if r["t"] is None else [x.text(r["t"]) for x in single[:4]])
