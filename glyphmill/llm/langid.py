@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import id_bucket, text_or_empty
+from glyphmill.llm.common import id_bucket, staged, text_or_empty
 
 #: Rows with this remainder of crc32(doc_id) are held out of training.
 HELD_OUT, FOLDS = 2, 4
-#: Bounds of the training sample: languages (the most frequent ones), documents in all (shared by the languages, the
-#: first of each by a hash of their id), and characters of lines from each document (drawn from its whole text).
-TRAIN_LANGUAGES, TRAIN_DOCS, TRAIN_CHARS = 64, 1600, 20_000
+#: Bounds of the training sample: documents, shared by all languages that occur (the first of each by a hash of their
+#: id), but not fewer than some for each language; and characters of lines from each document, drawn from its whole text.
+TRAIN_DOCS, LEAST_DOCS, TRAIN_CHARS = 1600, 12, 20_000
+#: Languages up to which their limits, and the ids chosen, are broadcast: at most LEAST_DOCS for each beyond TRAIN_DOCS.
+BROADCAST_LANGUAGES = 20_000
 SPLICED, SPLICE_WORDS, BATCH, RATE, DECAY = 24_000, (3, 25), 256, 0.25, 1e-6
 TABLE_BITS = 16
 LEXICON_LEAST, LEXICON_MOST = 3, 20_000
@@ -331,19 +333,21 @@ def _emit_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def training_lines(docs: DataFrame) -> list[tuple[str, str]]:
-    """(language, lines) of a bounded sample: ids are chosen first by their hash alone, then only their texts are read."""
+    """(language, lines) of a sample bounded for each language: ids are chosen first by their hash, then their texts are read."""
     usable = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (id_bucket(F.col("doc_id"), FOLDS) != HELD_OUT)).select("doc_id", "lang")
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(TRAIN_LANGUAGES).collect()}
-    if not counts:
+    counts = staged(usable.groupBy("lang").agg(F.count("*").alias("rows")), "langid-counts")
+    if not (languages := counts.count()):
         return []
-    each = TRAIN_DOCS // len(counts)
+    each = max(LEAST_DOCS, TRAIN_DOCS // languages)
     place = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 40))
     # Twice as many as are wanted are expected below the limit, so that as good as never too few are.
-    limits = F.create_map(*[F.lit(x) for name, n in sorted(counts.items()) for x in (name, min(1 << 40, (2 * each << 40) // n + 1))])
-    near = usable.select("doc_id", "lang", place.alias("h")).filter(F.col("h") < limits[F.col("lang")]).distinct()
+    limit = F.least(F.lit(1 << 40), F.floor(F.lit(float(2 * each << 40)) / F.col("rows")) + 1)
+    limits = counts.select("lang", limit.alias("limit"))
+    limits = F.broadcast(limits) if languages <= BROADCAST_LANGUAGES else limits
+    near = usable.select("doc_id", "lang", place.alias("h")).join(limits, "lang").filter("h < limit").select("doc_id", "lang", "h").distinct()
     first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = near.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= each).select("doc_id", "lang")  # at most TRAIN_DOCS ids
-    texts = docs.select("doc_id", "lang", text_or_empty().alias("text")).join(F.broadcast(chosen), ["doc_id", "lang"])
+    chosen = near.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= each).select("doc_id", "lang")
+    texts = docs.select("doc_id", "lang", text_or_empty().alias("text")).join(F.broadcast(chosen) if languages <= BROADCAST_LANGUAGES else chosen, ["doc_id", "lang"])
     one = texts.groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
     found = one.mapInArrow(_emit_lines, "lang string, text string").collect()
     return sorted((r["lang"], r["text"]) for r in found)

@@ -254,3 +254,16 @@ def test_toxic_prior_is_that_of_all_labels(spark, monkeypatch):
     used = [r for r in labels.collect() if crc32(str(r["doc_id"]).encode()) % toxicity.FOLDS != toxicity.HELD_OUT]
     yes = sum(r["toxic"] for r in used)
     assert not weights and abs(bias - math.log(yes / (len(used) - yes))) < 0.05
+
+
+def test_every_language_is_learned_however_many(spark):
+    """70 languages of words of their own, some of few documents: none is left out of training or prediction."""
+    letters = "bcdfghjklmnpqrstvwxz"
+    word = lambda k, i: letters[k % 20] + "aeiou"[k // 20 % 5] + letters[(k * 7 + i) % 20] + "aeiou"[i % 5] + letters[k // 4 % 20] + "aeiou"[(k + i) % 5]
+    rows = [(70 * d + k, " ".join(word(k, (d * 5 + j) % 11) for j in range(12)), f"l{k:02}") for k in range(70) for d in range(8 if k < 60 else 16)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len({name for name, _ in langid.training_lines(docs)}) == 70
+    want = {d: name for d, _, name in rows}
+    found = langid.language_predictions(docs).collect()
+    right = [r["lang_pred"] == want[r["doc_id"]] for r in found if r["held_out"]]
+    assert len(right) > 100 and sum(right) > 0.9 * len(right) and len({r["lang_pred"] for r in found}) == 70
