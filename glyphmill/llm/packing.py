@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphmill.llm.common import Remembered, staged, text_or_empty
+from glyphmill.llm.common import Remembered, lean, staged, text_or_empty
 
 WINDOW = 1024
 OPEN_WINDOWS = 128
@@ -240,7 +240,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, open_window
     gets that token's id, as the tokenizer gives it.
     """
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    pieces = staged(given.mapInArrow(_pack(tokenizer_path, window, open_windows), PIECES), "pieces")
+    pieces = staged(given.mapInArrow(lean(_pack(tokenizer_path, window, open_windows)), PIECES), "pieces")
     final = pieces.filter(F.col("open_fill").isNull()).drop("open_fill")
     still = pieces.filter(F.col("open_fill").isNotNull())
     held = still.groupBy(F.col("sequence_id").alias("held")).agg(F.max("open_fill").alias("fill"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import id_bucket, staged, text_or_empty
+from glyphmill.llm.common import id_bucket, lean, staged, text_or_empty
 
 #: Rows with this remainder of crc32(doc_id) are held out of training.
 HELD_OUT, FOLDS = 2, 4
@@ -71,7 +71,7 @@ def _emit_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def fit_trigrams(docs: DataFrame) -> np.ndarray:
     """log P(c | a, b) of letters, from all texts: each partition counts, the sums come by trigram."""
     counts = np.zeros(LETTERS**3)
-    found = docs.select(text_or_empty().alias("text")).mapInArrow(_emit_trigrams, "i long, n long")
+    found = docs.select(text_or_empty().alias("text")).mapInArrow(lean(_emit_trigrams), "i long, n long")
     for r in found.groupBy("i").agg(F.sum("n").alias("n")).collect():
         counts[r["i"]] = r["n"]
     tri = counts.reshape(LETTERS, LETTERS, LETTERS)
@@ -220,7 +220,7 @@ def fit_words(docs: DataFrame, labels: DataFrame, lm: list) -> tuple[float, dict
     first = [hashed.filter(F.col("toxic") == k).orderBy("h", "doc_id").limit(TRAIN_ROWS).select("doc_id", "toxic") for k in (0, 1)]
     chosen = first[0].unionByName(first[1])  # at most 2 * TRAIN_ROWS ids: a bounded side to broadcast
     texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text")
-    rows = staged(texts.mapInArrow(_emit_features(lm), "toxic int, features array<string>, counts array<long>, words long"), "toxicity-sample")
+    rows = staged(texts.mapInArrow(lean(_emit_features(lm)), "toxic int, features array<string>, counts array<long>, words long"), "toxicity-sample")
     totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if len(totals) < 2:
         return (50.0 if 1 in totals else -50.0), {}
@@ -328,7 +328,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts, null ids and repeated rows are kept or go by the same rule; an empty table stays empty.
     """
     lm, model = fit(docs, labels)
-    return docs.mapInArrow(_keep_clean(lm, model, docs.columns.index("text")), docs.schema)
+    return docs.mapInArrow(lean(_keep_clean(lm, model, docs.columns.index("text"))), docs.schema)
 
 
 def op5_toxicity_viterbi(spark, sf_dir):
