@@ -311,7 +311,8 @@ class Markup:
     """How a part is rewritten: styles of text, attributes, annotation, and what of it is converted.
 
     quotes and orientation as in functions.text.restyle; source: "book" or "file" (all of it) or "selection" (what
-    stands between the selection comments); font_css: declarations of a style block for all text, if any.
+    stands between the selection comments); font_css: declarations of a style block for all text, if any; segmenter:
+    what cuts the units of conversion, if not the program's own keys.
     """
 
     program: Program = NO_CONVERSION
@@ -323,6 +324,7 @@ class Markup:
     annotation: str | None = None
     source: str = "book"
     font_css: str | None = None
+    segmenter: Callable[[str], list[str]] | None = None
 
     @property
     def converts(self) -> bool:
@@ -354,7 +356,7 @@ def rewriter(m: Markup) -> Callable[[str], str]:
     Only text nodes are converted: never style or script, entities, comments or declarations. End tags come out in
     lower case and entities with their semicolon. Text between two tags or entities is one unit of conversion.
     """
-    runner, restyle, annotates = Runner(m.program), _restyler(m), bool(m.annotation) and m.converts
+    runner, restyle, annotates = Runner(m.program, m.segmenter), _restyler(m), bool(m.annotation) and m.converts
     styles = []
     if annotates:
         styles.append(f'<style type="text/css" id="{ANNOTATION_STYLE_ID}">' + "".join(f"{k}{{{v}}}" for k, v in ANNOTATION_RULES.items()) + "</style>")

@@ -67,7 +67,7 @@ def _rewrite(o: BookOptions):
         return P.without_links(text, name, gone) if gone else text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready = (rewriter(markup), Runner(o.markup.program).text)
+        ready = (rewriter(markup), Runner(o.markup.program, o.markup.segmenter).text)
         for batch in batches:
             for i in range(batch.num_rows):
                 book, name, mime, content, gone, has_rule = (batch.column(k)[i].as_py() for k in range(6))
