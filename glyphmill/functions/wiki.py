@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glyphmill.functions.markup import per_text
+from glyphmill.functions.batches import per_row, per_text, text_fields
 from glyphmill.plans import wiki
 from glyphmill.plans.wiki import FALLBACKS, Tables
 
@@ -23,6 +23,17 @@ def convert(text: Column, tables: Tables, locale: str, rules: Mapping[str, str]
     return per_text(lambda: found.run, "string", pa.string())(text)
 
 
+def convert_each(text: Column, tables: Tables, ways: Mapping[str, tuple[str, Mapping[str, str] | None]]) -> Column:
+    """struct of a text by several locales with rules (ways: both by name), in one Arrow UDF; null fields for null."""
+
+    def make() -> Callable[[str | None], tuple]:
+        same = lambda locale: locale == "zh" or locale not in FALLBACKS
+        runs = [str if same(locale) else wiki.matcher(tables, locale, rules).run for locale, rules in ways.values()]
+        return lambda v: tuple(None if v is None else run(v) for run in runs)
+
+    return per_row(make, *text_fields(ways))(text)
+
+
 def convert_markup(text: Column, tables: Tables, locale: str, rules: Mapping[str, str] | None = None) -> Column:
     """Text with its inline rules applied; null stays null."""
     return per_text(lambda: lambda v: wiki.convert_markup(v, tables, locale, rules), "string", pa.string())(text)

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphmill.functions.batches import Remembered, give_back  # noqa: F401
+
 _WRITTEN: list[tuple[object, str]] = []
 #: Ids that a join by doc_id broadcasts at most: 16 MB of longs, some 100 MB as a table in memory. More are shuffled.
 BROADCAST_IDS = 2_000_000
@@ -61,32 +63,6 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-class Remembered(dict):
-    """What a worker has worked out, by string, within some bytes: when half of them are full, the older half goes.
-
-    make(key) gives what is not there yet; size(value) is a value's bytes, about. Keys of over `longest` characters are
-    worked out each time.
-    """
-
-    def __init__(self, make: Callable[[str], object], size: Callable[[object], int], most: int, longest: int = 64):
-        super().__init__()
-        self.make, self.size, self.most, self.longest = make, size, most, longest
-        self.older: dict[str, object] = {}
-        self.held = 0
-
-    def __missing__(self, key: str) -> object:
-        if len(key) > self.longest:
-            return self.make(key)
-        if (found := self.older.get(key)) is None:
-            found = self.make(key)
-        self.held += 200 + 2 * len(key) + self.size(found)
-        if self.held > self.most // 2:
-            self.older, self.held = dict(self), 0
-            self.clear()
-        self[key] = found
-        return found
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """Batches cut to a few rows each, so that what is made of one at once stays small beside it."""
     for batch in batches:
@@ -95,13 +71,13 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
 
 
 def lean(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A kernel of mapInArrow after which the worker, which stays for other tasks, gives back what Arrow holds unused."""
+    """A kernel of mapInArrow after which the worker, which stays for other tasks, gives back what it holds unused."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from kernel(batches)
         finally:
-            pa.default_memory_pool().release_unused()
+            give_back()
 
     return run
 

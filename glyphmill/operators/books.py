@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import package as P
 from glyphmill.functions import styles as S
+from glyphmill.functions.batches import per_row
 from glyphmill.functions.markup import Markup, rewriter
 from glyphmill.functions.notes import numbered_marker, with_note
 from glyphmill.functions.rewrite import Runner
@@ -87,11 +88,7 @@ BROADCAST_ROWS = 500_000
 def part_links(parts: DataFrame) -> DataFrame:
     """(book, part_name, target): the parts that text, style, package and contents parts point to, each once."""
 
-    @F.arrow_udf("array<string>")
-    def targets(names: pa.Array, contents: pa.Array) -> pa.Array:
-        found = [sorted(P.links((c or b"").decode("utf-8", "replace"), n)) for n, c in zip(names.to_pylist(), contents.to_pylist())]
-        return pa.array(found, type=pa.list_(pa.string()))
-
+    targets = per_row(lambda: lambda name, data: sorted(P.links((data or b"").decode("utf-8", "replace"), name)), "array<string>", pa.list_(pa.string()))
     written = parts.filter(F.col("mime").isin(*TEXT_TYPES, *STYLE_TYPES, *TITLES, PACKAGE))
     return written.select("book", "part_name", F.explode(targets("part_name", "content")).alias("target"))
 
@@ -151,15 +148,14 @@ def font_report(parts: DataFrame) -> DataFrame:
     """(book, families, embedded, simplified): families named in style sheets and style elements, and those with a face of their own."""
     kind = pa.list_(pa.struct([("family", pa.string()), ("embedded", pa.bool_())]))
 
-    @F.arrow_udf("array<struct<family:string,embedded:boolean>>")
-    def uses(names: pa.Array, contents: pa.Array) -> pa.Array:
-        block, out = re.compile(r"(?is)<style\b[^>]*>(.*?)</style>"), []
-        for name, data in zip(names.to_pylist(), contents.to_pylist()):
-            text = (data or b"").decode("utf-8", "replace")
-            sheets = [text] if (name or "").lower().endswith(".css") else block.findall(text)
-            out.append([{"family": f, "embedded": e} for s in sheets for f, e in S.font_uses(s)])
-        return pa.array(out, type=kind)
+    block = re.compile(r"(?is)<style\b[^>]*>(.*?)</style>")
+
+    def found(name: str | None, data: bytes | None) -> list[dict]:
+        text = (data or b"").decode("utf-8", "replace")
+        sheets = [text] if (name or "").lower().endswith(".css") else block.findall(text)
+        return [{"family": f, "embedded": e} for s in sheets for f, e in S.font_uses(s)]
 
+    uses = per_row(lambda: found, "array<struct<family:string,embedded:boolean>>", kind)
     styled = parts.filter(F.lower("part_name").rlike(r"\.(?:css|html|htm|xhtml|xml)$"))
     each = styled.select("book", F.explode(uses("part_name", "content")).alias("u")).select("book", F.lower("u.family").alias("key"), "u.*")
     one = each.groupBy("book", "key").agg(F.min("family").alias("family"), F.max("embedded").alias("embedded"))
@@ -177,14 +173,10 @@ def image_references(parts: DataFrame) -> DataFrame:
     """
     kind = pa.list_(pa.struct([("link", pa.string()), ("near", pa.string()), ("plain", pa.string())]))
 
-    @F.arrow_udf("array<struct<link:string,near:string,plain:string>>")
-    def links(names: pa.Array, contents: pa.Array) -> pa.Array:
-        out = []
-        for name, data in zip(names.to_pylist(), contents.to_pylist()):
-            found = P.image_links((data or b"").decode("utf-8", "replace"))
-            out.append([{"link": x, "near": P.resolved(name, x), "plain": P.resolved("", x)} for _, _, x in found])
-        return pa.array(out, type=kind)
+    def found(name: str, data: bytes | None) -> list[dict]:
+        return [{"link": x, "near": P.resolved(name, x), "plain": P.resolved("", x)} for _, _, x in P.image_links((data or b"").decode("utf-8", "replace"))]
 
+    links = per_row(lambda: found, "array<struct<link:string,near:string,plain:string>>", kind)
     each = parts.filter(F.col("mime").isin(*TEXT_TYPES)).select("book", "part_name", F.posexplode(links("part_name", "content")).alias("seq", "l")).select("book", "part_name", "seq", "l.*")
     names = lambda book, name: parts.select(F.col("book").alias(book), F.col("part_name").alias(name))
     near = each.join(names("_near_book", "_near"), (F.col("book") == F.col("_near_book")) & (F.col("near") == F.col("_near")), "left")
@@ -202,13 +194,10 @@ def label_images(parts: DataFrame, recognized: DataFrame) -> DataFrame:
     texts = wanted.join(recognized.filter("text <> ''").groupBy("book", "image").agg(F.min("text").alias("text")), ["book", "image"])
     texts = texts.groupBy("book", "part_name").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("image", "text")))).alias("_texts")).persist()
 
-    @F.arrow_udf("binary")
-    def put(names: pa.Array, contents: pa.Array, maps: pa.Array) -> pa.Array:
-        out = []
-        for name, data, found in zip(names.to_pylist(), contents.to_pylist(), maps.to_pylist()):
-            out.append(data if data is None or not found else P.labelled(data.decode("utf-8", "replace"), name, dict(found)).encode("utf-8"))
-        return pa.array(out, type=pa.binary())
+    def put_in(name: str, data: bytes | None, found: list[tuple] | None) -> bytes | None:
+        return data if data is None or not found else P.labelled(data.decode("utf-8", "replace"), name, dict(found)).encode("utf-8")
 
+    put = per_row(lambda: put_in, "binary", pa.binary())
     is_text = F.col("mime").isin(*TEXT_TYPES)
     others, pages = parts.filter(~is_text | F.col("mime").isNull()), parts.filter(is_text).join(F.broadcast(texts) if texts.count() <= BROADCAST_ROWS else texts, ["book", "part_name"], "left")
     return others.unionByName(pages.withColumn("content", put("part_name", "content", "_texts")).select(*parts.columns))

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphmill.functions.batches import per_text
 from glyphmill.functions.rewrite import convert, convert_array, details, fits_natively
 from glyphmill.plans.program import Program
 
@@ -79,10 +80,7 @@ def char_positions(df: DataFrame, id_column: str, column: str, chars: str, aroun
     def find(text: str) -> list[dict]:
         return [{"i": (i := m.start()), "char": m[0], "context": text[max(0, i - around) : i + around + 1]} for m in wanted.finditer(text)]
 
-    @F.arrow_udf("array<struct<i:int,char:string,context:string>>")
-    def found(values: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else find(v) for v in values.to_pylist()], type=kind)
-
+    found = per_text(lambda: find, "array<struct<i:int,char:string,context:string>>", kind)
     return df.select(id_column, F.explode(found(F.col(column))).alias("_hit")).select(id_column, "_hit.*")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from glyphmill.functions import notes as N
 from glyphmill.functions import styles as S
 from glyphmill.functions import text as T
-from glyphmill.functions.markup import per_text
+from glyphmill.functions.batches import per_text
 from glyphmill.operators import books as B
 from glyphmill.operators import convert as C
 from glyphmill.operators import dictionaries as D
