@@ -1,5 +1,7 @@
-"""Near copies by word shingles: MinHash bands find candidates, the Jaccard similarity of whole shingle sets decides.
+"""Near copies: SimHash and MinHash find candidates, the Jaccard similarity of whole shingle sets decides.
 
+SimHash fingerprints at two or fewer differing bits are linked through Golay-code fuzzy keys, as op9 links them; texts of
+one component of these links are a bucket. Texts at similarity 0.8 mostly differ in more bits, so MinHash adds buckets.
 A band is the least values of a few hash functions; two sets of similarity s share a given band with chance
 s ** ROWS, so at 0.8 all BANDS bands miss a pair once in two million, and pairs far below rarely meet. Texts that
 share a band are compared by their whole sets, so no text is linked by chance.
@@ -22,7 +24,7 @@ from xxhash import xxh64_intdigest
 
 from glyphmill.llm.common import BROADCAST_IDS, by_ids, lean, shuffle_partitions, slices, staged, text_or_empty
 from glyphmill.llm.components import component_roots
-from glyphmill.llm.simhash import SEED, shingles
+from glyphmill.llm.simhash import SEED, fingerprint_links, shingles, simhash
 
 WIDTH, LEAST = 5, 0.8
 ROWS, BANDS = 6, 48
@@ -60,13 +62,15 @@ def band_keys(found: np.ndarray) -> list[int]:
 def _emit_bands(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            fps, sizes, keys = [], [], []
+            fps, sizes, keys, sims = [], [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingle_set(text, width)
                 fps.append(set_fingerprint(found))
                 sizes.append(len(found))
                 keys.append(band_keys(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, type=pa.int64()), pa.array(sizes, type=pa.int64()), pa.array(keys, type=pa.list_(pa.int64()))], names=["doc_id", "fp", "size", "keys"])
+                sims.append(simhash(text))
+            columns = [batch.column(0), *(pa.array(x, type=pa.int64()) for x in (fps, sizes)), pa.array(keys, type=pa.list_(pa.int64())), pa.array(sims, type=pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "fp", "size", "keys", "sim"])
 
     return run
 
@@ -206,6 +210,14 @@ def rare_units(sets: DataFrame, roots: DataFrame, least: float = LEAST, block: i
     return dealt.select("key", F.explode(blocks).alias("block"), "fp")
 
 
+def fuzzy_buckets(own: DataFrame) -> DataFrame:
+    """(fp, size, key) of texts with words (fp, size, sim): key is the component of SimHash links that sim is in."""
+    sims = own.filter("size > 0").groupBy("fp").agg(F.first("size").alias("size"), F.min("sim").alias("sim"))
+    roots = staged(component_roots(fingerprint_links(sims.select(F.col("sim").alias("fp")).distinct())), "near-fuzzy")
+    linked = _joined(sims, roots.withColumnRenamed("node", "sim"), "sim", "left")
+    return linked.select("fp", "size", F.xxhash64(F.lit("sim"), F.coalesce("root", "sim")).alias("key"))
+
+
 def near_copy_components(docs: DataFrame, width: int = WIDTH, least: float = LEAST, block: int = BLOCK) -> DataFrame:
     """One row per document: doc_id, fp (of its shingle set), component_id.
 
@@ -214,14 +226,14 @@ def near_copy_components(docs: DataFrame, width: int = WIDTH, least: float = LEA
     rows stay repeated; a null doc_id keeps its row and never names a component unless all of its members are
     null; further columns are ignored. An empty table gives no rows.
 
-    First each text meets, in blocks, others of its largest bucket; representatives of what is linked meet again in
+    Buckets are the components of SimHash links and the MinHash bands. First each text meets, in blocks, others of its largest bucket; representatives of what is linked meet again in
     other blocks while that links more. Then buckets of up to `block` texts that still span components are compared
     whole, and texts of larger ones that do by their rarest shingles.
     """
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    own = staged(given.mapInArrow(lean(_emit_bands(width)), "doc_id long, fp long, size long, keys array<long>"), "near-bands")
+    own = staged(given.mapInArrow(lean(_emit_bands(width)), "doc_id long, fp long, size long, keys array<long>, sim long"), "near-bands")
     nodes = own.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.first("size").alias("size"), F.first("keys").alias("keys"))
-    every = nodes.select("fp", "size", F.explode(F.array_distinct("keys")).alias("key"))
+    every = nodes.select("fp", "size", F.explode(F.array_distinct("keys")).alias("key")).unionByName(fuzzy_buckets(own))
     # Near copies share many bands: buckets of the very same members (by two sums of their hashes) are one.
     same = [F.bit_xor(F.xxhash64(F.lit(i), "fp")).alias(f"same_{i}") for i in (1, 2)]
     buckets = every.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("total"), *same).filter("n > 1")

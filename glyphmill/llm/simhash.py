@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from glyphmill.llm.common import by_ids, shuffle_partitions, staged, text_or_empty
+from glyphmill.llm.common import by_ids, lean, shuffle_partitions, staged, text_or_empty
 from glyphmill.llm.components import component_roots
 
 SEED = 42
@@ -171,7 +171,7 @@ def fingerprint_links(fingerprints: DataFrame, block: int = BLOCK) -> DataFrame:
     its pairs. A bucket of over `block` members is cut into blocks, and each pair of blocks is one unit of work.
     """
     spark = fingerprints.sparkSession
-    keys = fingerprints.select("fp").mapInArrow(_emit_keys, "key long, fp long")
+    keys = fingerprints.select("fp").mapInArrow(lean(_emit_keys), "key long, fp long")
     large = keys.groupBy("key").count().filter(F.col("count") > block).select("key", F.ceil(F.col("count") / block).alias("blocks"))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -182,7 +182,7 @@ def fingerprint_links(fingerprints: DataFrame, block: int = BLOCK) -> DataFrame:
         .select("key", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("block"), "fp")
     )
     sorted_keys = dealt.repartition(shuffle_partitions(spark), "key", "block").sortWithinPartitions("key", "block", "fp")
-    return sorted_keys.mapInArrow(_verify, "a long, b long")
+    return sorted_keys.mapInArrow(lean(_verify), "a long, b long")
 
 
 def _emit_simhash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

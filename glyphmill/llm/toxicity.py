@@ -228,7 +228,7 @@ def fit_words(docs: DataFrame, labels: DataFrame, lm: list) -> tuple[float, dict
     odds = F.col("yes") / totals[1] / ((F.col("n") - F.col("yes") + 1) / (totals[0] + 1))
     least = max(LEAST_ROWS, LEAST_SHARE * totals[1])
     names = frozenset(r["feature"] for r in support.filter((F.col("yes") >= least) & (odds >= LEAST_ODDS)).select("feature").collect())
-    data = rows.mapInArrow(_keep_features(names), "toxic int, features array<string>, values array<double>").groupBy("toxic", "features", "values").count().collect()
+    data = rows.mapInArrow(lean(_keep_features(names)), "toxic int, features array<string>, values array<double>").groupBy("toxic", "features", "values").count().collect()
     columns = sorted({f for r in data for f in r["features"]})
     at = {f: i for i, f in enumerate(columns)}
     x = np.zeros((len(data), len(columns)), dtype=np.float32)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from glyphmill.llm import nearcopies
@@ -120,3 +121,18 @@ def test_blocks_are_cut_by_shingles_too(spark, monkeypatch):
     texts = planted()
     docs = spark.createDataFrame([*texts.items()], "doc_id long, text string").repartition(3)
     assert {r["doc_id"]: r["component_id"] for r in near_copy_components(docs).collect()} == plain_components(texts)
+
+
+def test_simhash_links_are_buckets(spark, monkeypatch):
+    """Texts that only their SimHash brings together, here without any MinHash band, are compared and linked."""
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(4000)]
+    near = words[:3999] + ["other"]
+    assert (nearcopies.simhash(" ".join(words)) ^ nearcopies.simhash(" ".join(near))).bit_count() <= 2
+    monkeypatch.setattr(nearcopies, "band_keys", lambda found: [])
+    kernel = nearcopies._emit_bands
+    own = [(1, " ".join(words)), (2, " ".join(near)), (3, "quite another text of seven words"), (4, ""), (5, None)]
+    batch = nearcopies.pa.RecordBatch.from_pylist([{"doc_id": d, "text": t or ""} for d, t in own])
+    rows = spark.createDataFrame(next(kernel(5)(iter([batch]))).to_pandas()[["fp", "size", "sim"]])
+    keys = [r["key"] for r in nearcopies.fuzzy_buckets(rows).orderBy(F.col("size").desc()).collect()]
+    assert len(keys) == 3 and keys[0] == keys[1] != keys[2]
