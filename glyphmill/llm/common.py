@@ -16,6 +16,9 @@ from glyphmill.functions.batches import Remembered, give_back  # noqa: F401
 _WRITTEN: list[tuple[object, str]] = []
 #: Ids that a join by doc_id broadcasts at most: 16 MB of longs, some 100 MB as a table in memory. More are shuffled.
 BROADCAST_IDS = 2_000_000
+#: Rows of whole texts in an Arrow batch.
+BATCH_ROWS = 1000
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -82,6 +85,16 @@ def lean(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return run
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From here on in this session Arrow batches have BATCH_ROWS rows at most, unless it asks for fewer.
+
+    Spark's 10,000 whole texts in a batch lie several times in the JVM's own buffers and in each Python worker.
+    """
+    now = int(spark.conf.get(_BATCH_ROWS))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(_BATCH_ROWS, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from glyphmill.llm.common import BROADCAST_IDS, by_ids, lean, shuffle_partitions, slices, staged, text_or_empty
+from glyphmill.llm.common import BROADCAST_IDS, by_ids, lean, shuffle_partitions, slices, small_batches, staged, text_or_empty
 from glyphmill.llm.components import component_roots
 from glyphmill.llm.simhash import SEED, fingerprint_links, shingles, simhash
 
@@ -230,6 +230,7 @@ def near_copy_components(docs: DataFrame, width: int = WIDTH, least: float = LEA
     other blocks while that links more. Then buckets of up to `block` texts that still span components are compared
     whole, and texts of larger ones that do by their rarest shingles.
     """
+    small_batches(docs.sparkSession)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     own = staged(given.mapInArrow(lean(_emit_bands(width)), "doc_id long, fp long, size long, keys array<long>, sim long"), "near-bands")
     nodes = own.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.first("size").alias("size"), F.first("keys").alias("keys"))

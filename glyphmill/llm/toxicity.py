@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 from math import exp, log, log2
 
 import numpy as np
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import id_bucket, lean, staged, text_or_empty
+from glyphmill.llm.common import Remembered, id_bucket, lean, slices, small_batches, staged, text_or_empty
 
 #: Rows with this remainder of crc32(doc_id) are held out of training.
 HELD_OUT, FOLDS = 2, 4
@@ -30,7 +30,8 @@ LEAST_SHARE, LEAST_ROWS, LEAST_ODDS = 0.01, 3, 3
 STEM, RATE = 5, 0.02
 #: Weight of the absolute and of the squared coefficients in fitting; rounds of fitting.
 SPARSE, RIDGE, ROUNDS = 2e-4, 1e-4, 400
-REMEMBERED = 100_000
+#: Bytes, about, that a worker remembers of tokens' features.
+REMEMBERED_BYTES = 24 << 20
 
 #: Letters that each sign may stand for.
 LOOK_ALIKE = {
@@ -59,7 +60,7 @@ _SPACED = re.compile(r"(?<!\S)(?:[a-z0-9@$!|*][ ]){2,}[a-z0-9@$!|*](?!\S)")
 
 def _emit_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(LETTERS**3, dtype=np.int64)
-    for batch in batches:
+    for batch in slices(batches):
         for text in batch.column(0).to_pylist():
             c = _CLASS[np.frombuffer(f"  {text}  ".encode(), dtype=np.uint8)]
             c = c[np.concatenate(([True, True], (c[2:] != 0) | (c[1:-1] != 0) | (c[:-2] != 0)))]
@@ -170,24 +171,25 @@ def feature_values(feature: str, count: int, words: int) -> tuple[tuple[str, flo
     return ((feature, min(1.0, count / max(1, words) / RATE)), (feature + "#", min(1.0, log2(count) / 3)))
 
 
+def _remembered(make: Callable[[str], tuple[str, ...]]) -> Remembered:
+    """Features of tokens by token, within bytes."""
+    return Remembered(make, lambda features: 60 + sum(60 + 2 * len(f) for f in features), REMEMBERED_BYTES)
+
+
 def _emit_features(lm: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[str, ...]] = {}
-        for batch in batches:
+        known = _remembered(lambda token: token_features(token, lm))
+        for batch in slices(batches):
             names, counts, sizes = [], [], []
             for text in batch.column(1).to_pylist():
                 found: Counter = Counter()
                 tokens = document_tokens(text)
                 for token, n in tokens.items():
-                    if token not in known:
-                        known[token] = token_features(token, lm)
                     for feature in known[token]:
                         found[feature] += n
                 names.append(list(found))
                 counts.append(list(found.values()))
                 sizes.append(tokens.total())
-                if len(known) > REMEMBERED:
-                    known.clear()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(names, type=pa.list_(pa.string())), pa.array(counts, type=pa.list_(pa.int64())), pa.array(sizes, type=pa.int64())],
                 names=["toxic", "features", "counts", "words"],
@@ -198,7 +200,7 @@ def _emit_features(lm: list):
 
 def _keep_features(chosen: frozenset[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             names, values = [], []
             for features, counts, words in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 pairs = [p for f, n in zip(features, counts) if f in chosen for p in feature_values(f, n, words)]
@@ -256,16 +258,19 @@ def _fit_sparse(x: np.ndarray, y: np.ndarray, n: np.ndarray, words: list[str]) -
     return float(bias), {w: float(v) for w, v in zip(words, weight) if abs(v) > 1e-3}
 
 
-def score(text: str, lm: list, model: tuple[float, dict[str, float]], known: dict[str, tuple[str, ...]]) -> float:
-    """Probability that a text is toxic; known remembers the weighted features of tokens."""
+def weighted(lm: list, model: tuple[float, dict[str, float]]) -> Remembered:
+    """Features of tokens that have a weight, by token."""
+    weights = model[1]
+    return _remembered(lambda token: tuple(f for f in token_features(token, lm) if f in weights or f + "#" in weights))
+
+
+def score(text: str, model: tuple[float, dict[str, float]], known: Mapping[str, tuple[str, ...]]) -> float:
+    """Probability that a text is toxic; known has the weighted features of tokens."""
     bias, weights = model
     found: Counter = Counter()
     tokens = document_tokens(text)
     for token, n in tokens.items():
-        features = known.get(token)
-        if features is None:
-            features = known[token] = tuple(f for f in token_features(token, lm) if f in weights or f + "#" in weights)
-        for feature in features:
+        for feature in known[token]:
             found[feature] += n
     total = sum(weights.get(f, 0.0) * v for feature in sorted(found) for f, v in feature_values(feature, found[feature], tokens.total()))
     return 1 / (1 + exp(-min(50.0, max(-50.0, bias + total))))
@@ -273,13 +278,9 @@ def score(text: str, lm: list, model: tuple[float, dict[str, float]], known: dic
 
 def _emit_scores(lm: list, model: tuple[float, dict[str, float]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[str, ...]] = {}
-        for batch in batches:
-            found = []
-            for text in batch.column(1).to_pylist():
-                found.append(score(text, lm, model, known))
-                if len(known) > REMEMBERED:
-                    known.clear()
+        known = weighted(lm, model)
+        for batch in slices(batches):
+            found = [score(text, model, known) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, type=pa.float64())], names=["doc_id", "score"])
 
     return run
@@ -287,6 +288,7 @@ def _emit_scores(lm: list, model: tuple[float, dict[str, float]]):
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[list, tuple[float, dict[str, float]]]:
     """The character model of all docs, and the word classifier."""
+    small_batches(docs.sparkSession)
     lm = fit_trigrams(docs).tolist()
     return lm, fit_words(docs, labels, lm)
 
@@ -301,21 +303,17 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     lm, model = fit(docs, labels)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    scored = given.mapInArrow(_emit_scores(lm, model), "doc_id long, score double")
+    scored = given.mapInArrow(lean(_emit_scores(lm, model)), "doc_id long, score double")
     return scored.select("doc_id", (id_bucket(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))
 
 
 def _keep_clean(lm: list, model: tuple[float, dict[str, float]], column: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[str, ...]] = {}
-        nothing = score("", lm, model, known)  # what a text without known words gets
-        for batch in batches:
-            keep = []
-            for text in batch.column(column).to_pylist():
-                found = score(text or "", lm, model, known)
-                keep.append(found < ACCEPT or found <= nothing)
-                if len(known) > REMEMBERED:
-                    known.clear()
+        known = weighted(lm, model)
+        nothing = score("", model, known)  # what a text without known words gets
+        for batch in slices(batches):
+            found = [score(text or "", model, known) for text in batch.column(column).to_pylist()]
+            keep = [x < ACCEPT or x <= nothing for x in found]
             yield batch.filter(pa.array(keep, type=pa.bool_()))
 
     return run

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import sys
 from zlib import crc32
 
 import numpy as np
@@ -267,3 +268,15 @@ def test_every_language_is_learned_however_many(spark):
     found = langid.language_predictions(docs).collect()
     right = [r["lang_pred"] == want[r["doc_id"]] for r in found if r["held_out"]]
     assert len(right) > 100 and sum(right) > 0.9 * len(right) and len({r["lang_pred"] for r in found}) == 70
+
+
+def test_token_memory_is_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(toxicity, "REMEMBERED_BYTES", 1 << 20)
+    lm = np.zeros((toxicity.LETTERS,) * 3).tolist()
+    model = (-1.0, {"=bad": 3.0, "=word": 0.5})
+    known = toxicity.weighted(lm, model)
+    first = toxicity.score("bad word0 word", model, known)
+    for i in range(20_000):
+        toxicity.score(f"bad word{i} word", model, known)
+    assert 0 < sum(200 + sys.getsizeof(k) + sys.getsizeof(v) for d in (known, known.older) for k, v in d.items()) <= 2 << 20
+    assert toxicity.score("bad word0 word", model, known) == first == toxicity.score("bad word0 word", model, toxicity.weighted(lm, model))
