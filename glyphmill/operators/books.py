@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import package as P
 from glyphmill.functions import styles as S
-from glyphmill.functions.batches import per_row
+from glyphmill.functions.batches import give_back, per_row
 from glyphmill.functions.markup import Markup, rewriter
 from glyphmill.functions.notes import numbered_marker, with_note
 from glyphmill.functions.rewrite import Runner
@@ -69,14 +69,18 @@ def _rewrite(o: BookOptions):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ready = (rewriter(markup), Runner(o.markup.program, o.markup.segmenter).text)
-        for batch in batches:
-            for i in range(batch.num_rows):
-                book, name, mime, content, gone, has_rule = (batch.column(k)[i].as_py() for k in range(6))
-                new = content
-                if content is not None and (mime in TEXT_TYPES or mime in STYLE_TYPES or mime in TITLES or mime == PACKAGE):
-                    new = part(ready, name, mime, content.decode("utf-8", "replace"), frozenset(gone or ()), bool(has_rule)).encode("utf-8")
-                cells = [pa.array([x], type=t) for x, t in zip((book, name, mime, new, new != content), (pa.string(), pa.string(), pa.string(), pa.binary(), pa.bool_()))]
-                yield pa.RecordBatch.from_arrays(cells, names=["book", "part_name", "mime", "content", "changed"])
+        try:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    book, name, mime, content, gone, has_rule = (batch.column(k)[i].as_py() for k in range(6))
+                    new = content
+                    if content is not None and (mime in TEXT_TYPES or mime in STYLE_TYPES or mime in TITLES or mime == PACKAGE):
+                        new = part(ready, name, mime, content.decode("utf-8", "replace"), frozenset(gone or ()), bool(has_rule)).encode("utf-8")
+                    cells = [pa.array([x], type=t) for x, t in zip((book, name, mime, new, new != content), (pa.string(), pa.string(), pa.string(), pa.binary(), pa.bool_()))]
+                    yield pa.RecordBatch.from_arrays(cells, names=["book", "part_name", "mime", "content", "changed"])
+        finally:
+            ready = None
+            give_back()
 
     return run
 
