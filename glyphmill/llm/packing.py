@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphmill.llm.common import Remembered, lean, staged, text_or_empty
+from glyphmill.llm.common import Remembered, lean, small_batches, staged, text_or_empty
 
 WINDOW = 1024
 OPEN_WINDOWS = 128
@@ -29,7 +29,9 @@ MERGE_PARTITIONS = 64
 END_ID = b"\0\0\0\0"
 #: Characters tokenized at once, and bytes of chunks and ids that a worker remembers of usual texts and of others.
 SEGMENT_CHARS = 1 << 20
-REMEMBERED_BYTES = 96 << 20, 16 << 20
+REMEMBERED_BYTES = 64 << 20, 8 << 20
+#: Bytes that mark which chunks a worker has seen; a power of two.
+SEEN = 4 << 20
 
 #: Unicode white space besides space and line feed; texts that hold any are cut by pattern.
 _OTHER_SPACES = "\t\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -61,6 +63,7 @@ def _byte_letters() -> str:
 
 
 LETTERS = _byte_letters()
+_SPACE_LETTER = LETTERS[32]
 
 
 _MARKS = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
@@ -82,17 +85,38 @@ class _Known(_Exact):
     """The same for chunks whose white space is a space in front or single line feeds.
 
     Such a chunk is cut further where the pre-tokenizer always cuts: at line feeds, and between a letter and
-    the marks that end the chunk; a word of Latin letters goes to the model itself.
+    the marks that end the chunk; a word of Latin letters goes to the model itself. Most chunks occur once, so one is
+    remembered from its second time on; which were seen is marked by hash, and forgotten when half of the marks are set.
     """
 
+    def __init__(self, tokenizer, most: int = REMEMBERED_BYTES[0]):
+        super().__init__(tokenizer, most)
+        self.seen, self.marked = bytearray(SEEN), 0
+
+    def __missing__(self, chunk: str) -> bytes:
+        at = hash(chunk) & SEEN - 1
+        if self.seen[at]:
+            return super().__missing__(chunk)
+        if self.marked > SEEN // 2:
+            self.seen, self.marked = bytearray(SEEN), 0
+        self.seen[at], self.marked = 1, self.marked + 1
+        return self.older[chunk] if chunk in self.older else self._new(chunk)
+
     def _new(self, chunk: str) -> bytes:
-        word = chunk.rstrip(_MARKS)
+        bare = chunk[1:] if chunk[0] == " " else chunk
+        if bare.isalpha():
+            if bare.isascii():  # letters that are written as they are
+                letters = bare if bare is chunk else _SPACE_LETTER + bare
+            elif max(bare) < "\u0250":
+                letters = chunk.encode().decode("latin-1").translate(LETTERS)
+            else:
+                return super()._new(chunk)
+            return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
         if "\n" in chunk and len(chunk) > 1 and "\n\n" not in chunk:
             return self["\n"].join([self[part] if part else b"" for part in chunk.split("\n")])
+        word = chunk.rstrip(_MARKS)
         if len(word) < len(chunk) and word[-1:].isalpha() and word[-1] < "\u0250":
             return self[word] + self[chunk[len(word) :]]
-        if chunk[chunk[0] == " " :].isalpha() and max(chunk) < "\u0250":
-            return array("I", [t.id for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(LETTERS))]).tobytes()
         return super()._new(chunk)
 
 
@@ -239,6 +263,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, open_window
     null; an empty table gives no rows; other columns are ignored. A text that holds a special token's string
     gets that token's id, as the tokenizer gives it.
     """
+    small_batches(docs.sparkSession)
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     pieces = staged(given.mapInArrow(lean(_pack(tokenizer_path, window, open_windows)), PIECES), "pieces")
     final = pieces.filter(F.col("open_fill").isNull()).drop("open_fill")

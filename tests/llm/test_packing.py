@@ -4,11 +4,13 @@ import zlib
 from collections import defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from glyphmill.llm.packing import OpenWindows, op10_pack, pack, tokenizer
+from glyphmill.llm.common import small_batches
+from glyphmill.llm.packing import ChunkTokenizer, OpenWindows, op10_pack, pack, tokenizer
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 PLAIN = Tokenizer.from_file(PATH)
@@ -78,3 +80,27 @@ def test_pieces_hold_their_ids(spark):
     for d, text in texts.items():
         own = sorted((r["start"], struct.unpack(f"<{r['length']}I", r["ids"])) for r in rows if r["doc_id"] == d)
         assert [i for _, ids in own for i in ids] == [*PLAIN.encode(text, add_special_tokens=False).ids, 0]
+
+
+def test_new_chunks_by_the_short_way():
+    """Letters alone go to the model, Latin ones beyond ASCII by their bytes; all else to the tokenizer."""
+    known = ChunkTokenizer(PATH).known
+    for c in (" plain", "plain", " naïve", "Å", " 文字", " word,", " naïve…", " a\nb", " ", " 12", "!", " x1!", " ɐa", "\n", " It's", " ª"):
+        ids = PLAIN.encode(c, add_special_tokens=False).ids
+        assert known._new(c) == struct.pack(f"<{len(ids)}I", *ids)
+
+
+def test_batches_hold_few_texts(spark):
+    """A worker gets its texts in batches of 1000 rows at most, where Spark's own limit is 10,000."""
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pack(spark.createDataFrame([(1, "a")], "doc_id long, text string"), PATH)
+
+    def rows(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    assert spark.range(0, 5000, 1, 1).mapInArrow(rows, "n long").agg({"n": "max"}).first()[0] <= 1000
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    small_batches(spark)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10"
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
