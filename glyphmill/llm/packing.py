@@ -8,6 +8,7 @@ out. Windows that are open at a partition's end are merged with those of other p
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -27,17 +28,30 @@ OPEN_WINDOWS = 128
 #: Partitions whose open windows one task merges: at most this many times OPEN_WINDOWS rows.
 MERGE_PARTITIONS = 64
 END_ID = b"\0\0\0\0"
-#: Characters tokenized at once, and bytes of chunks and ids that a worker remembers of usual texts and of others.
+#: Characters tokenized at once, and bytes of pieces and ids that a worker remembers (as counted; in fact a quarter less).
 SEGMENT_CHARS = 1 << 20
-REMEMBERED_BYTES = 64 << 20, 8 << 20
-#: Bytes that mark which chunks a worker has seen; a power of two.
-SEEN = 4 << 20
-
-#: Unicode white space besides space and line feed; texts that hold any are cut by pattern.
-_OTHER_SPACES = "\t\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-_ANY_SPACE = f" \n{_OTHER_SPACES}"
+REMEMBERED_BYTES = 80 << 20
+
+#: Characters below this one are sorted into letters, numbers, white space and the rest as the pre-tokenizer sorts them.
+_WIDE = "\u0250"
+#: Unicode white space; a text that holds any from _WIDE on goes to the tokenizer in chunks.
+_SPACES = " \t\n\x0b\x0c\r\x85\xa0"
+_WIDE_SPACES = "\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_ANY_SPACE = _SPACES + _WIDE_SPACES
 _CHUNK = re.compile(f"[{_ANY_SPACE}]*[^{_ANY_SPACE}]+|[{_ANY_SPACE}]+")
 _SEAM = re.compile(f"(?<=[^{_ANY_SPACE}])(?=[{_ANY_SPACE}])")
+_ANY_WIDE, _ANY_WIDE_SPACE = re.compile(f"[^\0-{chr(ord(_WIDE) - 1)}]"), re.compile(f"[{_WIDE_SPACES}]")
+
+
+def _pieces() -> tuple[re.Pattern[str], re.Pattern[str]]:
+    """How byte-level BPE cuts a text: for texts below _WIDE, and for others, whose chunks with wide characters stay whole."""
+    kind = lambda k: "".join(c for c in map(chr, range(ord(_WIDE))) if unicodedata.category(c)[0] == k)
+    letters, numbers = kind("L"), kind("N")
+    own = f" ?[{letters}]+|'(?:[st]|re|ve|m|ll|d)| ?[{numbers}]+| ?[^{_SPACES}{letters}{numbers}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
+    return re.compile(own), re.compile(f" ?[^{_SPACES}]*[^{_SPACES}\0-{chr(ord(_WIDE) - 1)}][^{_SPACES}]*|{own}")
+
+
+_PIECE, _PIECE_OR_CHUNK = _pieces()
 
 PIECES = T.StructType(
     [
@@ -66,65 +80,29 @@ LETTERS = _byte_letters()
 _SPACE_LETTER = LETTERS[32]
 
 
-_MARKS = r"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
-
+class _Known(Remembered):
+    """Ids of pieces as bytes; what the pre-tokenizer does not cut goes to the model itself, anything else to the tokenizer."""
 
-class _Exact(Remembered):
-    """Ids of chunks as bytes; a chunk that is not there yet is tokenized as it stands."""
-
-    def __init__(self, tokenizer, most: int = REMEMBERED_BYTES[1]):
+    def __init__(self, tokenizer, most: int = REMEMBERED_BYTES):
         super().__init__(self._new, len, most)
-        self.tokenizer = tokenizer
-        self.model = tokenizer.model
-
-    def _new(self, chunk: str) -> bytes:
-        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
-
-
-class _Known(_Exact):
-    """The same for chunks whose white space is a space in front or single line feeds.
-
-    Such a chunk is cut further where the pre-tokenizer always cuts: at line feeds, and between a letter and
-    the marks that end the chunk; a word of Latin letters goes to the model itself. Most chunks occur once, so one is
-    remembered from its second time on; which were seen is marked by hash, and forgotten when half of the marks are set.
-    """
-
-    def __init__(self, tokenizer, most: int = REMEMBERED_BYTES[0]):
-        super().__init__(tokenizer, most)
-        self.seen, self.marked = bytearray(SEEN), 0
-
-    def __missing__(self, chunk: str) -> bytes:
-        at = hash(chunk) & SEEN - 1
-        if self.seen[at]:
-            return super().__missing__(chunk)
-        if self.marked > SEEN // 2:
-            self.seen, self.marked = bytearray(SEEN), 0
-        self.seen[at], self.marked = 1, self.marked + 1
-        return self.older[chunk] if chunk in self.older else self._new(chunk)
-
-    def _new(self, chunk: str) -> bytes:
-        bare = chunk[1:] if chunk[0] == " " else chunk
-        if bare.isalpha():
-            if bare.isascii():  # letters that are written as they are
-                letters = bare if bare is chunk else _SPACE_LETTER + bare
-            elif max(bare) < "\u0250":
-                letters = chunk.encode().decode("latin-1").translate(LETTERS)
-            else:
-                return super()._new(chunk)
-            return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-        if "\n" in chunk and len(chunk) > 1 and "\n\n" not in chunk:
-            return self["\n"].join([self[part] if part else b"" for part in chunk.split("\n")])
-        word = chunk.rstrip(_MARKS)
-        if len(word) < len(chunk) and word[-1:].isalpha() and word[-1] < "\u0250":
-            return self[word] + self[chunk[len(word) :]]
-        return super()._new(chunk)
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+
+    def _new(self, piece: str) -> bytes:
+        bare = piece[1:] if piece[0] == " " else piece
+        if bare.isascii() and bare.isalpha():  # letters that are written as they are
+            letters = bare if bare is piece else _SPACE_LETTER + bare
+        elif _ANY_WIDE.search(piece) or not _PIECE.fullmatch(piece):
+            return array("I", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
+        else:
+            letters = piece.encode().decode("latin-1").translate(LETTERS)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
 
 class ChunkTokenizer:
-    """Byte-level BPE ids of texts, remembered by chunk.
+    """Byte-level BPE ids of texts, remembered by piece: a word with the space in front, a number, marks, white space.
 
-    A byte-level pre-tokenizer never joins a character with white space after it, so a text may be cut there
-    and its chunks be tokenized apart, most of them once.
+    The pre-tokenizer's own cuts are made here, where Python's characters and its agree on what is a letter, number or
+    space; chunks with other characters are tokenized as they stand, since no cut joins a character with white space after it.
     """
 
     def __init__(self, path: str):
@@ -132,19 +110,16 @@ class ChunkTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known, self.exact = _Known(self.tokenizer, REMEMBERED_BYTES[0]), _Exact(self.tokenizer)
+        self.known = _Known(self.tokenizer)
 
     def _segment(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        if not text:
-            return b""
-        if "  " in text or "\n " in text or any(c in text for c in _OTHER_SPACES):
-            chunks = _CHUNK.findall(text)
-            return b"".join(map(self.exact.__getitem__, chunks))
-        first, *rest = text.split(" ")
-        spaced = map(" ".__add__, rest)
-        return (self.known[first] if first else b"") + b"".join(map(self.known.__getitem__, spaced))
+        if text.isascii() or not _ANY_WIDE.search(text):
+            pieces = _PIECE.findall(text)
+        else:
+            pieces = (_CHUNK if _ANY_WIDE_SPACE.search(text) else _PIECE_OR_CHUNK).findall(text)
+        return b"".join(map(self.known.__getitem__, pieces))
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of text."""

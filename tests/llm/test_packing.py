@@ -90,6 +90,20 @@ def test_new_chunks_by_the_short_way():
         assert known._new(c) == struct.pack(f"<{len(ids)}I", *ids)
 
 
+def test_pieces_are_those_of_the_tokenizer():
+    """Every character below U+0250 and some wide ones, in texts of all kinds; and marks share a word's entry."""
+    rng, chunks = random.Random(3), ChunkTokenizer(PATH)
+    narrow, common, wide = [chr(i) for i in range(0x250)], list("  \n\tab'sZé.,!0_-tredl"), list("文字’— \u3000😀ɐ\u0301\u200b\u2003")
+    for i in range(4000):
+        pool = (narrow, common, common + narrow[:128], common + wide, common + wide[:5])[i % 5]
+        text = "".join(rng.choices(pool, k=rng.randrange(25)))
+        ids = PLAIN.encode(text, add_special_tokens=False).ids
+        assert chunks.encode(text) == struct.pack(f"<{len(ids)}I", *ids), repr(text)
+    chunks = ChunkTokenizer(PATH)
+    chunks.encode("x word word, word. word! word? word; (word) word\n")
+    assert sum("word" in piece for piece in chunks.known) == 2
+
+
 def test_batches_hold_few_texts(spark):
     """A worker gets its texts in batches of 1000 rows at most, where Spark's own limit is 10,000."""
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
