@@ -1,14 +1,18 @@
 """Arrow UDFs in pieces: a worker holds the results of a few texts, and remembers within bytes."""
 
+import random
 import sys
+from collections import Counter
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from glyphmill.functions import batches as B
+from glyphmill.functions import rewrite
 from glyphmill.functions.rewrite import Runner, Several, convert_all, details
 from glyphmill.functions.words import Segmenter
-from glyphmill.plans.program import program
+from glyphmill.plans.program import Dictionary, Program, program
 from glyphmill.queries import modes
 from glyphmill.queries.samples import PHRASE_PROGRAM
 
@@ -48,6 +52,28 @@ def test_memories_are_bounded_by_bytes(monkeypatch):
     assert runner.text("后0斗里面姜x0") == Runner(PHRASE_PROGRAM).text("后0斗里面姜x0")
 
 
+@pytest.mark.parametrize("few", [64, 0])
+def test_whole_texts_are_counted_without_a_memory(monkeypatch, few):
+    """A long text's units are not remembered one by one, and its counts are those of its events."""
+    monkeypatch.setattr(rewrite, "FEW_STARTS", few)  # tables of few characters and of many
+    rng = random.Random(1)
+    odd = Program("odd", ((Dictionary.of("a", {"面": "x 斗", "后斗": "后斗", "斗里面": "卷卷"}), Dictionary.of("b", {"面斗": "y", "后": "後 后", "斗": "鬥"})), (Dictionary.of("c", {"x 斗": "z", "卷卷": "q", "卷": "捲"}),)))
+    last = Program("last", ((Dictionary.of("a", {"后斗里": "和", "面": "麵"}),), (Dictionary.of("b", {"和": "与", "麵": "麵"}),)))
+    modes_ = [Program("s2t", program("s2t", modes.catalog).stages), program("s2tw", modes.catalog), program("tw2hk", modes.catalog)]
+    for p in (PHRASE_PROGRAM, odd, last, *modes_):
+        runner = Runner(p)
+        for _ in range(200):
+            text = "".join(rng.choices("后斗里面姜卷系范只台x \n，", k=rng.randrange(60, 200)))
+            events = []
+            runner.run(text, events)
+            want = Counter((e[0], e[1], e[3], e[4]) for e in events)
+            assert runner.counts(text) == want, (p.name, text)
+    runner = Runner(PHRASE_PROGRAM)
+    for i in range(100):
+        runner.counts("".join(rng.choices("后斗里面姜卷系范只台 ", k=500)))
+    assert not runner.counted and not runner.counted.older
+
+
 def test_several_ways_in_one_udf(spark):
     df = spark.createDataFrame([(1, "后斗里面姜"), (2, None), (3, "")], "id long, t string")
     first, p = program("s2twp", modes.catalog), program("t2s", modes.catalog)
