@@ -20,7 +20,7 @@ def convert(text: Column, tables: Tables, locale: str, rules: Mapping[str, str]
     found = wiki.matcher(tables, locale, rules)
     if all(len(k) == 1 == len(v) for k, v in found.table.items()):
         return F.translate(text, "".join(found.table), "".join(found.table.values())) if found.table else text
-    return per_text(lambda: found.run, "string", pa.string())(text)
+    return per_text(lambda: found.prepared().run, "string", pa.string())(text)
 
 
 def convert_each(text: Column, tables: Tables, ways: Mapping[str, tuple[str, Mapping[str, str] | None]]) -> Column:
@@ -28,7 +28,7 @@ def convert_each(text: Column, tables: Tables, ways: Mapping[str, tuple[str, Map
 
     def make() -> Callable[[str | None], tuple]:
         same = lambda locale: locale == "zh" or locale not in FALLBACKS
-        runs = [str if same(locale) else wiki.matcher(tables, locale, rules).run for locale, rules in ways.values()]
+        runs = [str if same(locale) else wiki.matcher(tables, locale, rules).prepared().run for locale, rules in ways.values()]
         return lambda v: tuple(None if v is None else run(v) for run in runs)
 
     return per_row(make, *text_fields(ways))(text)
