@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.functions.words import placed_words, words_of
+from glyphmill.functions.words import counted_words, placed_words, words_of
 from glyphmill.plans.words import Words
 
 
@@ -15,8 +15,9 @@ def word_table(df: DataFrame, by: list[str], text: str, words: Words, mode: str
 
 
 def word_counts(df: DataFrame, text: str, words: Words, mode: str = "accurate", by: list[str] | None = None) -> DataFrame:
-    """(by..., word, hits): counted before the shuffle, so that common words cost no more than rare ones."""
-    return df.select(*(by or []), F.explode(words_of(F.col(text), words, mode)).alias("word")).groupBy(*(by or []), "word").agg(F.count("*").alias("hits"))
+    """(by..., word, hits): counted in each text and before the shuffle, so that common words cost no more than rare ones."""
+    each = df.select(*(by or []), F.explode(counted_words(F.col(text), words, mode)).alias("_w")).select(*(by or []), "_w.*")
+    return each.groupBy(*(by or []), "word").agg(F.sum("hits").alias("hits"))
 
 
 def word_samples(df: DataFrame, by: list[str], units: str, words: Words, n: int = 8) -> DataFrame:
