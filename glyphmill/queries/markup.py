@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glyphmill.functions.markup import ANNOTATION_RULES, ANNOTATION_STYLE_ID, BODY_CLASS, SELECTION_END, SELECTION_START, Markup, convert_markup, strip_annotations
+from glyphmill.functions.markup import ANNOTATION_RULES, ANNOTATION_STYLE_ID, BODY_CLASS, SELECTION_END, SELECTION_START, Markup, annotated_and_back, convert_markup
 from glyphmill.operators import markup as M
 from glyphmill.plans.program import Dictionary, Program
 from glyphmill.queries.samples import LATIN, TRADITIONAL
@@ -55,12 +55,11 @@ def markup_selected_convert(spark, sf_dir):
 
 def markup_annotated(spark, sf_dir):
     """Digests of pages annotated with their original text, of what is left without that, and of the pages as they were."""
-    annotated = _pages(spark, sf_dir).select("page_id", "html", convert_markup(F.col("html"), Markup(LETTERS, annotation="full")).alias("a"))
-    plain = convert_markup(F.col("html"), Markup())
-    found = annotated.select("page_id", "a", strip_annotations(F.col("a")).alias("back"), plain.alias("plain"))
+    ways = [annotated_and_back(F.col("html"), Markup(LETTERS, annotation="full")).alias("a"), convert_markup(F.col("html"), Markup()).alias("plain")]
+    found = _pages(spark, sf_dir).select("page_id", *ways)
     bare = lambda c: F.regexp_replace(c, f' class="{"calibre-chinese_text"}"', "")
     digest = lambda c: F.md5(c.cast("binary"))
-    return found.select("page_id", digest(F.col("a")).alias("annotated"), digest(bare(F.col("back"))).alias("back"), digest(F.col("plain")).alias("plain"))
+    return found.select("page_id", F.col("a.annotated").alias("annotated"), digest(bare(F.col("a.back"))).alias("back"), digest(F.col("plain")).alias("plain"))
 
 
 QUERIES = {f.__name__: f for f in (markup_convert, markup_tokens, markup_selection, markup_selected_convert, markup_annotated)}
