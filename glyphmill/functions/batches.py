@@ -86,15 +86,14 @@ def text_fields(names: Iterable[str]) -> tuple[str, pa.DataType]:
     return "struct<" + ",".join(f"`{n}`:string" for n in names) + ">", pa.struct([(n, pa.string()) for n in names])
 
 
-def _run(make: Callable[[], Callable[..., object]], arrow: pa.DataType, batches: Iterator, nulls: bool) -> Iterator[pa.Array]:
+def _run(make: Callable[[], Callable[..., pa.Array]], batches: Iterator) -> Iterator[pa.Array]:
     gc.collect()  # memories of the task before may hold each other
     each = make()
     try:
         for columns in batches:
             columns = columns if isinstance(columns, tuple) else (columns,)
             for start, length in cuts(columns):
-                rows = zip(*(c.slice(start, length).to_pylist() for c in columns))
-                yield pa.array([None if v[0] is None and not nulls else each(*v) for v in rows], type=arrow)
+                yield each(*(c.slice(start, length) for c in columns))
             del columns
     finally:
         each = None
@@ -102,21 +101,36 @@ def _run(make: Callable[[], Callable[..., object]], arrow: pa.DataType, batches:
         give_back()
 
 
+def _by_row(make: Callable[[], Callable[..., object]], arrow: pa.DataType, nulls: bool) -> Callable[[], Callable[..., pa.Array]]:
+    """What makes a function of pieces of columns out of what makes one of a row's values."""
+
+    def made() -> Callable[..., pa.Array]:
+        each = make()
+        return lambda *columns: pa.array([None if v[0] is None and not nulls else each(*v) for v in zip(*(c.to_pylist() for c in columns))], type=arrow)
+
+    return made
+
+
 def per_text(make: Callable[[], Callable[[str], object]], kind: str, arrow: pa.DataType) -> Callable[[Column], Column]:
     """An Arrow UDF of a function of one value, made once in each task; null for null."""
+    return per_piece(_by_row(make, arrow, False), kind)
+
+
+def per_piece(make: Callable[[], Callable[[pa.Array], pa.Array]], kind: str) -> Callable[[Column], Column]:
+    """The same of a function of a piece of a column, which sees nulls too."""
 
     @F.arrow_udf(kind)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        yield from _run(make, arrow, batches, False)
+        yield from _run(make, batches)
 
     return run
 
 
 def per_row(make: Callable[[], Callable[..., object]], kind: str, arrow: pa.DataType) -> Callable[..., Column]:
-    """The same of several columns, whose function sees nulls too."""
+    """The same of a function of the values of several columns, which sees nulls too."""
 
     @F.arrow_udf(kind)
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        yield from _run(make, arrow, batches, True)
+        yield from _run(_by_row(make, arrow, True), batches)
 
     return run

@@ -35,7 +35,7 @@ def phrase_convert_arrow(spark, sf_dir):
 def phrase_spans(spark, sf_dir):
     """Spans of whole documents: their cover, what they give, and the characters that lie in changed ones."""
     docs = _documents(spark, sf_dir).select("doc_id", han(F.col("text")).alias("h"))
-    found = docs.select("doc_id", "h", details(F.col("h"), PHRASE_PROGRAM, events=False).alias("d")).select("doc_id", "h", "d.*")
+    found = docs.select("doc_id", "h", details(F.col("h"), PHRASE_PROGRAM, events=False, fields=("source_start", "source_end", "source", "target")).alias("d")).select("doc_id", "h", "d.*")
     joined = lambda f: F.array_join(F.transform("spans", lambda x: x[f]), "")
     changed = F.aggregate(F.filter("spans", lambda x: x["source"] != x["target"]), F.lit(0).cast("long"), lambda a, x: a + x["source_end"] - x["source_start"])
     return found.select("doc_id", (joined("source") == F.col("h")).alias("covers"), F.md5(joined("target").cast("binary")).alias("gives"), F.col("text").alias("converted"), changed.alias("changed"))
