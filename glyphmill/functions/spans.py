@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column
 
+from glyphmill.functions.batches import per_piece
 from glyphmill.functions.rewrite import DETAILS, Runner, _SPLIT
+from glyphmill.plans.program import Program
 from glyphmill.plans.whole import MARKED
 
 #: Stands between texts that are looked at together; no key holds it.
@@ -151,3 +154,28 @@ class Spans:
         """Texts out of their joined bytes."""
         begins = np.concatenate([[0], at[between[:-1]] + 1]).astype(np.int64) if len(between) else between
         return pa.array([data[a:b] for a, b in zip(begins.tolist(), at[between].tolist())], type=pa.binary()).cast(pa.string())
+
+
+def span_sums(text: Column, p: Program) -> Column:
+    """struct<text, source, target, changed>: the conversion, all sources and all targets of its spans joined, and the characters in spans that change; null for null.
+
+    Spans are several times as large as their text, so they stay in the worker.
+    """
+    fields = ("source_start", "source_end", "source", "target")
+
+    def make() -> Callable[[pa.Array], pa.Array]:
+        own = Spans(Runner(p), fields)
+        return lambda texts: _summed(own.of(texts))
+
+    return per_piece(make, "struct<text:string,source:string,target:string,changed:bigint>")(text)
+
+
+def _summed(found: pa.Array) -> pa.Array:
+    spans = pc.struct_field(found, "spans")
+    start, end, source, target = spans.values.flatten()
+    chars = np.where(pc.not_equal(source, target).to_numpy(zero_copy_only=False), end.to_numpy() - start.to_numpy(), 0)
+    offsets = spans.offsets.to_numpy()
+    changed = np.diff(_starts(chars)[offsets])
+    joined = [pc.binary_join(pa.ListArray.from_arrays(spans.offsets, part), "") for part in (source, target)]
+    columns = {"text": pc.struct_field(found, "text"), "source": joined[0], "target": joined[1], "changed": pa.array(changed)}
+    return pa.StructArray.from_arrays(list(columns.values()), names=list(columns), mask=pc.is_null(found))

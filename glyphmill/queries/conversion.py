@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.functions import text as T
-from glyphmill.functions.rewrite import convert, counted_events, details, in_arrow
+from glyphmill.functions.rewrite import convert, counted_events, in_arrow
 from glyphmill.functions.segment import SEPARATOR, SPACES, UNIT, alternation, forward_segments
+from glyphmill.functions.spans import span_sums
 from glyphmill.operators import convert as C
 from glyphmill.plans.program import SEPARATORS
 from glyphmill.sources.tables import read_table, spread
@@ -35,10 +36,8 @@ def phrase_convert_arrow(spark, sf_dir):
 def phrase_spans(spark, sf_dir):
     """Spans of whole documents: their cover, what they give, and the characters that lie in changed ones."""
     docs = _documents(spark, sf_dir).select("doc_id", han(F.col("text")).alias("h"))
-    found = docs.select("doc_id", "h", details(F.col("h"), PHRASE_PROGRAM, events=False, fields=("source_start", "source_end", "source", "target")).alias("d")).select("doc_id", "h", "d.*")
-    joined = lambda f: F.array_join(F.transform("spans", lambda x: x[f]), "")
-    changed = F.aggregate(F.filter("spans", lambda x: x["source"] != x["target"]), F.lit(0).cast("long"), lambda a, x: a + x["source_end"] - x["source_start"])
-    return found.select("doc_id", (joined("source") == F.col("h")).alias("covers"), F.md5(joined("target").cast("binary")).alias("gives"), F.col("text").alias("converted"), changed.alias("changed"))
+    found = docs.select("doc_id", "h", span_sums(F.col("h"), PHRASE_PROGRAM).alias("s")).select("doc_id", "h", "s.*")
+    return found.select("doc_id", (F.col("source") == F.col("h")).alias("covers"), F.md5(F.col("target").cast("binary")).alias("gives"), F.col("text").alias("converted"), "changed")
 
 
 def changed_documents(spark, sf_dir):

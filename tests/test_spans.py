@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphmill.functions.rewrite import DETAILS, Runner, details
-from glyphmill.functions.spans import Spans, span_type
+from glyphmill.functions.spans import Spans, _summed, span_sums, span_type
 from glyphmill.plans.program import Dictionary, Program, program
 from glyphmill.queries import modes
 from glyphmill.queries.markup import LETTERS
@@ -50,6 +50,24 @@ def test_some_fields_in_the_udf(spark):
     assert [r["d"] and r["d"].asDict(True) for r in rows] == [alone(Runner(PHRASE_PROGRAM), t, fields) for t in texts]
 
 
+def sums(runner, text):
+    if text is None:
+        return None
+    out, spans = runner.run(text)
+    return {"text": out, "source": "".join(s[2] for s in spans), "target": "".join(s[3] for s in spans), "changed": sum(s[1] - s[0] for s in spans if s[2] != s[3])}
+
+
+def test_sums_are_those_of_the_spans(spark):
+    texts = ["后斗里面姜 卷只面b", None, "", "x這", "\ufdd0面斗", "a b"]
+    runner = Runner(PHRASE_PROGRAM)
+    for k in range(len(texts)):
+        given = pa.array(texts, type=pa.string()).slice(k, 3)
+        assert _summed(Spans(runner, ("source_start", "source_end", "source", "target")).of(given)).to_pylist() == [sums(runner, t) for t in texts[k : k + 3]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").coalesce(1)
+    rows = df.select("id", span_sums(F.col("t"), PHRASE_PROGRAM).alias("d")).orderBy("id").collect()
+    assert [r["d"] and r["d"].asDict() for r in rows] == [sums(runner, t) for t in texts]
+
+
 def test_spans_take_little_time():
     """1.1 million characters, some 400,000 spans."""
     rng = random.Random(6)
