@@ -2,14 +2,16 @@
 
 import random
 import time
+from dataclasses import replace
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from glyphmill.functions.islands import Placed, _summed, word_sums
-from glyphmill.functions.words import Segmenter
-from glyphmill.plans.words import Words
+from glyphmill.functions import islands
+from glyphmill.functions.islands import Islands, Joined, Placed, _summed, word_sums
+from glyphmill.functions.words import Segmenter, joined_words
+from glyphmill.plans.words import Unknown, Words
 from glyphmill.queries import modes
 
 #: Equal sums in different order, single characters that are no words, words that no block holds.
@@ -71,3 +73,38 @@ def test_words_of_rare_blocks_take_little_time():
     found = many.of(texts)
     assert _summed(texts, found).field("fits").to_pylist() == [True] * 200
     assert time.process_time() - before < 1.2
+
+
+UNIFORM = Unknown({s: -1.0 for s in "BMES"}, {s: {t: -1.0 for t in "BMES"} for s in "BMES"}, {s: {"后": -1.0, "斗": -1.5} for s in "BMES"})
+
+
+@pytest.mark.parametrize("model", [modes.MODELLED, modes.WORDS, TIES, replace(TIES, unknown=UNIFORM), Words.of([("后斗里", 1)], modes.UNKNOWN).add("面姜", 0)], ids=["modelled", "words", "ties", "uniform", "cut"])
+def test_joined_words_are_those_of_each_text(model, monkeypatch):
+    rng, own, ways = random.Random(9), Segmenter(model), ("accurate", "full", "search", "known")
+    many = Joined(model, ways)
+    many.blocks.most = many.gaps.most = 20_000  # forgets while it looks
+    for k in range(400):
+        monkeypatch.setattr(islands, "TOGETHER", k % 3)
+        texts = some_texts(rng, 120)
+        found = many.of(pa.array([*texts, "left out"], type=pa.string()).slice(0, len(texts)))
+        assert found.to_pylist() == [{m: None if t is None else "|".join(own.words(t, m)) for m in ways} for t in texts], texts
+
+
+def test_joined_words_of_other_modes_and_of_many_words(spark):
+    many = Words.of([(a + b, 5) for a in modes.SIMPLIFIED for b in modes.SIMPLIFIED])
+    assert not Islands(Segmenter(many)).few
+    texts = ["后斗里 面斗x", None, "", "\r\n。"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string").coalesce(1)
+    for model in (many, modes.MODELLED):
+        rows = df.select("id", joined_words(F.col("t"), model, ("full", "known"), "").alias("w")).orderBy("id").collect()
+        assert [tuple(r["w"]) for r in rows] == [(None, None) if t is None else tuple("".join(Segmenter(model).words(t, m)) for m in ("full", "known")) for t in texts]
+    assert Placed(many, "known").of(pa.array(texts)).to_pylist() == [placed(Segmenter(many), t) for t in texts]
+
+
+def test_joined_words_of_rare_blocks_take_little_time():
+    rng = random.Random(10)
+    texts = pa.array([" ".join("".join(rng.choices("后斗里面姜卷系范只台谷松曲", k=8)) for _ in range(500)) for _ in range(200)])
+    many = Joined(modes.MODELLED, ("accurate", "full", "search"))
+    before = time.process_time()
+    assert len(many.of(texts)) == 200
+    assert time.process_time() - before < 4
